@@ -127,12 +127,12 @@ def _(ctx):
 @query("s09_upsert", f"""
   SELECT customer_id, {r('CASE WHEN customer_id % 7 = 0 THEN 0.9 ELSE churn_probability END AS churn_probability')},
          (CASE WHEN customer_id % 7 = 0 THEN 3 ELSE 1 END)::BIGINT AS version FROM scored_sc
-  UNION ALL SELECT -customer_id, 0.9::DOUBLE, 3::BIGINT FROM scored_sc WHERE customer_id % 7 = 0""", "scored_sc")
+  UNION ALL SELECT -customer_id - 1, 0.9::DOUBLE, 3::BIGINT FROM scored_sc WHERE customer_id % 7 = 0""", "scored_sc")
 def _(ctx):
     target = ctx.scored.select("customer_id", "churn_probability", F.lit(1).cast("long").alias("version"))
     changed = target.where("customer_id % 7 = 0")
-    keys = changed.unionByName(changed.withColumn("customer_id", -F.col("customer_id")))
-    updates = keys.withColumn("version", F.explode(F.array(F.lit(2), F.lit(3))).cast("long")) \
+    keys = changed.unionByName(changed.withColumn("customer_id", -F.col("customer_id") - 1))
+    updates = keys.withColumn("version", F.explode(F.array(F.lit(2).cast("long"), F.lit(3).cast("long")))) \
         .withColumn("churn_probability", F.when(F.col("version") == 3, 0.9).otherwise(0.1))
     return rounded(sinks.upsert(target, updates, version="version"))
 
