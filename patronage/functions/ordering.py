@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 from patronage.functions.expressions import magnitude_bucket
 
 
+def _by_bucket(df: DataFrame, by: list[str]) -> DataFrame:
+    """Cluster by (group, bucket) once: bucket totals, the join with them and the fine order all use this shuffle.
+
+    Rows without a group or bucket are dropped here, in the part both sides share, so that the
+    shuffle is planned once and reused.
+    """
+    there = F.col("_bucket").isNotNull()
+    for c in by:
+        there = there & F.col(c).isNotNull()
+    return df.where(there).repartition(*by, "_bucket")
+
+
 def running_totals(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False) -> DataFrame:
     """Add ``cum_<s>``: sum of ``s`` over rows whose value comes no later than the row's value.
@@ -24,7 +36,7 @@ def running_totals(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[
     """
     by = list(by)
     bucket = magnitude_bucket(F.col(value))
-    work = df.withColumn("_bucket", -bucket if descending else bucket)
+    work = _by_bucket(df.withColumn("_bucket", -bucket if descending else bucket), by)
     per_bucket = work.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -49,6 +61,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
               .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_bucket", magnitude_bucket(F.col("_v"))))
+    counts = _by_bucket(counts, by)
     totals = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_t"))
     across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)

@@ -108,7 +108,7 @@ def flag_outliers(df: DataFrame, fences: Fences, settings: Settings = DEFAULTS)
     outlier = F.coalesce(quantity_outlier(fences), F.lit(False))
     known = F.col("customer_id").isNotNull()
     huge = outlier & (F.abs("quantity") >= settings.entry_error_abs_quantity)
-    keys = reversed_keys(df, fences).select(
+    keys = materialise(reversed_keys(df, fences), "reversed-keys").select(
         F.col("customer_id").alias("_k1"), F.col("stock_code").alias("_k2"), F.col("abs_quantity").alias("_k3"),
         F.lit(True).alias("_paired"))
     candidates = df.where(outlier & known)
@@ -169,7 +169,8 @@ def clean_distinct(distinct: DataFrame, settings: Settings = DEFAULTS, fences: F
                    products: DataFrame | None = None) -> DataFrame:
     """Everything after duplicate removal. ``fences`` and ``products`` may come from saved tables."""
     fences = fences or fitted_fences(distinct, settings)
-    products = products if products is not None else product_table(distinct, settings)
+    if products is None:  # written first: its size is known when the join with all lines is planned
+        products = materialise(product_table(distinct, settings), "products")
     flagged = flag_outliers(flag_rows(distinct, settings), fences, settings)
     return derived_amounts(with_products(flagged, products, settings)).select(*CLEAN_COLUMNS)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from patronage.config import DEFAULTS, Settings
 from patronage.functions.expressions import days_between, micros_between, whole_days_between
 from patronage.functions.ordering import exact_quantiles
+from patronage.session import materialise
 
 KEY = ["cutoff", "customer_id"]
 
@@ -102,6 +103,27 @@ def average_popularity(pairs: DataFrame, popularity: DataFrame, shared: bool = F
 
 
 # ---------------------------------------------------------------- orders, days, customers
+# Aggregation buffers hold numbers and time stamps only, so that all levels are hash aggregations.
+# The country travels as a 64-bit code and gets its name back at the end.
+_TIE_BITS = 22
+
+
+def _country_code() -> Column:
+    return F.when(F.col("country").isNotNull(), F.xxhash64("country"))
+
+
+def _country_order(moment: Column) -> Column:
+    """Milliseconds in the high bits, a part of the country code below them: a fixed order also on equal times."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    millis = F.floor(micros_between(start, moment) / 1000).cast("long")
+    return millis * (1 << _TIE_BITS) + F.pmod(_country_code(), F.lit(1 << _TIE_BITS))
+
+
+def country_names(sub: DataFrame) -> DataFrame:
+    return sub.where(F.col("country").isNotNull()).select(
+        F.col("country").alias("_country_name")).distinct().withColumn("_code", F.xxhash64("_country_name"))
+
+
 def discounted_spend(sub: DataFrame, medians: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Lines plus ``disc_spend``: amount of product lines priced below (1 - threshold) times the SKU median."""
     dim = medians.select(F.col("cutoff").alias("_cut"), F.col("stock_code").alias("_sku"), "median_price")
@@ -119,12 +141,14 @@ def orders(sub: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     amount = F.col("line_total")
     spend = [F.sum(F.when(product & (F.col("category") == c), amount)).alias(f"_spend_{c}") for c in settings.categories]
     disc = F.sum("disc_spend") if "disc_spend" in sub.columns else F.sum(F.lit(0.0))
+    place = F.when(sale & F.col("country").isNotNull(), _country_order(F.col("invoice_date")))
     return sub.groupBy(*KEY, "invoice").agg(
         F.max(F.when(sale, F.col("invoice_date"))).alias("order_date"),
         F.max("invoice_date").alias("_last_line"),
         F.sum(F.when(sale, amount)).alias("order_value"),
         F.sum(F.when(sale, F.col("quantity"))).alias("units"),
-        F.max_by("country", F.when(sale & F.col("country").isNotNull(), F.struct("invoice_date", "country"))).alias("country"),
+        F.max_by(_country_code(), place).alias("country_code"),
+        F.max(place).alias("_place"),
         F.sum(amount).alias("_net"),
         F.count(F.lit(1)).alias("_lines"),
         F.count_if(F.col("is_return")).alias("_returns"),
@@ -154,7 +178,7 @@ def order_days(order_rows: DataFrame, settings: Settings = DEFAULTS) -> DataFram
         F.min("order_date").alias("_first"), F.max("order_date").alias("_last"),
         F.count_if(is_order).alias("_orders"),
         F.sum("order_value").alias("_value"), F.sum("units").alias("_units"),
-        F.max(F.when(is_order & F.col("country").isNotNull(), F.struct("order_date", "invoice", "country"))).alias("_latest"),
+        F.max_by("country_code", "_place").alias("country_code"), F.max("_place").alias("_place"),
         F.sum(F.lit(settings.trend_window_bins - 1) - F.col("_bin")).alias("_age_sum"), F.max("_bin").alias("_oldest"),
         F.sum(F.col("_gap") * F.col("_gap")).alias("_gap_squares"),
         *[F.sum(c).alias(c) for c in _sums(settings)])
@@ -168,10 +192,10 @@ def customers(days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     folded = days.withColumn("_gap", gap).groupBy(*KEY).agg(
         F.min("_first").alias("first_purchase"), F.max("_last").alias("last_purchase"),
         F.sum("_orders").alias("_freq"), F.sum("_value").alias("_value"), F.sum("_units").alias("_units"),
-        F.max("_latest").alias("_latest"), F.sum("_age_sum").alias("_age_sum"), F.max("_oldest").alias("_oldest"),
+        F.max_by("country_code", "_place").alias("country_code"), F.sum("_age_sum").alias("_age_sum"), F.max("_oldest").alias("_oldest"),
         (F.coalesce(F.sum("_gap_squares"), F.lit(0.0))
          + F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0))).alias("_gap_squares"),
-        F.array(*[n_month(m) for m in range(1, 13)]).alias("_months"),
+        *[n_month(m).alias(f"_m{m}") for m in range(1, 13)],
         *[F.sum(c).alias(c) for c in _sums(settings)]).where(F.col("_freq") > 0)
     freq = F.col("_freq").cast("double")
     spend = F.greatest(F.col("_value"), F.lit(0.0))
@@ -180,11 +204,11 @@ def customers(days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     slope = (F.col("_age_sum") - half * freq) / (bins * (bins * bins - 1) / F.lit(12.0))
     gaps = F.col("_freq") - 1
     mean_gap = days_between(F.col("first_purchase"), F.col("last_purchase")) / gaps
-    squares = F.aggregate("_months", F.lit(0).cast("long"), lambda a, n: a + n * n)
+    squares = sum((F.col(f"_m{m}") * F.col(f"_m{m}") for m in range(1, 13)), F.lit(0))
     share = lambda c: F.when(F.col("_product_spend") > 0, F.coalesce(F.col(c), F.lit(0.0)) / F.col("_product_spend")
                              ).otherwise(F.lit(0.0))
     return folded.select(
-        *KEY, F.coalesce(F.col("_latest.country"), F.lit("nan")).alias("country"), "first_purchase", "last_purchase",
+        *KEY, "country_code", "first_purchase", "last_purchase",
         whole_days_between(F.col("last_purchase"), F.col("cutoff")).cast("double").alias("recency_days"),
         freq.alias("frequency"), spend.alias("total_spend"), (spend / freq).alias("avg_spend"),
         F.greatest(F.col("_net"), F.lit(0.0)).alias("historical_clv"),
@@ -198,6 +222,24 @@ def customers(days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         *[share(f"_spend_{c}").alias(f"affinity_{c}") for c in settings.categories])
 
 
+def with_country(rows: DataFrame, sub: DataFrame) -> DataFrame:
+    """Country names for the codes. The list of names is tiny; Spark sees its size and sends it to all tasks."""
+    return (rows.join(materialise(country_names(sub), "countries"), F.col("country_code") == F.col("_code"), "left")
+            .withColumn("country", F.coalesce("_country_name", F.lit("nan"))).drop("country_code", "_country_name", "_code"))
+
+
+def customer_base(tx: DataFrame, moments: Sequence[datetime], settings: Settings = DEFAULTS,
+                  sub: DataFrame | None = None) -> DataFrame:
+    """All features but popularity and engagement.
+
+    The SKU medians are written first: with the size of that table known, Spark sends it to all
+    tasks while it is small, and joins by shuffle when it is not.
+    """
+    sub = point_in_time(tx, moments) if sub is None else sub
+    lines = discounted_spend(sub, materialise(median_prices(sub), "median-prices"), settings)
+    return with_country(customers(order_days(orders(lines, settings), settings), settings), sub)
+
+
 def customer_features(tx: DataFrame, moments: Sequence[datetime], settings: Settings = DEFAULTS,
                       popularity: DataFrame | None = None) -> DataFrame:
     """Feature snapshot, one row per (cutoff, customer). ``engagement_score`` stays null until encoding.
@@ -205,10 +247,12 @@ def customer_features(tx: DataFrame, moments: Sequence[datetime], settings: Sett
     ``popularity``: map fitted on the training snapshot; by default each cutoff fits its own.
     """
     sub = point_in_time(tx, moments)
-    base = customers(order_days(orders(discounted_spend(sub, median_prices(sub), settings), settings), settings), settings)
+    base = customer_base(tx, moments, settings, sub)
     pairs = customer_products(sub)
     own = popularity is None
-    pop = average_popularity(pairs, product_popularity(pairs) if own else popularity, shared=not own)
+    if own:
+        popularity = materialise(product_popularity(pairs), "popularity")
+    pop = average_popularity(pairs, popularity, shared=not own)
     out = base.join(pop, KEY, "left").withColumn(
         "avg_product_popularity", F.coalesce("avg_product_popularity", F.lit(0.0))
     ).withColumn("engagement_score", F.lit(None).cast("double"))
@@ -252,7 +296,7 @@ def with_labels(features: DataFrame, tx: DataFrame, moments: Sequence[datetime],
 def train_and_scoring(tx: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(training snapshot with labels, scoring snapshot, popularity map of the training snapshot)."""
     train_at, score_at = cutoffs(tx, settings)
-    popularity = product_popularity(customer_products(point_in_time(tx, [train_at])))
+    popularity = materialise(product_popularity(customer_products(point_in_time(tx, [train_at]))), "popularity")
     train = with_labels(customer_features(tx, [train_at], settings), tx, [train_at], settings)
     scoring = customer_features(tx, [score_at], settings, popularity=popularity)
     return train, scoring, popularity
@@ -260,6 +304,7 @@ def train_and_scoring(tx: DataFrame, settings: Settings = DEFAULTS) -> tuple[Dat
 
 __all__ = [
     "KEY", "cutoffs", "point_in_time", "horizon_lines", "median_prices", "customer_products", "product_popularity",
-    "average_popularity", "discounted_spend", "orders", "order_days", "customers", "customer_features", "labels",
+    "average_popularity", "discounted_spend", "orders", "order_days", "customers", "country_names", "with_country",
+    "customer_base", "customer_features", "labels",
     "with_labels", "train_and_scoring",
 ]

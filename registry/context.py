@@ -63,7 +63,7 @@ class Context:
     @cached_property
     def popularity(self) -> DataFrame:
         sub = X.point_in_time(self.clean, [self.cutoffs[0]])
-        return X.product_popularity(X.customer_products(sub))
+        return materialise(X.product_popularity(X.customer_products(sub)), "popularity")
 
     @cached_property
     def scoring(self) -> DataFrame:

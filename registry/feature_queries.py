@@ -19,7 +19,8 @@ def _sub(ctx):
 
 
 def _customers(ctx):
-    return X.customers(X.order_days(X.orders(_sub(ctx), ctx.settings), ctx.settings), ctx.settings)
+    sub = _sub(ctx)
+    return X.with_country(X.customers(X.order_days(X.orders(sub, ctx.settings), ctx.settings), ctx.settings), sub)
 
 
 @query("flagship_churn_by_recency", f"""
@@ -50,7 +51,8 @@ def _(ctx):
 
 @query("f03_orders", f"SELECT customer_id, invoice, order_date, {r('order_value', 'units')}, country FROM orders_tr", "orders_tr")
 def _(ctx):
-    return rounded(X.orders(_sub(ctx), ctx.settings).where("order_date IS NOT NULL")
+    sub = _sub(ctx)
+    return rounded(X.with_country(X.orders(sub, ctx.settings).where("order_date IS NOT NULL"), sub)
                    .select("customer_id", "invoice", "order_date", "order_value", "units", "country"))
 
 
