@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from registry import data_queries, feature_queries, quality_queries, report_queries  # noqa: F401
+from registry import data_queries, feature_queries, model_queries, quality_queries, report_queries  # noqa: F401
 from registry.base import ORACLES, QUERIES
 from registry.context import context
 
