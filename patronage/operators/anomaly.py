@@ -14,6 +14,7 @@ from patronage.fixed_values import ANOMALY_FEATURES
 from patronage.functions.ordering import exact_quantiles
 from patronage.operators.encode import moment_row
 from patronage.operators.segment import Standardiser
+from patronage.session import materialise
 
 
 def _z_columns(scaler: Standardiser) -> dict[str, Column]:
@@ -35,19 +36,22 @@ class ReconstructionModel:
     residual_variance: tuple[float, ...]
     threshold: float = float("inf")
 
-    def _residuals(self) -> list[Column]:
+    def _residuals(self) -> dict[str, Column]:
         z = [F.col(f"_z{i}") for i in range(len(self.scaler.columns))]
         gap = self.projection - np.eye(len(z))
-        return [_dot(gap[:, j], z) for j in range(len(z))]
+        return {f"_r{j}": _dot(gap[:, j], z) for j in range(len(z))}
+
+    def with_residuals(self, df: DataFrame) -> DataFrame:
+        """Add scaled values and residuals as columns of their own, so that later expressions stay short."""
+        return df.withColumns(_z_columns(self.scaler)).withColumns(self._residuals())
 
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
         """Add the score and ``is_anomaly``. Expressions only, no shuffle."""
         total: Column = F.lit(0.0)
-        for r, v in zip(self._residuals(), self.residual_variance):
-            total = total + r * r / F.lit(v)
-        z = _z_columns(self.scaler)
-        return (df.withColumns(z).withColumn(name, total / F.lit(float(len(self.scaler.columns)))).drop(*z)
-                .withColumn("is_anomaly", F.col(name) > F.lit(self.threshold)))
+        for j, v in enumerate(self.residual_variance):
+            total = total + F.col(f"_r{j}") * F.col(f"_r{j}") / F.lit(v)
+        out = self.with_residuals(df).withColumn(name, total / F.lit(float(len(self.scaler.columns))))
+        return out.select(*df.columns, name, (F.col(name) > F.lit(self.threshold)).alias("is_anomaly"))
 
 
 def fit_reconstruction(train: DataFrame, settings: Settings = DEFAULTS, axes: int = 4,
@@ -56,12 +60,12 @@ def fit_reconstruction(train: DataFrame, settings: Settings = DEFAULTS, axes: in
     scaler = Standardiser.fit(train, columns, columns)
     z = train.select(*[v.alias(n) for n, v in _z_columns(scaler).items()])
     _, cov, _ = moment_row(z, z.columns)
-    _values, vectors = np.linalg.eigh(cov)
+    _, vectors = np.linalg.eigh(cov)
     lead = vectors[:, ::-1][:, :axes]
     plain = ReconstructionModel(scaler, lead @ lead.T, tuple(1.0 for _ in columns))
-    row = z.agg(*[F.var_pop(r).alias(f"v{i}") for i, r in enumerate(plain._residuals())]).first()
+    row = z.withColumns(plain._residuals()).agg(*[F.var_pop(f"_r{i}").alias(f"v{i}") for i in range(len(columns))]).first()
     fitted = ReconstructionModel(scaler, plain.projection, tuple(max(float(row[f"v{i}"]), 1e-6) for i in range(len(columns))))
-    scores = fitted.score(train).select("anomaly_score")
+    scores = materialise(fitted.score(train).select("anomaly_score"), "anomaly-scores")
     cut = exact_quantiles(scores, "anomaly_score", {"cut": settings.anomaly_percentile}).first()["cut"]
     return ReconstructionModel(scaler, fitted.projection, fitted.residual_variance, float(cut))
 

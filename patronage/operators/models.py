@@ -105,7 +105,7 @@ def churn_estimator(name: str, params: Mapping[str, Any], n_rows: int, n_columns
                              validationTol=0.001, seed=settings.seed)
     if name == "ann":
         return MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[n_columns, *params["hidden_units"], 2],
-                                              maxIter=150, seed=settings.seed, rawPredictionCol="raw")
+                                              maxIter=params.get("max_iter", 150), seed=settings.seed, rawPredictionCol="raw")
     raise ValueError(f"unknown model {name}")
 
 

@@ -11,16 +11,20 @@ from pyspark.sql import types as T
 from patronage.fixed_values import COLUMN_ALIASES
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
     """CSV or csv.gz files or folders with a header row; every column is read as text.
 
+    Quotes inside quoted text are doubled. ``multi_line`` allows line breaks inside quotes, at the
+    price of one task per file.
+
     The header of one file names the columns, so no pass over the data is needed to infer types. A
     gzip file is one task each: land large gzip input to Parquet first (``land``).
     """
     first = [paths] if isinstance(paths, str) else list(paths)
-    header = spark.read.option("header", True).option("inferSchema", False).csv(first[0]).schema
+    header = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(first[0]).schema
     schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(first)
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"')
+            .option("multiLine", multi_line).csv(first))
 
 
 def standardise_columns(df: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def export_csv(df: DataFrame, path: str) -> None:
             return F.to_json(f.name).alias(f.name)
         return F.col(f.name)
 
-    df.select(*[flat(f) for f in df.schema]).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*[flat(f) for f in df.schema]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def replace_table(df: DataFrame, path: str) -> int:

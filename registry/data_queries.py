@@ -25,7 +25,7 @@ def scratch(ctx, name: str) -> str:
 @query("s01_csv_scan", f"SELECT {EIGHT} FROM raw", "raw")
 def _(ctx):
     path = scratch(ctx, "csv")
-    ctx.raw.write.mode("overwrite").option("header", True).option("compression", "gzip").option("quoteAll", True) \
+    ctx.raw.write.mode("overwrite").option("header", True).option("compression", "gzip").option("quoteAll", True).option("escape", '"') \
         .option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
     return invoices.standardise_columns(invoices.read_csv(ctx.spark, path))
 

@@ -28,10 +28,10 @@ SHORT = {
     "logistic_regression": {"C": [0.1, 1.0], "l1_ratio": [0.0, 1.0]},
     "decision_tree": {"max_depth": [3, 5], "min_samples_leaf": [20]},
     "random_forest": {"n_estimators": [20], "max_depth": [6], "min_samples_leaf": [5, 10]},
-    "boosted_trees": {"learning_rate": [0.1], "max_depth": [3], "subsample": [0.85], "colsample": [0.8, 1.0], "n_estimators": [12]},
-    "ann": {"hidden_units": [(16, 8)]},
+    "boosted_trees": {"learning_rate": [0.1], "max_depth": [3], "subsample": [0.85], "colsample": [0.8, 1.0], "n_estimators": [8]},
+    "ann": {"hidden_units": [(16, 8)], "max_iter": [25]},
     "clv_ridge": {"alpha": [1.0, 100.0]},
-    "clv_boosted": {"max_depth": [3], "learning_rate": [0.1], "n_estimators": [10]},
+    "clv_boosted": {"max_depth": [3], "learning_rate": [0.1], "n_estimators": [8]},
 }
 
 
