@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,10 +56,13 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Full reload of one Parquet table; the row count comes from the write itself."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return int(seen.get["rows"])
+    """Full reload of one Parquet table; returns the row count, which the written footers hold.
+
+    (An Observation would count during the write, but it leaves the session unable to ship fitted
+    Spark ML models that carry a training summary.)
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
 
 
 def replace_all(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
