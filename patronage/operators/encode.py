@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from patronage.config import DEFAULTS, Settings
 from patronage.fixed_values import VALUE_TIERS
 from patronage.functions.ordering import exact_quantiles, global_row_number, share_at_or_below
+from patronage.session import materialise
 
 ENGAGEMENT_METRICS = ["recency_days", "frequency", "total_spend"]
 
@@ -50,10 +51,12 @@ def ecdf_table(rows: DataFrame, reference: DataFrame) -> DataFrame:
 def with_ecdf(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Add ``ecdf_<metric>`` for the three engagement metrics.
 
-    The lookup has one row per distinct value; a value that a large share of customers has in
-    common meets one lookup row, and adaptive execution splits such a join partition.
+    The lookup has one row per distinct value and is written with one folder per metric. So the
+    planner knows the size of each: the short ones (days, orders) go to all tasks, and only a long
+    one (spend) costs a shuffle, where adaptive execution splits the partition of a value that a
+    large share of customers has in common.
     """
-    table = ecdf_table(rows, reference)
+    table = materialise(ecdf_table(rows, reference), "ecdf", partition_by="metric")
     out = rows
     for m in ENGAGEMENT_METRICS:
         side = table.where(F.col("metric") == m).select(F.col("value").alias("_v"), F.col("share").alias(f"ecdf_{m}"))

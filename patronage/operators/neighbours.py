@@ -43,8 +43,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
 
-def cells_of(points: DataFrame, pivots: int = 32, seed: int = 42, block: int = BLOCK) -> tuple[DataFrame, Cells]:
-    """(points with ``cell`` and ``chunk``, cell facts)."""
+def cells_of(points: DataFrame, seed: int = 42, block: int = BLOCK, rows_per_pivot: int = 20000) -> tuple[DataFrame, Cells]:
+    """(points with ``cell`` and ``chunk``, cell facts). The number of pivots follows the number of points, within bounds."""
+    pivots = int(min(max(32, points.count() // rows_per_pivot), 2048))
     centre = np.array([r["x"] for r in hash_sample(points, "id", pivots, seed).collect()], dtype=float)
 
     @F.pandas_udf("struct<cell int, away double>")
@@ -55,38 +56,51 @@ def cells_of(points: DataFrame, pivots: int = 32, seed: int = 42, block: int = B
         return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "away": d.min(1)})
 
     placed = points.select("id", "x", home("x").alias("_h")).select("id", "x", F.col("_h.cell").alias("cell"), F.col("_h.away").alias("away"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()  # one row per pivot
     counts, radii = np.zeros(len(centre), dtype=int), np.zeros(len(centre))
     for row in stats:
         counts[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
     chunks = np.maximum(np.ceil(counts / block).astype(int), 1)
+    return placed.withColumn("chunk", _chunk("cell", chunks)).drop("away"), Cells(centre, counts, radii, chunks)
+
+
+def _chunk(cell: str, chunks: np.ndarray):
     per_cell = F.array(*[F.lit(int(c)) for c in chunks])
-    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col("cell") + 1)).cast("int"))
-    return chunked.drop("away"), Cells(centre, counts, radii, chunks)
+    return F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col(cell) + 1)).cast("int")
+
 
+def _visits(queries: DataFrame, cells: Cells, reach, block: int) -> DataFrame:
+    """Queries once per cell they have to visit, with the block they travel in.
 
-def _visits(queries: DataFrame, cells: Cells, reach) -> DataFrame:
-    """Queries once per (cell, chunk) they have to visit. ``reach``: distances to pivots -> radius per query."""
-    @F.pandas_udf("array<int>")
-    def wanted(x: pd.Series) -> pd.Series:
+    Blocks are made of queries with the same nearest pivot, so a block visits few cells.
+    ``reach``: distances to pivots -> radius per query.
+    """
+    @F.pandas_udf("struct<home int, cells array<int>>")
+    def wanted(x: pd.Series) -> pd.DataFrame:
         if not len(x):
-            return pd.Series([], dtype=object)
+            return pd.DataFrame({"home": pd.Series(dtype="int32"), "cells": pd.Series(dtype=object)})
         d = _distances(_matrix(x), cells.pivots)
         limit = reach(d)[:, None] * (1 + 1e-12) + 1e-12
         near = (d - cells.radii[None, :] <= limit) & (cells.counts[None, :] > 0)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+        return pd.DataFrame({"home": d.argmin(1).astype("int32"), "cells": [np.flatnonzero(row).astype("int32") for row in near]})
 
-    per_cell = F.array(*[F.lit(int(c)) for c in cells.chunks])
-    at_cell = queries.withColumn("cell", F.explode(wanted("x")))
-    return at_cell.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(per_cell, F.col("cell") + 1) - 1)))
+    placed = queries.withColumn("_w", wanted("x")).withColumn("home", F.col("_w.home"))
+    sizes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
+    parts = np.ones(len(cells.pivots), dtype=int)
+    for row in sizes:
+        parts[row["home"]] = max(1, -(-row["n"] // block))
+    return (placed.withColumn("part", _chunk("home", parts)).withColumn("cell", F.explode("_w.cells"))
+            .select(F.col("id").alias("id"), F.col("x").alias("x"), "home", "part", "cell"))  # own columns: both sides may come from one table
 
 
-def _by_blocks(queries: DataFrame, points: DataFrame, cells: Cells, reach, work, schema: str, n_queries: int, block: int = BLOCK) -> DataFrame:
+def _by_blocks(queries: DataFrame, points: DataFrame, cells: Cells, reach, work, schema: str, block: int = BLOCK) -> DataFrame:
     """Run ``work(query frame, point frame) -> frame`` on every (query block, cell chunk) that can matter."""
-    n_blocks = max(1, -(-n_queries // block))
-    q = _visits(queries, cells, reach).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)).cast("int"))
-    p = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    keys = ["cell", "chunk", "part"]
+    visits = _visits(queries, cells, reach, block)
+    routes = materialise(visits.select("cell", "home", "part").distinct(), "routes")
+    per_cell = F.array(*[F.lit(int(c)) for c in cells.chunks])
+    q = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(per_cell, F.col("cell") + 1) - 1)))
+    p = points.join(routes, "cell")
+    keys = ["cell", "chunk", "home", "part"]
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def both(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -120,8 +134,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
         out = pd.DataFrame({"id": np.repeat(qs["id"].to_numpy(), keep), "neighbour": ids[order].ravel(), "distance": dist.ravel()})
         return out[np.isfinite(out["distance"])]
 
-    n_queries = queries.count()
-    found = _by_blocks(queries.select("id", "x"), placed, cells, reach, top, "id long, neighbour long, distance double", n_queries, block)
+    found = _by_blocks(queries.select("id", "x"), placed, cells, reach, top, "id long, neighbour long, distance double", block)
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
@@ -171,23 +184,17 @@ def oversample(rows: DataFrame, settings: Settings = DEFAULTS, k: int = 5) -> Da
 
 
 # ---------------------------------------------------------------- density clusters
-def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph 'within reach' between two lists of ids."""
-    parent = {int(i): int(i) for i in np.concatenate([left, right])}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for i, j in zip(*np.nonzero(near)):
-        a, b = root(int(left[i])), root(int(right[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(left[i]), int(right[j])))
-    return edges
+def _links(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """One edge per id: to the smallest id it reaches in the graph 'within reach' between two lists of ids."""
+    low_left, low_right, none = left.copy(), right.copy(), np.iinfo("int64").max
+    while True:
+        a = np.minimum(low_left, np.where(near, low_right[None, :], none).min(1))
+        b = np.minimum(low_right, np.where(near, a[:, None], none).min(0))
+        if (a == low_left).all() and (b == low_right).all():
+            break
+        low_left, low_right = a, b
+    edges = pd.DataFrame({"a": np.concatenate([left, right]), "b": np.concatenate([low_left, low_right])})
+    return edges[edges["a"] != edges["b"]].drop_duplicates().astype("int64")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -217,11 +224,10 @@ def neighbour_distance(points: DataFrame, k: int, share: float = 0.9) -> float:
 def density_clusters(points: DataFrame, eps: float, min_points: int, block: int = BLOCK) -> DataFrame:
     """(id, cluster): DBSCAN. Cluster = smallest core id of the cluster, -1 = noise.
 
-    Three passes over (block, chunk) pairs: neighbour counts, spanning forests between core points,
+    Three passes over (block, chunk) pairs: neighbour counts, links between core points,
     border points (which join the cluster with the smallest id in reach).
     """
     points = materialise(points.select("id", "x"), "density-points")
-    n = points.count()
     placed, cells = cells_of(points, block=block)
     placed = materialise(placed, "density-cells")
     reach = lambda d: np.full(len(d), eps)
@@ -230,16 +236,15 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
         near = _distances(_matrix(qs["x"]), _matrix(ps["x"])) <= eps
         return pd.DataFrame({"id": qs["id"].to_numpy(), "n": near.sum(1).astype("int64")})
 
-    counted = _by_blocks(points, placed, cells, reach, count, "id long, n long", n, block).groupBy("id").agg(F.sum("n").alias("n"))
+    counted = _by_blocks(points, placed, cells, reach, count, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n"))
     core = materialise(counted.where(F.col("n") >= min_points).select("id"), "density-core")
     core_points, core_placed = points.join(core, "id", "left_semi"), placed.join(core, "id", "left_semi")
 
     def link(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         near = _distances(_matrix(qs["x"]), _matrix(ps["x"])) <= eps
-        edges = _forest(near, qs["id"].to_numpy(), ps["id"].to_numpy())
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+        return _links(near, qs["id"].to_numpy(), ps["id"].to_numpy())
 
-    edges = _by_blocks(core_points, core_placed, cells, reach, link, "a long, b long", n, block)
+    edges = _by_blocks(core_points, core_placed, cells, reach, link, "a long, b long", block)
     clusters = components(core, edges)
 
     def border(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -250,6 +255,6 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
 
     others = points.join(core, "id", "left_anti")
     joined = core_placed.join(clusters, "id")
-    touched = _by_blocks(others, joined, cells, reach, border, "id long, component long", n, block).groupBy("id").agg(F.min("component").alias("component"))
+    touched = _by_blocks(others, joined, cells, reach, border, "id long, component long", block).groupBy("id").agg(F.min("component").alias("component"))
     named = clusters.unionByName(touched)
     return points.select("id").join(named, "id", "left").select("id", F.coalesce("component", F.lit(-1)).alias("cluster"))

@@ -34,14 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, name: str, *cluster_by: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *cluster_by: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the read-back.
 
     Cuts the lineage at a place that survives the loss of executors, and gives later readers
-    column pruning and filter pushdown. ``cluster_by`` hash-clusters rows before the write.
+    column pruning, filter pushdown and a known size. ``cluster_by`` hash-clusters rows before the
+    write; ``partition_by`` writes one folder per value of a column with few values.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/patronage/{name}-{uuid.uuid4().hex}"
     out = df.repartition(*cluster_by) if cluster_by else df
-    out.write.mode("overwrite").parquet(path)
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

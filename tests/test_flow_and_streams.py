@@ -21,7 +21,7 @@ from patronage.streaming import jobs
 from registry.context import RETAIL
 from registry.model_queries import SHORT
 
-QUICK = RETAIL.with_(cv_folds=2, search_iterations=1, k_max=4, kmeans_restarts=1)
+QUICK = RETAIL.with_(cv_folds=2, search_iterations=1, k_max=3, kmeans_restarts=1)
 
 
 @pytest.fixture(scope="module")
