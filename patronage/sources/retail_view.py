@@ -44,11 +44,13 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("_key"),
         (F.col("l_orderkey") % 101 == 0).alias("_twice"),
         ((F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 1)).alias("_error"))
-    normal = F.struct(F.col("invoice"), F.col("quantity"))
-    wrong = F.struct(F.col("_key").alias("invoice"), F.lit(60000.0).alias("quantity"))
-    undone = F.struct(F.concat(F.lit("C"), F.col("_key")).alias("invoice"), F.lit(-60000.0).alias("quantity"))
-    variants = F.array_compact(F.array(
-        normal, F.when(F.col("_twice"), normal), F.when(F.col("_error"), wrong), F.when(F.col("_error"), undone)))
-    return (base.withColumn("_v", F.explode(variants))
-            .select(F.col("_v.invoice").alias("invoice"), "stock_code", "description",
-                    F.col("_v.quantity").alias("quantity"), "invoice_date", "unit_price", "customer_id", "country"))
+    # row kinds: 0 as it is, 1 exact copy, 2 entry error, 3 its reversal
+    kinds = lambda *k: F.lit(list(k)).cast("array<int>")
+    kind = (F.when(F.col("_twice") & F.col("_error"), kinds(0, 1, 2, 3)).when(F.col("_twice"), kinds(0, 1))
+            .when(F.col("_error"), kinds(0, 2, 3)).otherwise(kinds(0)))
+    k = F.col("_kind")
+    return base.withColumn("_kind", F.explode(kind)).select(
+        F.when(k < 2, F.col("invoice")).when(k == 2, F.col("_key")).otherwise(F.concat(F.lit("C"), F.col("_key"))).alias("invoice"),
+        "stock_code", "description",
+        F.when(k < 2, F.col("quantity")).when(k == 2, 60000.0).otherwise(-60000.0).alias("quantity"),
+        "invoice_date", "unit_price", "customer_id", "country")
