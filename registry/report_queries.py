@@ -102,13 +102,13 @@ block("series", """
   SELECT 'short ' || country, month, revenue FROM whole_months WHERE month < TIMESTAMP '1995-11-01'""", "whole_months")
 block("numbered", "SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS x, count(*) OVER (PARTITION BY series) AS n FROM series", "series")
 block("fitted", """
-  SELECT series, max(n) AS n, max(month) AS last, regr_slope(revenue, x) AS slope, regr_intercept(revenue, x) AS icpt,
+  SELECT series, max(n) AS n, max(month) AS last, regr_slope(revenue, x) AS slope, regr_intercept(revenue, x) AS icpt, arg_max(revenue, month) AS latest,
          sum(revenue) FILTER (x >= n - 12) / greatest(sum(revenue) FILTER (x >= n - 24 AND x < n - 12), 1e-9) AS growth FROM numbered GROUP BY 1""", "numbered")
 
 
 @query("q10_forecast", f"""
   SELECT f.series, (last + to_months((i + 1)::INT))::TIMESTAMP AS month, CASE WHEN f.n >= 24 THEN 'seasonal-naive x YoY growth' ELSE 'linear trend' END AS method,
-         {r('CASE WHEN f.n >= 24 THEN s.revenue * growth ELSE greatest(slope * (f.n + i) + icpt, 0) END AS revenue', digits=2)}
+         {r('CASE WHEN f.n >= 24 THEN s.revenue * growth WHEN f.n = 1 THEN greatest(latest, 0) ELSE greatest(slope * (f.n + i) + icpt, 0) END AS revenue', digits=2)}
   FROM fitted f CROSS JOIN range(14) t(i) LEFT JOIN numbered s ON s.series = f.series AND s.x = f.n - 12 + i % 12
 """, "fitted")
 def _(ctx):
