@@ -30,7 +30,8 @@ def map_rows(df: DataFrame, ddl: str, work: Callable[[Iterator[dict[str, list]]]
                     yield {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
 
         for out in work(lists()):
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+            columns = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], type=arrow.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
