@@ -5,13 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import exact_dedup, language, mixing, pii, secrets, simhash, substring_dedup
+from patronage.llm import decontaminate, exact_dedup, language, mixing, packing, pii, secrets, simhash, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.predict(docs.select("doc_id", "text"), language.train(docs.select("doc_id", "text", "lang")))
@@ -58,6 +62,10 @@ FROM ordered
 """
 
 
+def op6_pack_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -80,10 +88,12 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_pii": op4_pii,
     "op5_source_mix": op5_source_mix,
+    "op6_pack_tokens": op6_pack_tokens,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
