@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,15 +226,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no benchmark item is found; all columns as given, nothing is shuffled."""
-    import pandas as pd
-
     out = docs
     for items in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index_of(items, q, edit_share))
 
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not matches(t, shared.value) for t in texts])
-
-        clean.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        out = out.where(F.pandas_udf(clean, "boolean")(F.col("text")))
+        out = out.where(_clean_under(shared)(F.col("text")))
     return out
+
+
+def _clean_under(shared):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not matches(t, shared.value) for t in texts])
+
+    return clean

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,8 +162,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
 
     The prediction is a column function of the text alone, so no join by id is needed.
     """
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import decontaminate, exact_dedup, language, mixing, packing, pii, secrets, simhash, substring_dedup
+from patronage.llm import decontaminate, exact_dedup, html_text, language, mixing, packing, pii, secrets, simhash, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ FROM rows WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(table(spark, folder, "pages"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_pack_tokens": op6_pack_tokens,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_main_text": op8_main_text,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
