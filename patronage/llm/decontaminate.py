@@ -103,20 +103,6 @@ def index_of(items: list[tuple], q: int = Q, edit_share: float = EDIT_SHARE, min
     return RegionIndex(q, ids, texts, length, edits, needed, names[order], owner[order], place[order], there)
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(edits, end): best alignment of the whole pattern anywhere in a text that is one band wide beyond it."""
-    n = len(text)
-    ramp = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
-    for i, c in enumerate(pattern, 1):
-        step = np.empty(n + 1, np.int64)
-        step[0] = i
-        step[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
-        row = np.minimum.accumulate(step - ramp) + ramp
-    end = int(row.argmin())
-    return int(row[end]), end
-
-
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
     """(edits, end): best alignment of the whole pattern on diagonals low..high (text place minus pattern place)."""
     width, far = high - low + 1, len(pattern) + len(text) + 1

@@ -58,34 +58,30 @@ class CuckooIndex:
         return None
 
     def insert(self, key: bytes, entry: list) -> None:
-        """Add a key that isn't live yet."""
+        """Add a key that isn't live yet. An overflow doubles the table; keys that share a fingerprint and both
+        buckets with too many others gain nothing by that and go over the slot limit of their bucket."""
         left = self._place(key, entry)
-        while left is not None:
-            everything = [item for bucket in self.content for item in bucket] + [left]
+        if left is not None and 2 * self.size > SLOTS * (self.mask + 1):
+            everything = [*self.items(), left]
             self._clear(2 * (self.mask + 1))
             self.resizes += 1
-            left = None
-            for i, (k, e) in enumerate(everything):
+            for k, e in everything:
                 left = self._place(k, e)
                 if left is not None:
-                    self._spill(everything[i + 1:])
-                    break
+                    self._put(self._places(left[0])[1], *left)
+        elif left is not None:
+            self._put(self._places(left[0])[1], *left)
 
-    def _spill(self, rest: list[tuple[bytes, list]]) -> None:
-        """Keep what doesn't fit yet in its first bucket, over the slot limit, until the next resize deals it anew."""
-        for k, e in rest:
-            mark, first, _ = self._places(k)
-            self.marks[first].append(mark)
-            self.content[first].append((k, e))
-            self.size += 1
+    def _put(self, place: int, key: bytes, entry: list) -> None:
+        self.marks[place].append(self._places(key)[0])
+        self.content[place].append((key, entry))
+        self.size += 1
 
     def _place(self, key: bytes, entry: list) -> tuple[bytes, list] | None:
         mark, first, second = self._places(key)
         for place in (first, second):
             if len(self.marks[place]) < SLOTS:
-                self.marks[place].append(mark)
-                self.content[place].append((key, entry))
-                self.size += 1
+                self._put(place, key, entry)
                 return None
         place = second
         for kick in range(MAX_KICKS):
@@ -95,9 +91,7 @@ class CuckooIndex:
             mark, (key, entry) = old_mark, old
             place = self._other(place, mark)
             if len(self.marks[place]) < SLOTS:
-                self.marks[place].append(mark)
-                self.content[place].append((key, entry))
-                self.size += 1
+                self._put(place, key, entry)
                 return None
         return key, entry
 
