@@ -31,7 +31,7 @@ MIN_CHARS = 20
 REGION = 384
 BLOCK_CHARS = 4_000_000
 PIECE = 1 << 18
-_A = np.uint64(0x9E3779B97F4A7C15)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER_BITS = 22
 
 
@@ -47,16 +47,15 @@ def q_grams(codes: np.ndarray, q: int) -> np.ndarray:
     """64-bit name of the q characters at each position."""
     if len(codes) < q:
         return np.zeros(0, np.uint64)
-    n = len(codes) - q + 1
-    wide = codes.astype(np.uint64)
-    out = wide[:n].copy()
-    for i in range(1, q):
-        out *= np.uint64(0x100000001B3)
-        out += wide[i:i + n]
-    out *= _A
-    out ^= out >> np.uint64(32)
-    out *= _A
-    return out
+    names, have = codes.astype(np.uint64), 1
+    while have < q:  # names of two strings make the name of the longer one; the last two overlap
+        step = min(have, q - have)
+        longer = names[:-step] * _B
+        longer += names[step:]
+        longer *= _A
+        longer ^= longer >> np.uint64(29)
+        names, have = longer, have + step
+    return names
 
 
 @dataclass
@@ -68,7 +67,8 @@ class RegionIndex:
     length: np.ndarray
     edits: np.ndarray
     needed: np.ndarray
-    names: np.ndarray  # sorted
+    names: np.ndarray  # distinct, sorted
+    first: np.ndarray  # where the rows of each name begin, and the end
     region: np.ndarray
     place: np.ndarray
     there: np.ndarray  # filter by the top bits of a name
@@ -100,7 +100,8 @@ def index_of(items: list[tuple], q: int = Q, edit_share: float = EDIT_SHARE, min
     order = np.argsort(names, kind="stable")
     there = np.zeros(1 << FILTER_BITS, bool)
     there[names >> np.uint64(64 - FILTER_BITS)] = True
-    return RegionIndex(q, ids, texts, length, edits, needed, names[order], owner[order], place[order], there)
+    distinct, first = np.unique(names[order], return_index=True)
+    return RegionIndex(q, ids, texts, length, edits, needed, distinct, np.append(first, len(names)), owner[order], place[order], there)
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -111,11 +112,11 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     a, b = max(0, low), min(len(text), low + len(padded))
     if b > a:
         padded[a - low:b - low] = text[a:b]
-    valid_low = max(0, -low)
+    valid_low, skip = max(0, -low), np.full(width, far)
     row = np.where(ramp >= valid_low, 0, far)  # pattern place 0 at text place low + k
     for i, c in enumerate(pattern, 1):
         cross = row + (padded[i - 1:i - 1 + width] != c)
-        skip = np.append(row[1:], far) + 1
+        skip[:-1] = row[1:] + 1
         row = np.minimum.accumulate(np.minimum(cross, skip) - ramp) + ramp
     ends = low + len(pattern) + ramp
     row = np.where((ends >= 0) & (ends <= len(text)), row, far)
@@ -143,12 +144,13 @@ def _in_piece(text: str, index: RegionIndex) -> list[tuple[int, int, int]]:
     if len(at) < index.needed.min():
         return []
     names = names[at]
-    low = np.searchsorted(index.names, names, "left")
-    many = np.searchsorted(index.names, names, "right") - low
-    hit = many > 0
-    at, low, many = at[hit], low[hit], many[hit]
+    spot = np.searchsorted(index.names, names)
+    hit = index.names[np.minimum(spot, len(index.names) - 1)] == names
+    at, spot = at[hit], spot[hit]
     if not len(at):
         return []
+    low = index.first[spot]
+    many = index.first[spot + 1] - low
     row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     region = index.region[row]
     diagonal = np.repeat(at, many) - index.place[row]
@@ -159,9 +161,17 @@ def _in_piece(text: str, index: RegionIndex) -> list[tuple[int, int, int]]:
     also = diagonal - band * size < edits
     key = np.concatenate([region * (1 << 40) + band + (1 << 39), region[also] * (1 << 40) + band[also] - 1 + (1 << 39)])
     kept, counts = np.unique(key, return_counts=True)
-    region, band = kept >> 40, (kept & ((1 << 40) - 1)) - (1 << 39)
+    kept = kept[counts >= index.needed[kept >> 40]]
+    if not len(kept):
+        return []
+    # what repeats itself shares a place of the region many times: only different places count
+    place = index.place[row]
+    of = np.isin(key, kept)
+    pairs = np.unique(np.stack([key[of], np.concatenate([place, place[also]])[of]]), axis=1)
+    kept, counts = np.unique(pairs[0], return_counts=True)
+    kept = kept[counts >= index.needed[kept >> 40]]
     out = []
-    for r, b in zip(region[counts >= index.needed[region]].tolist(), band[counts >= index.needed[region]].tolist()):
+    for r, b in zip((kept >> 40).tolist(), ((kept & ((1 << 40) - 1)) - (1 << 39)).tolist()):
         e, m = int(index.edits[r]), int(index.length[r])
         first, last = b * (e + 1), b * (e + 1) + 2 * e
         exact = text.find(index.text[r], max(0, first), max(0, last + m))
