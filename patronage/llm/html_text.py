@@ -25,16 +25,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import map_rows
 from patronage.session import materialise
 
-SAMPLE_PAGES = 400
-ROUNDS = 40
+SAMPLE_PAGES = 300
+ROUNDS = 30
 DEPTH = 5
 
 # Kinds of HTML elements and words in their attributes.
@@ -49,7 +47,7 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
              "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"})}
 NEVER = set("script style noscript head title template iframe object svg math select textarea button form input dialog canvas audio video noembed noframes".split())
 GOOD_ELEMENTS = {"article", "main"}
-BAD_ELEMENTS = set("nav footer aside header form menu".split())
+BAD_ELEMENTS = set("nav footer aside form menu".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 GOOD_TOKENS = set("article articles content post entry story body main text page blog news document doc richtext prose paragraph body-text hentry instapaper".split())
 BAD_TOKENS = set("nav navbar navigation menu menubar topbar footer foot header masthead sidebar side aside ad ads adv advert advertisement adverts banner promo "
@@ -59,7 +57,7 @@ BAD_TOKENS = set("nav navbar navigation menu menubar topbar footer foot header m
 COMMENT_TOKENS = set("comment comments commentlist disqus reply replies respond discussion reviews responses thread feedback".split())
 
 FEATURES = ("own", "all", "share", "links", "children", "descendants", "density", "depth", "place", "siblings", "same", "around", "stops", "block_words", "good", "bad",
-            "comment", "good_above", "bad_above", "comment_above", "good_element", "bad_element", "heading", "paragraph", "list", "box", "offset", "controls", "prose_beside")
+            "comment", "good_above", "bad_above", "comment_above", "good_element", "bad_element", "heading", "paragraph", "list", "box", "offset", "controls", "prose_beside", "header_element", "bad_element_itself")
 
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -223,7 +221,7 @@ def features(page: Page) -> np.ndarray:
         if first_at[i] is not None and (first_at[p] is None or first_at[i] < first_at[p]):
             first_at[p] = first_at[i]
         children[p].append(i)
-    depth, good_up, bad_up, com_up, good_el, bad_el = ([0] * n for _ in range(6))
+    depth, good_up, bad_up, com_up, good_el, bad_el, head_el = ([0] * n for _ in range(7))
     rows = np.zeros((n, len(FEATURES)))
     log = np.log1p
     prose = [sum(everything[c] for c in kids if tag[c] == "p") for kids in children]
@@ -234,13 +232,14 @@ def features(page: Page) -> np.ndarray:
         if p >= 0:
             depth[i] = depth[p] + 1
             good_up[i], bad_up[i], com_up[i] = good_up[p] or good, bad_up[p] or bad, com_up[p] or com
-            good_el[i], bad_el[i] = good_el[p] or t in GOOD_ELEMENTS, bad_el[p] or t in BAD_ELEMENTS
+            good_el[i], bad_el[i], head_el[i] = good_el[p] or t in GOOD_ELEMENTS, bad_el[p] or t in BAD_ELEMENTS, head_el[p] or t == "header"
         kids = children[p] if p >= 0 else [i]
         size = everything[i]
         rows[i] = (own[i], size, size / total, links[i] / max(1, size), len(children[i]), below[i], size / (below[i] + 1), min(depth[i], 30),
                    0.0, len(kids), 0.0, (everything[p] - size) / max(1, len(kids) - 1) if p >= 0 else 0.0, 100 * all_stops[i] / max(1, size), all_words[i] / max(1, all_blocks[i]),
                    good, bad, com, good_up[i], bad_up[i], com_up[i], good_el[i], bad_el[i], t in HEADINGS, t == "p", t in ("li", "ul", "ol", "dl", "dd", "dt"),
-                   t in ("div", "section", "body", "td"), (first_at[i] if first_at[i] is not None else total) / total, controls[i], prose[p] if p >= 0 else 0)
+                   t in ("div", "section", "body", "td"), (first_at[i] if first_at[i] is not None else total) / total, controls[i], prose[p] if p >= 0 else 0,
+                   head_el[i], t in BAD_ELEMENTS)
     for kids in children:
         if kids:
             m, counts = len(kids), {}
@@ -393,6 +392,8 @@ def layout(paragraphs: list[str], short: list[str], rng: random.Random) -> str:
     ]
     body = []
     k = rng.randint(1, 9)
+    if rng.random() < 0.2:  # hardly any text
+        paragraphs, k = short, rng.randint(1, 2)
     for i in range(k):
         body.append(f'<p data-y="1">{esc(pick(paragraphs))}</p>')
         r = rng.random()
@@ -437,7 +438,7 @@ def layout(paragraphs: list[str], short: list[str], rng: random.Random) -> str:
     return f"<html><head><title>x</title></head><body>{head}{middle}</body></html>"
 
 
-def labelled_nodes(source: str, seed: int, layouts: int = 5) -> Iterator[tuple[np.ndarray, list[int]]]:
+def labelled_nodes(source: str, seed: int, layouts: int = 4) -> Iterator[tuple[np.ndarray, list[int]]]:
     """(features, labels) of a page by its semantic elements, and of layouts made from its texts."""
     page = parsed(source)
     labels = semantic_labels(page)
@@ -455,6 +456,9 @@ def labelled_nodes(source: str, seed: int, layouts: int = 5) -> Iterator[tuple[n
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = ROUNDS, depth: int = DEPTH, seed: int = 42) -> Trees | None:
     """Fit the trees on the nodes of about ``sample_pages`` pages; None where no page has text."""
+    from pyspark.ml.classification import GBTClassifier  # here, since tasks that only extract needn't load it
+    from pyspark.ml.functions import array_to_vector
+
     rows = pages.select("page_id", "html").where(F.col("html").isNotNull())
     n = rows.count()
     share = min(1.0, sample_pages / n) if n else 0.0
@@ -467,6 +471,9 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = ROUN
                 for values, labels in labelled_nodes(source, s):
                     out["label"] += [float(y) for y in labels]
                     out["features"] += values.tolist()
+                if len(out["label"]) > 10_000:
+                    yield out
+                    out = {"label": [], "features": []}
             yield out
 
     sample = rows.select("html", mark.alias("mark")).where(F.col("mark") < F.lit(share * (1 << 40)))
