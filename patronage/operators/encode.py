@@ -5,11 +5,12 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS, Settings
 from patronage.fixed_values import VALUE_TIERS
+from patronage.functions.expressions import magnitude_bucket
 from patronage.functions.ordering import exact_quantiles, global_row_number, share_at_or_below
 from patronage.session import materialise
 
@@ -40,12 +41,15 @@ def _ecdf_key(metric: str) -> Column:
     return F.round(F.col(metric).cast("double"), 6)
 
 
+def _long(rows: DataFrame) -> DataFrame:
+    """(metric, value) of the engagement metrics."""
+    return rows.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), _ecdf_key(m).alias("value")) for m in ENGAGEMENT_METRICS])).alias("s")).select("s.*")
+
+
 def ecdf_table(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """(metric, value, share): share of reference rows at or below each value that occurs in ``rows``."""
-    long = lambda d: d.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), _ecdf_key(m).alias("value")) for m in ENGAGEMENT_METRICS])
-    ).alias("s")).select("s.*")
-    return share_at_or_below(long(reference), long(rows), by=["metric"])
+    return share_at_or_below(_long(reference), _long(rows), by=["metric"])
 
 
 def with_ecdf(rows: DataFrame, reference: DataFrame) -> DataFrame:
@@ -57,6 +61,35 @@ def with_ecdf(rows: DataFrame, reference: DataFrame) -> DataFrame:
     large share of customers has in common.
     """
     table = materialise(ecdf_table(rows, reference), "ecdf", partition_by="metric")
+    return _with_shares(rows, table)
+
+
+def ecdf_steps(reference: DataFrame) -> DataFrame:
+    """(metric, value, share) at every distinct value of the reference: fitted once, looked up later."""
+    return ecdf_table(reference, reference)
+
+
+def step_lookup(asked: DataFrame, steps: DataFrame) -> DataFrame:
+    """(metric, value, share) of asked values: the share of the largest step at or below, 0 below all.
+
+    Only steps of the buckets that are asked for are put in order; all others count by the largest
+    share of their bucket.
+    """
+    bucketed = lambda d: d.withColumn("_bucket", magnitude_bucket(F.col("value")))
+    wanted, table = bucketed(asked), bucketed(steps)
+    spots = wanted.select("metric", "_bucket").distinct()
+    tops = table.groupBy("metric", "_bucket").agg(F.max("share").alias("_top")).unionByName(spots.withColumn("_top", F.lit(None).cast("double")))
+    across = Window.partitionBy("metric").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (tops.groupBy("metric", "_bucket").agg(F.max("_top").alias("_top")).withColumn("_before", F.max("_top").over(across))
+              .join(spots, ["metric", "_bucket"], "left_semi").select("metric", "_bucket", "_before"))
+    points = wanted.withColumns({"share": F.lit(None).cast("double"), "_asked": F.lit(True)}).unionByName(
+        table.join(spots, ["metric", "_bucket"], "left_semi").withColumn("_asked", F.lit(False)).select("metric", "value", "_bucket", "share", "_asked"))
+    upto = Window.partitionBy("metric", "_bucket").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    inside = points.withColumn("_inside", F.max("share").over(upto)).where("_asked")
+    return inside.join(before, ["metric", "_bucket"]).select("metric", "value", F.coalesce("_inside", "_before", F.lit(0.0)).alias("share"))
+
+
+def _with_shares(rows: DataFrame, table: DataFrame) -> DataFrame:
     out = rows
     for m in ENGAGEMENT_METRICS:
         side = table.where(F.col("metric") == m).select(F.col("value").alias("_v"), F.col("share").alias(f"ecdf_{m}"))
@@ -64,6 +97,18 @@ def with_ecdf(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return out
 
 
+def _filled(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    columns = rows.columns if "engagement_score" in rows.columns else [*rows.columns, "engagement_score"]
+    given = F.col("engagement_score") if "engagement_score" in rows.columns else F.lit(None).cast("double")
+    return ranked.withColumn("engagement_score", F.coalesce(given, engagement())).select(*columns)
+
+
+def fill_from_steps(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """``fill_engagement`` from a saved ``ecdf_steps`` table, for small batches of rows against a large reference."""
+    asked = _long(rows).distinct()
+    return _filled(rows, _with_shares(rows, materialise(step_lookup(asked, steps), "ecdf-batch", partition_by="metric")))
+
+
 def engagement() -> Column:
     inverse_recency = F.lit(1.0) - F.col("ecdf_recency_days")
     return F.lit(100.0) * (inverse_recency + F.col("ecdf_frequency") + F.col("ecdf_total_spend")) / F.lit(3.0)
@@ -71,9 +116,7 @@ def engagement() -> Column:
 
 def fill_engagement(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Fill ``engagement_score`` where it is missing; the column order stays."""
-    columns = rows.columns if "engagement_score" in rows.columns else [*rows.columns, "engagement_score"]
-    given = F.col("engagement_score") if "engagement_score" in rows.columns else F.lit(None).cast("double")
-    return (with_ecdf(rows, reference).withColumn("engagement_score", F.coalesce(given, engagement())).select(*columns))
+    return _filled(rows, with_ecdf(rows, reference))
 
 
 # ---------------------------------------------------------------- model matrix
@@ -83,8 +126,14 @@ def model_columns(levels: Sequence[str], settings: Settings = DEFAULTS) -> list[
 
 def model_matrix(df: DataFrame, levels: Sequence[str], settings: Settings = DEFAULTS,
                  keep: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """Doubles in fixed order next to the ``keep`` columns; missing affinity columns count 0."""
-    numeric = [(F.col(c).try_cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in settings.feature_columns]
+    """Doubles in fixed order next to the ``keep`` columns; missing affinity columns and null shares count 0."""
+    def number(c: str) -> Column:
+        if c not in df.columns:
+            return F.lit(0.0)
+        v = F.col(c).try_cast("double")
+        return F.coalesce(v, F.lit(0.0)) if c.startswith("affinity_") else v
+
+    numeric = [number(c).alias(c) for c in settings.feature_columns]
     flags = [c.alias(n) for n, c in country_flags(levels).items()]
     return df.select(*[F.col(k) for k in keep if k not in settings.feature_columns], *numeric, *flags)
 

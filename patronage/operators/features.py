@@ -104,24 +104,17 @@ def average_popularity(pairs: DataFrame, popularity: DataFrame, shared: bool = F
 
 # ---------------------------------------------------------------- orders, days, customers
 # Aggregation buffers hold numbers and time stamps only, so that all levels are hash aggregations.
-# The country travels as a 64-bit code and gets its name back at the end.
-_TIE_BITS = 22
-
-
-def _country_code() -> Column:
-    return F.when(F.col("country").isNotNull(), F.xxhash64("country"))
-
-
-def _country_order(moment: Column) -> Column:
-    """Milliseconds in the high bits, a part of the country code below them: a fixed order also on equal times."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    millis = F.floor(micros_between(start, moment) / 1000).cast("long")
-    return millis * (1 << _TIE_BITS) + F.pmod(_country_code(), F.lit(1 << _TIE_BITS))
+# The country travels as its place in the alphabet and gets its name back at the end: the country of an
+# order is the last by name of its sale lines, that of a customer is the one of the latest order (by
+# date, then invoice) that has one.
+def country_names(sub: DataFrame) -> DataFrame:
+    """(_country_name, _code): distinct countries, numbered by name. As many rows as there are countries."""
+    names = sub.where(F.col("country").isNotNull()).select(F.col("country").alias("_country_name")).distinct()
+    return names.withColumn("_code", F.row_number().over(Window.orderBy("_country_name")))
 
 
-def country_names(sub: DataFrame) -> DataFrame:
-    return sub.where(F.col("country").isNotNull()).select(
-        F.col("country").alias("_country_name")).distinct().withColumn("_code", F.xxhash64("_country_name"))
+def with_country_code(sub: DataFrame, names: DataFrame) -> DataFrame:
+    return sub.join(names, F.col("country") == F.col("_country_name"), "left").withColumnRenamed("_code", "country_code").drop("_country_name")
 
 
 def discounted_spend(sub: DataFrame, medians: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -141,14 +134,12 @@ def orders(sub: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     amount = F.col("line_total")
     spend = [F.sum(F.when(product & (F.col("category") == c), amount)).alias(f"_spend_{c}") for c in settings.categories]
     disc = F.sum("disc_spend") if "disc_spend" in sub.columns else F.sum(F.lit(0.0))
-    place = F.when(sale & F.col("country").isNotNull(), _country_order(F.col("invoice_date")))
     return sub.groupBy(*KEY, "invoice").agg(
         F.max(F.when(sale, F.col("invoice_date"))).alias("order_date"),
         F.max("invoice_date").alias("_last_line"),
         F.sum(F.when(sale, amount)).alias("order_value"),
         F.sum(F.when(sale, F.col("quantity"))).alias("units"),
-        F.max_by(_country_code(), place).alias("country_code"),
-        F.max(place).alias("_place"),
+        (F.max(F.when(sale, F.col("country_code"))) if "country_code" in sub.columns else F.lit(None).cast("int")).alias("country_code"),
         F.sum(amount).alias("_net"),
         F.count(F.lit(1)).alias("_lines"),
         F.count_if(F.col("is_return")).alias("_returns"),
@@ -173,12 +164,14 @@ def order_days(order_rows: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     day = F.to_date(F.coalesce("order_date", "_last_line"))
     within = Window.partitionBy(*KEY, "_day").orderBy(F.col("order_date").asc_nulls_last(), "invoice")
     gap = days_between(F.lag("order_date").over(within), F.col("order_date"))
-    rows = order_rows.withColumn("_day", day).withColumn("_gap", gap).withColumn("_bin", F.when(is_order, age_bin))
+    whole_day = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = order_rows.withColumn("_day", day).withColumns({
+        "_gap": gap, "_bin": F.when(is_order, age_bin), "_day_country": F.last("country_code", ignorenulls=True).over(whole_day)})
     return rows.groupBy(*KEY, "_day").agg(
         F.min("order_date").alias("_first"), F.max("order_date").alias("_last"),
         F.count_if(is_order).alias("_orders"),
         F.sum("order_value").alias("_value"), F.sum("units").alias("_units"),
-        F.max_by("country_code", "_place").alias("country_code"), F.max("_place").alias("_place"),
+        F.max("_day_country").alias("country_code"),
         F.sum(F.lit(settings.trend_window_bins - 1) - F.col("_bin")).alias("_age_sum"), F.max("_bin").alias("_oldest"),
         F.sum(F.col("_gap") * F.col("_gap")).alias("_gap_squares"),
         *[F.sum(c).alias(c) for c in _sums(settings)])
@@ -192,7 +185,7 @@ def customers(days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     folded = days.withColumn("_gap", gap).groupBy(*KEY).agg(
         F.min("_first").alias("first_purchase"), F.max("_last").alias("last_purchase"),
         F.sum("_orders").alias("_freq"), F.sum("_value").alias("_value"), F.sum("_units").alias("_units"),
-        F.max_by("country_code", "_place").alias("country_code"), F.sum("_age_sum").alias("_age_sum"), F.max("_oldest").alias("_oldest"),
+        F.max_by("country_code", F.when(F.col("country_code").isNotNull(), F.col("_last"))).alias("country_code"), F.sum("_age_sum").alias("_age_sum"), F.max("_oldest").alias("_oldest"),
         (F.coalesce(F.sum("_gap_squares"), F.lit(0.0))
          + F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0))).alias("_gap_squares"),
         *[n_month(m).alias(f"_m{m}") for m in range(1, 13)],
@@ -222,9 +215,9 @@ def customers(days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         *[share(f"_spend_{c}").alias(f"affinity_{c}") for c in settings.categories])
 
 
-def with_country(rows: DataFrame, sub: DataFrame) -> DataFrame:
-    """Country names for the codes. The list of names is tiny; Spark sees its size and sends it to all tasks."""
-    return (rows.join(materialise(country_names(sub), "countries"), F.col("country_code") == F.col("_code"), "left")
+def with_country(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Country names for the codes."""
+    return (rows.join(names, F.col("country_code") == F.col("_code"), "left")
             .withColumn("country", F.coalesce("_country_name", F.lit("nan"))).drop("country_code", "_country_name", "_code"))
 
 
@@ -232,12 +225,13 @@ def customer_base(tx: DataFrame, moments: Sequence[datetime], settings: Settings
                   sub: DataFrame | None = None) -> DataFrame:
     """All features but popularity and engagement.
 
-    The SKU medians are written first: with the size of that table known, Spark sends it to all
-    tasks while it is small, and joins by shuffle when it is not.
+    SKU medians and country names are written first: with the size of these tables known, Spark
+    sends them to all tasks while they are small, and joins by shuffle when they are not.
     """
     sub = point_in_time(tx, moments) if sub is None else sub
-    lines = discounted_spend(sub, materialise(median_prices(sub), "median-prices"), settings)
-    return with_country(customers(order_days(orders(lines, settings), settings), settings), sub)
+    names = materialise(country_names(sub), "countries")
+    lines = discounted_spend(with_country_code(sub, names), materialise(median_prices(sub), "median-prices"), settings)
+    return with_country(customers(order_days(orders(lines, settings), settings), settings), names)
 
 
 def customer_features(tx: DataFrame, moments: Sequence[datetime], settings: Settings = DEFAULTS,
@@ -297,14 +291,14 @@ def train_and_scoring(tx: DataFrame, settings: Settings = DEFAULTS) -> tuple[Dat
     """(training snapshot with labels, scoring snapshot, popularity map of the training snapshot)."""
     train_at, score_at = cutoffs(tx, settings)
     popularity = materialise(product_popularity(customer_products(point_in_time(tx, [train_at]))), "popularity")
-    train = with_labels(customer_features(tx, [train_at], settings), tx, [train_at], settings)
+    train = with_labels(customer_features(tx, [train_at], settings, popularity=popularity), tx, [train_at], settings)
     scoring = customer_features(tx, [score_at], settings, popularity=popularity)
     return train, scoring, popularity
 
 
 __all__ = [
     "KEY", "cutoffs", "point_in_time", "horizon_lines", "median_prices", "customer_products", "product_popularity",
-    "average_popularity", "discounted_spend", "orders", "order_days", "customers", "country_names", "with_country",
+    "average_popularity", "discounted_spend", "orders", "order_days", "customers", "country_names", "with_country_code", "with_country",
     "customer_base", "customer_features", "labels",
     "with_labels", "train_and_scoring",
 ]

@@ -15,8 +15,6 @@ from patronage.config import DEFAULTS, Settings
 from patronage.fixed_values import SEGMENT_FEATURES, SEGMENT_LOG_FEATURES, SEGMENT_PROFILE_COLUMNS
 from patronage.operators.encode import value_tiers
 
-MOST_CLUSTERS_FOR_BROADCAST = 4096
-
 
 # ---------------------------------------------------------------- standardising
 @dataclass(frozen=True)
@@ -78,7 +76,7 @@ def kmeans_search(vectors: DataFrame, settings: Settings = DEFAULTS):
         model = min(fits, key=lambda m: m.summary.trainingCost)
         score = silhouette(model.transform(vectors), "segment")
         table.append((k, float(model.summary.trainingCost), score))
-        if best is None or (score or -1) > (best[1] or -1):
+        if best is None or (-1.0 if score is None else score) > (-1.0 if best[1] is None else best[1]):
             best = (model, score)
     return best[0], table
 
@@ -120,10 +118,8 @@ def davies_bouldin(df: DataFrame, cluster: str, dims: Sequence[str]) -> DataFram
     """
     data = df.where(F.col(cluster) >= 0).select(F.col(cluster).alias("_c"), F.array(*[F.col(d).cast("double") for d in dims]).alias("_v"))
     centres = data.groupBy("_c").agg(F.array(*[F.avg(F.col("_v")[i]) for i in range(len(dims))]).alias("_m"))
-    small = centres.limit(MOST_CLUSTERS_FOR_BROADCAST + 1).count() <= MOST_CLUSTERS_FOR_BROADCAST
-    side = F.broadcast(centres) if small else centres
     distance = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    spread = (data.join(side, "_c").groupBy("_c").agg(F.avg(distance(F.col("_v"), F.col("_m"))).alias("_s"), F.first("_m").alias("_m")))
+    spread = (data.join(centres, "_c").groupBy("_c").agg(F.avg(distance(F.col("_v"), F.col("_m"))).alias("_s"), F.first("_m").alias("_m")))
     clusters = spread.agg(F.collect_list(F.struct("_c", "_s", "_m")).alias("all"))
     ratio = lambda x, y: F.try_divide(x["_s"] + y["_s"], distance(x["_m"], y["_m"]))
     worst = F.transform("all", lambda x: F.array_max(F.transform(F.filter("all", lambda y: y["_c"] != x["_c"]), lambda y: ratio(x, y))))

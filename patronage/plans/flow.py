@@ -18,7 +18,7 @@ from patronage.operators import features as X
 from patronage.operators import segment as G
 from patronage.operators.validate import validate_features, validate_transactions
 from patronage.plans import score as S
-from patronage.session import materialise
+from patronage.session import Scratch, materialise
 from patronage.sources import invoices, runlog, sinks
 
 
@@ -47,7 +47,8 @@ def stage_clean(spark: SparkSession, paths: Paths, settings: Settings = DEFAULTS
     clean = C.clean_distinct(distinct, settings, C.Fences.saved(edges["q_hi"], edges["p_hi"]), spark.read.parquet(paths.of("products")))
     sinks.write_clean(clean, paths.of("lines_clean"))
     back = clean_lines(spark, paths)
-    report = C.cleaning_counts(back).first().asDict()
+    complete = C.drop_incomplete(raw).count()
+    report = {**C.cleaning_counts(back).first().asDict(), "rows_complete": complete, "exact_duplicates_removed": complete - distinct.count()}
     clean_stats = validate_transactions(back, settings)
     return {**report, "rows_in": raw_stats["rows"], "raw_validation": raw_stats, "clean_validation": clean_stats,
             "fences": edges.asDict()}
@@ -61,8 +62,8 @@ def stage_features(spark: SparkSession, paths: Paths, settings: Settings = DEFAU
     """Training snapshot with labels and scoring snapshot, engagement filled from the training values."""
     train, scoring, popularity = X.train_and_scoring(clean_lines(spark, paths), settings)
     train = materialise(train, "train-base", *X.KEY)
-    filled_train = materialise(E.fill_engagement(train, train), "train-filled", *X.KEY)
-    sinks.write_snapshots(filled_train, E.fill_engagement(scoring, train), paths.of("snapshots"))
+    scoring = materialise(scoring, "scoring-base", *X.KEY)
+    sinks.write_snapshots(E.fill_engagement(train, train), E.fill_engagement(scoring, train), paths.of("snapshots"))
     sinks.replace_table(popularity.select("stock_code", "popularity"), paths.of("popularity"))
     return {name: validate_features(snapshot(spark, paths, name), settings.feature_columns) for name in ("train", "scoring")}
 
@@ -107,14 +108,19 @@ def stage_score(spark: SparkSession, paths: Paths, settings: Settings = DEFAULTS
 
 
 def run(spark: SparkSession, frames: Sequence[DataFrame], root: str, run_id: str, settings: Settings = DEFAULTS, **options: Any) -> dict[str, Any]:
-    """All stages in order."""
+    """All stages in order. Each stage's intermediate tables go at its end."""
     paths = Paths(root)
-    stage_land(frames, paths)
-    report = stage_clean(spark, paths, settings)
-    checks = stage_features(spark, paths, settings)
-    models = stage_train(spark, paths, run_id, settings, **options)
-    segmentation = stage_segment(spark, paths, settings)
-    counts = stage_score(spark, paths, settings, models)
+    with Scratch():
+        stage_land(frames, paths)
+        report = stage_clean(spark, paths, settings)
+    with Scratch():
+        checks = stage_features(spark, paths, settings)
+    with Scratch():
+        stage_train(spark, paths, run_id, settings, **options)
+        models = S.load(spark, paths.of("models"))
+    with Scratch():
+        segmentation = stage_segment(spark, paths, settings)
+        counts = stage_score(spark, paths, settings, models)
     return {"cleaning": report, "features": checks, "segmentation": segmentation, "published": counts}
 
 

@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool =
 
 
 def standardise_columns(df: DataFrame) -> DataFrame:
-    """Canonical names and types in one projection: bad numbers and dates become null, text is trimmed."""
+    """Canonical names and types in one projection: bad numbers and dates become null (also NaN, infinity and customer numbers that aren't whole), text is trimmed."""
     chosen: dict[str, str] = {}
     for column in df.columns:
         canonical = COLUMN_ALIASES.get(re.sub(r"[^a-z0-9]", "", column.lower()))
@@ -36,7 +36,14 @@ def standardise_columns(df: DataFrame) -> DataFrame:
             chosen[canonical] = column
     # trim() takes the blanks; other white space counts as well
     strip = lambda c: F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
-    as_number = lambda c: c.try_cast("double")
+    def as_number(c):
+        v = c.try_cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+    def as_whole(c):
+        v = as_number(c)
+        return F.when(v == F.floor(v), v.try_cast("long"))
+
     typed = {
         "invoice": strip,
         "stock_code": lambda c: F.upper(strip(c)),
@@ -44,7 +51,7 @@ def standardise_columns(df: DataFrame) -> DataFrame:
         "quantity": as_number,
         "invoice_date": lambda c: c.try_cast("timestamp_ntz"),
         "unit_price": as_number,
-        "customer_id": lambda c: c.try_cast("double").try_cast("long"),
+        "customer_id": as_whole,
         "country": strip,
     }
     order = list(dict.fromkeys(COLUMN_ALIASES.values()))

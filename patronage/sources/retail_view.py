@@ -1,6 +1,6 @@
 """Invoice lines derived from the order tables (lineitem, orders, part, customer, nation).
 
-Adds what the tables hold none of: exact duplicates and reversed entry errors. One scan of
+Adds what the tables hold none of: exact duplicates, reversed entry errors, customers that order from a second country. One scan of
 lineitem; the extra rows come from an explode, not from further scans.
 """
 from __future__ import annotations
@@ -40,7 +40,7 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
          ).alias("invoice_date"),
         F.when((F.col("l_orderkey") + F.col("l_partkey")) % 400 == 0, F.lit(0.0)).otherwise(cents).alias("unit_price"),
         F.when(F.col("o_custkey") % 6 != 5, F.col("o_custkey")).alias("customer_id"),
-        F.col("n_name").alias("country"),
+        F.when(F.col("l_orderkey") % 11 == 3, F.lit("FRANCE")).otherwise(F.col("n_name")).alias("country"),
         key.alias("_key"),
         (F.col("l_orderkey") % 101 == 0).alias("_twice"),
         ((F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 1)).alias("_error"))

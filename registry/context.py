@@ -56,7 +56,8 @@ class Context:
     def train(self) -> DataFrame:
         """Training snapshot with labels, engagement score filled."""
         at = [self.cutoffs[0]]
-        base = materialise(X.with_labels(X.customer_features(self.clean, at, self.settings), self.clean, at, self.settings),
+        features = X.customer_features(self.clean, at, self.settings, popularity=self.popularity)
+        base = materialise(X.with_labels(features, self.clean, at, self.settings),
                            "train-base", *X.KEY)
         return materialise(E.fill_engagement(base, base), "train-snapshot", *X.KEY)
 
@@ -68,7 +69,7 @@ class Context:
     @cached_property
     def scoring(self) -> DataFrame:
         base = X.customer_features(self.clean, [self.cutoffs[1]], self.settings, popularity=self.popularity)
-        return materialise(E.fill_engagement(base, self.train), "scoring-snapshot", *X.KEY)
+        return materialise(E.fill_engagement(materialise(base, "scoring-base", *X.KEY), self.train), "scoring-snapshot", *X.KEY)
 
     # stand-in scores: a hash of the customer, so that operators on given scores have an SQL check
     @property

@@ -7,6 +7,7 @@ from patronage.fixed_values import BASE_FEATURES
 from patronage.operators import encode as E
 from patronage.operators import features as X
 from patronage.operators import sequences as S
+from patronage.session import materialise
 from registry.base import n, query, r, rounded
 from registry.sqlbase import CATS, block
 
@@ -20,7 +21,8 @@ def _sub(ctx):
 
 def _customers(ctx):
     sub = _sub(ctx)
-    return X.with_country(X.customers(X.order_days(X.orders(sub, ctx.settings), ctx.settings), ctx.settings), sub)
+    names = materialise(X.country_names(sub), "countries")
+    return X.with_country(X.customers(X.order_days(X.orders(X.with_country_code(sub, names), ctx.settings), ctx.settings), ctx.settings), names)
 
 
 @query("flagship_churn_by_recency", f"""
@@ -52,7 +54,8 @@ def _(ctx):
 @query("f03_orders", f"SELECT customer_id, invoice, order_date, {r('order_value', 'units')}, country FROM orders_tr", "orders_tr")
 def _(ctx):
     sub = _sub(ctx)
-    return rounded(X.with_country(X.orders(sub, ctx.settings).where("order_date IS NOT NULL"), sub)
+    names = materialise(X.country_names(sub), "countries")
+    return rounded(X.with_country(X.orders(X.with_country_code(sub, names), ctx.settings).where("order_date IS NOT NULL"), names)
                    .select("customer_id", "invoice", "order_date", "order_value", "units", "country"))
 
 

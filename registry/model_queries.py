@@ -1,7 +1,6 @@
 """Models, anomaly scores, clusters, explanations of models, neighbours and streams.
 
-Rows-only unless the result has an SQL form. Searches are kept short here (few candidates, folds
-and trees); the rows are always whole tables.
+Rows-only unless the result has an SQL form. All run on whole tables with the default settings.
 """
 from __future__ import annotations
 
@@ -24,32 +23,16 @@ from patronage.streaming import jobs
 from registry.base import query, r, rounded
 from registry.sqlbase import block
 
-SHORT = {
-    "logistic_regression": {"C": [0.1, 1.0], "l1_ratio": [0.0, 1.0]},
-    "decision_tree": {"max_depth": [3, 5], "min_samples_leaf": [20]},
-    "random_forest": {"n_estimators": [20], "max_depth": [6], "min_samples_leaf": [5, 10]},
-    "boosted_trees": {"learning_rate": [0.1], "max_depth": [3], "subsample": [0.85], "colsample": [0.8, 1.0], "n_estimators": [8]},
-    "ann": {"hidden_units": [(16, 8)], "max_iter": [25]},
-    "clv_ridge": {"alpha": [1.0, 100.0]},
-    "clv_boosted": {"max_depth": [3], "learning_rate": [0.1], "n_estimators": [8]},
-}
-
-
-def short(ctx):
-    return ctx.settings.with_(cv_folds=2, search_iterations=2, k_max=5, kmeans_restarts=1)
-
-
 def model_rows(ctx):
     if not hasattr(ctx, "_model_rows"):
-        # folds are written with the two folds of the short search
-        rows, encoder = P.training_table(ctx.train, short(ctx))
+        rows, encoder = P.training_table(ctx.train, ctx.settings)
         ctx._model_rows = (materialise(rows, "model-rows"), encoder)
     return ctx._model_rows
 
 
 def fitted(ctx):
     if not hasattr(ctx, "_fitted"):
-        ctx._fitted = S.fit_all(ctx.train, "run-1", short(ctx), SHORT, ("logistic_regression", "random_forest", "boosted_trees"), 20)
+        ctx._fitted = S.fit_all(ctx.train, "run-1", ctx.settings)
     return ctx._fitted
 
 
@@ -72,32 +55,27 @@ def _(ctx):
 
 
 # ------------------------------------------------------------------ churn, value, category
-def _churn_row(ctx, name):
-    rows, _encoder = model_rows(ctx)
-    x = P.train_churn(name, rows, short(ctx), SHORT[name])
-    return rounded(ctx.spark.createDataFrame(
-        [(x.name, s, float(m["roc_auc"]), float(m["recall"]), float(m["f1"]), float(x.threshold), float(x.cv_mean)) for s, m in (("val", x.val), ("test", x.test))],
-        "model string, split string, roc_auc double, recall double, f1 double, threshold double, cv_roc_auc_mean double"))
+def _trained(ctx, task, name, figures):
+    """Figures of one model, from the log of the one training run that all these queries share."""
+    rows = [(name, x["split"], *[float(x["metrics"][f]) for f in figures]) for x in fitted(ctx)[1] if x["task"] == task and x["model"] == name]
+    return rounded(ctx.spark.createDataFrame(rows, "model string, split string, " + ", ".join(f"{f} double" for f in figures)))
 
 
 for _key, _name in (("p02_logistic_regression", "logistic_regression"), ("p03_decision_tree", "decision_tree"),
                     ("p04_random_forest", "random_forest"), ("p05_boosted_trees", "boosted_trees"), ("p06_feed_forward_network", "ann")):
-    query(_key)(lambda ctx, name=_name: _churn_row(ctx, name))
+    query(_key)(lambda ctx, name=_name: _trained(ctx, "churn", name, ("roc_auc", "recall", "f1", "threshold", "cv_roc_auc_mean")))
 
 
 @query("p07_value_models")
 def _(ctx):
-    rows, _encoder = model_rows(ctx)
-    winner, results = P.train_value(rows, short(ctx), SHORT)
-    return rounded(ctx.spark.createDataFrame(
-        [(k, k == winner, float(v["cv_r2"]), float(v["test"]["mae"]), float(v["test"]["rmse"])) for k, v in results.items()],
-        "model string, selected boolean, cv_r2 double, test_mae double, test_rmse double"))
+    figures = ("mae", "rmse", "cv_r2_mean")
+    return _trained(ctx, "clv", "clv_ridge", figures).unionByName(_trained(ctx, "clv", "clv_boosted", figures))
 
 
 @query("p08_next_category")
 def _(ctx):
     rows, _encoder = model_rows(ctx)
-    scoring, _labels, _found = P.train_next_category(rows, short(ctx), 20)
+    scoring, _labels, _found = P.train_next_category(rows, ctx.settings)
     return scoring.transform(rows).groupBy("split", "next_category", "predicted_category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,8 +102,8 @@ def _(ctx):
     n_rows = fit_rows.count()
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     best, mean, std = P.search(lambda p: P.churn_estimator("logistic_regression", p, n_rows, 1, ctx.settings),
-                               P.candidates(SHORT["logistic_regression"], 3, 42), fit_rows,
-                               BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="raw"), short(ctx))
+                               P.candidates(P.SEARCH_SPACES["logistic_regression"], ctx.settings.search_iterations, ctx.settings.seed), fit_rows,
+                               BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="raw"), ctx.settings)
     return rounded(ctx.spark.createDataFrame([(str(sorted(best.items())), mean, std)], "best string, cv_mean double, cv_std double"))
 
 
@@ -148,7 +126,7 @@ def _(ctx):
 # ------------------------------------------------------------------ clusters
 @query("g02_g04_g07_g10_segmentation")
 def _(ctx):
-    assignments, _profiles, _metrics = G.segment_customers(ctx.scoring, short(ctx))
+    assignments, _profiles, _metrics = G.segment_customers(ctx.scoring, ctx.settings)
     return rounded(assignments)
 
 
@@ -156,7 +134,7 @@ def _(ctx):
 def _(ctx):
     vectors, _ = G.prepare(ctx.scoring)
     vectors = vectors.persist()
-    _model, table = G.kmeans_search(vectors, short(ctx))
+    _model, table = G.kmeans_search(vectors, ctx.settings)
     vectors.unpersist()
     return rounded(ctx.spark.createDataFrame(table, "k int, inertia double, silhouette double"))
 
@@ -164,7 +142,7 @@ def _(ctx):
 @query("g12_hierarchy")
 def _(ctx):
     vectors, _ = G.prepare(ctx.scoring)
-    return rounded(G.hierarchy(vectors, 8).transform(vectors).groupBy("leaf").agg(F.count(F.lit(1)).alias("customers")))
+    return rounded(G.hierarchy(vectors).transform(vectors).groupBy("leaf").agg(F.count(F.lit(1)).alias("customers")))
 
 
 def _vectors(ctx):
@@ -215,8 +193,10 @@ def _(ctx):
 def _(ctx):
     rows, encoder = model_rows(ctx)
     model = fitted(ctx)[0].churn
-    base = XM.background_rows(rows.where("split = 'train'"), 100, ctx.settings.seed)
-    return rounded(XM.permutation_shapley(rows.where("split = 'test'"), base, model, encoder.columns, permutations=2))
+    base = XM.background_rows(rows.where("split = 'train'"), ctx.settings.background_size, ctx.settings.seed)
+    scored = S.score(ctx.scoring, fitted(ctx)[0], ctx.settings).where("risk_tier = 'High'").select("customer_id")
+    high = fitted(ctx)[0].encoder.transform(ctx.scoring.join(scored, "customer_id", "left_semi"), ["customer_id"], ctx.settings)
+    return rounded(XM.permutation_shapley(high, base, model, encoder.columns))
 
 
 @query("x03_local_surrogate")
@@ -225,15 +205,19 @@ def _(ctx):
     models = fitted(ctx)[0]
     scored = S.score(ctx.scoring, models, ctx.settings)
     chosen = X.representatives(scored, models.threshold).first()  # three customers
-    train_base = XM.background_rows(rows.where("split = 'train'"), 100, ctx.settings.seed)
+    train_base = XM.background_rows(rows.where("split = 'train'"), ctx.settings.background_size, ctx.settings.seed)
     wanted = models.encoder.transform(ctx.scoring.where(F.col("customer_id").isin([int(v) for v in chosen])), ["customer_id"], ctx.settings)
-    return rounded(XM.local_surrogate(wanted, train_base, models.churn, encoder.columns, ctx.settings, samples=300))
+    return rounded(XM.local_surrogate(wanted, train_base, models.churn, encoder.columns, ctx.settings))
 
 
 @query("x05_partial_dependence")
 def _(ctx):
     rows, encoder = model_rows(ctx)
-    return rounded(XM.partial_dependence(rows, fitted(ctx)[0].churn, encoder.columns, "recency_days", 10))
+    out = None
+    for feature in encoder.columns[:3]:
+        curve = XM.partial_dependence(rows, fitted(ctx)[0].churn, encoder.columns, feature).withColumn("feature", F.lit(feature))
+        out = curve if out is None else out.unionByName(curve)
+    return rounded(out)
 
 
 # ------------------------------------------------------------------ streams over files written from the given tables
@@ -241,16 +225,18 @@ def _scratch(ctx, name):
     return f"{shared_folder(ctx.spark).rstrip('/')}/patronage/{name}-{uuid.uuid4().hex}"
 
 
-@query("r01_stream_scoring")
+@query("r01_stream_scoring", f"""
+  SELECT customer_id, customer_id % 10 <> 0 AS scored, {r('CASE WHEN customer_id % 10 <> 0 THEN engagement_score END AS engagement_score')} FROM snap_sc""", "snap_sc")
 def _(ctx):
     source, scored, rejects, check = (_scratch(ctx, x) for x in ("records", "scored", "rejects", "check"))
     spoiled = ctx.scoring.withColumn("return_rate", F.when(F.col("customer_id") % 10 == 0, 1.5).otherwise(F.col("return_rate")))
+    spoiled = spoiled.drop("engagement_score")
     spoiled.repartition(3).write.parquet(source)
     stream = jobs.read_stream(ctx.spark, source, spoiled.schema, files_per_batch=1)
     jobs.start(stream, jobs.score_batches(fitted(ctx)[0], scored, rejects, ctx.settings), check).awaitTermination()
-    good = ctx.spark.read.parquet(scored).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("scored").alias("kind"), "rows")
-    bad = ctx.spark.read.parquet(rejects).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("rejected").alias("kind"), "rows")
-    return good.unionByName(bad)
+    good = ctx.spark.read.parquet(scored).select("customer_id", F.lit(True).alias("scored"), "engagement_score")
+    bad = ctx.spark.read.parquet(rejects).select("customer_id", F.lit(False).alias("scored"), F.lit(None).cast("double").alias("engagement_score"))
+    return rounded(good.unionByName(bad))
 
 
 @query("r02_stream_upsert", f"""
@@ -270,12 +256,11 @@ def _(ctx):
   SELECT invoice, stock_code, description, quantity, customer_id, is_return, is_admin_code, is_outlier, category FROM clean""", "clean")
 def _(ctx):
     source, target, check = (_scratch(ctx, x) for x in ("lines", "clean-stream", "check"))
-    ctx.raw.repartition(4).write.parquet(source)
+    ctx.raw.repartition(4).write.parquet(source)  # files in no order of time
     from patronage.operators import clean as C
     stream = jobs.read_stream(ctx.spark, source, ctx.raw.schema, files_per_batch=2)
     products = materialise(C.product_table(ctx.distinct, ctx.settings), "products")
-    out = jobs.clean_lines(stream, ctx.fences, products, ctx.settings, delay="4000 days")
-    jobs.start_append(out, target, check).awaitTermination()
+    jobs.start(stream, jobs.clean_batches(target, _scratch(ctx, "stream-keys"), ctx.fences, products, ctx.settings), check).awaitTermination()
     return ctx.spark.read.parquet(target).select("invoice", "stock_code", "description", "quantity", "customer_id", "is_return",
                                                  "is_admin_code", "is_outlier", "category")
 

@@ -15,12 +15,12 @@ from registry.sqlbase import CATS, block
 block("view_sc", f"""
   SELECT s.*, {TIER} AS risk_tier, churn_probability * historical_clv AS at_risk_value, segment_label,
          CASE WHEN customer_id % 3 = 0 THEN 'Low' WHEN customer_id % 3 = 1 THEN 'Medium' ELSE 'High' END AS value_tier
-  FROM scored_sc s JOIN segnames USING (segment_id) WHERE customer_id % 9 <> 0""", "scored_sc", "segnames")
+  FROM scored_sc s JOIN segnames USING (segment_id)""", "scored_sc", "segnames")
 
 
 def _view(ctx):
     s = P.decision_columns(ctx.scored, 0.55, ctx.settings)
-    predictions = s.where("customer_id % 9 <> 0").select(
+    predictions = s.select(
         "customer_id", "churn_probability", "risk_tier", "is_anomaly", (F.col("churn_probability") * F.col("historical_clv")).alias("at_risk_value"))
     m = F.col("customer_id") % 3
     segments = s.join(label_segments(s, "segment_id"), "segment_id").select(

@@ -45,7 +45,8 @@ block("source_lines", """
          CASE WHEN (l_orderkey + l_linenumber) % 25 = 0 THEN lower(p_name) || '  ' ELSE upper(p_name) END AS description,
          l_quantity AS q, o_orderdate + to_seconds((l_orderkey % 36000 + 28800)::BIGINT) AS invoice_date,
          (CASE WHEN (l_orderkey + l_partkey) % 400 = 0 THEN 0 ELSE floor(l_extendedprice / l_quantity * 100 + 0.5::DOUBLE) / 100 END)::DOUBLE AS unit_price,
-         CASE WHEN o_custkey % 6 <> 5 THEN o_custkey END AS customer_id, n_name AS country
+         CASE WHEN o_custkey % 6 <> 5 THEN o_custkey END AS customer_id,
+         CASE WHEN l_orderkey % 11 = 3 THEN 'FRANCE' ELSE n_name END AS country
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
        JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 block("raw", """

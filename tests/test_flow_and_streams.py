@@ -19,8 +19,15 @@ from patronage.sources import runlog, sinks
 from patronage.sources.retail_view import raw_lines
 from patronage.streaming import jobs
 from registry.context import RETAIL
-from registry.model_queries import SHORT
 
+SHORT = {
+    "logistic_regression": {"C": [0.1, 1.0], "l1_ratio": [0.0, 1.0]},
+    "decision_tree": {"max_depth": [3, 5], "min_samples_leaf": [20]},
+    "random_forest": {"n_estimators": [20], "max_depth": [6], "min_samples_leaf": [5, 10]},
+    "boosted_trees": {"learning_rate": [0.1], "max_depth": [3], "subsample": [0.85], "colsample": [0.8, 1.0], "n_estimators": [8]},
+    "clv_ridge": {"alpha": [1.0, 100.0]},
+    "clv_boosted": {"max_depth": [3], "learning_rate": [0.1], "n_estimators": [8]},
+}
 QUICK = RETAIL.with_(cv_folds=2, search_iterations=1, k_max=3, kmeans_restarts=1)
 
 
@@ -78,7 +85,7 @@ def test_stream_scores_equal_batch_scores(spark, built, tmp_path):
     stream = jobs.read_stream(spark, str(tmp_path / "in"), records.schema, files_per_batch=1)
     jobs.start(stream, jobs.score_batches(models, str(tmp_path / "out"), str(tmp_path / "bad"), QUICK), str(tmp_path / "check")).awaitTermination()
     valid, rejects = split_records(records)
-    batch = S.score(E.fill_engagement(valid, models.ecdf).drop("category_affinity"), models, QUICK)
+    batch = S.score(E.fill_engagement(valid, flow.snapshot(spark, paths, "train")).drop("category_affinity"), models, QUICK)
     shape = lambda d: d.select("customer_id", "risk_tier", F.round("churn_probability", 9), F.round("engagement_score", 6))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert shape(out).exceptAll(shape(batch)).isEmpty() and out.count() == batch.count() > 0
@@ -104,11 +111,50 @@ def test_stream_cleaning_drops_copies_across_batches(spark, tmp_path):
         raw.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     distinct = C.drop_exact_duplicates(C.drop_incomplete(raw))
     stream = jobs.read_stream(spark, str(tmp_path / "in/*"), raw.schema, files_per_batch=1)
-    out = jobs.clean_lines(stream, C.Fences.saved(113.0, 13104.0), C.product_table(distinct, RETAIL), RETAIL, delay="4000 days")
-    jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    run = jobs.clean_batches(str(tmp_path / "out"), str(tmp_path / "keys"), C.Fences.saved(113.0, 13104.0), C.product_table(distinct, RETAIL), RETAIL)
+    jobs.start(stream, run, str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == distinct.count()
 
 
+def test_late_lines_are_kept_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    line = lambda invoice, day: (invoice, "P1", "MUG", 1.0, datetime.fromisoformat(day), 2.0, 1, "FRANCE")
+    frame = lambda *rows: spark.createDataFrame(rows, raw_lines(spark, SMALL).schema)
+    batches = [frame(line("1", "2011-06-01"), line("1", "2011-06-01")), frame(line("2", "2011-06-02"), line("1", "2011-06-01")), frame(line("3", "2010-01-05"))]
+    products = C.product_table(batches[0], RETAIL)
+    run = jobs.clean_batches(str(tmp_path / "out"), str(tmp_path / "keys"), C.Fences.saved(113.0, 13104.0), products, RETAIL)
+    for i in (0, 1, 2, 2, 1, 0):
+        run(batches[i], i)
+    assert sorted(r["invoice"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_map_and_null_shares_are_scored(spark, built):
+    paths, _ = built
+    models = S.load(spark, paths.of("models"))
+    columns = flow.snapshot(spark, paths, "scoring").limit(20).drop("engagement_score")
+    first = columns.first()
+    shares = [c for c in columns.columns if c.startswith("affinity_")]
+    as_map = columns.withColumn("category_affinity", F.map_from_entries(F.array(*[F.struct(F.lit(c[9:]), F.col(c)) for c in shares]))).drop(*shares)
+    nulls = columns.withColumn(shares[0], F.lit(None).cast("double"))
+    zeros = columns.withColumn(shares[0], F.lit(0.0))
+
+    def scores(records):
+        valid, rejects = split_records(records)
+        assert rejects.isEmpty()
+        out = S.score(E.fill_from_steps(valid, models.ecdf).drop("category_affinity"), models, QUICK)
+        return {r["customer_id"]: (round(r["churn_probability"], 9), *[r[c] for c in shares]) for r in out.collect()}
+
+    assert scores(as_map) == scores(columns) and first["customer_id"] in scores(columns)
+    assert scores(nulls) == scores(zeros)
+
+
+def test_newest_version_wins_over_a_later_batch(spark, tmp_path):
+    table = str(tmp_path / "p")
+    write = jobs.upsert_batches(table)
+    write(spark.createDataFrame([(1, 0.9, 5)], "customer_id long, p double, scored_at int"), 0)
+    write(spark.createDataFrame([(1, 0.1, 2)], "customer_id long, p double, scored_at int"), 1)
+    assert jobs.current_rows(spark, table).first()["p"] == 0.9
+
+
 def test_log_and_reload(spark, tmp_path):
     path = str(tmp_path / "log")
     for run in ("a", "b"):
