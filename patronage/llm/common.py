@@ -4,13 +4,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Digest of a whole text, used with doc_id to name a row; rows alike in both are the same document given twice.
-TEXT_MARK = "_text_mark"
+#: Rows of an Arrow batch that a task turns into Python objects at a time.
+SLICE = 1024
 
 
 def schema_of(ddl: str) -> T.StructType:
@@ -26,21 +25,12 @@ def map_rows(df: DataFrame, ddl: str, work: Callable[[Iterator[dict[str, list]]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists() -> Iterator[dict[str, list]]:
             for batch in batches:
-                if batch.num_rows:
-                    yield {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
         for out in work(lists()):
             columns = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
-
-
-def same(left: Column, right: Column) -> Column:
-    """Equality under which null equals null."""
-    return left.eqNullSafe(right)
-
-
-def with_prefix(df: DataFrame, prefix: str, *names: str) -> DataFrame:
-    """The named columns under a prefix, so that a join can't clash with columns of the caller."""
-    return df.select(*[F.col(f"`{n}`").alias(prefix + n) for n in names])

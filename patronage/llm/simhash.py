@@ -31,6 +31,8 @@ TILE = 2048
 #: Fingerprints of one band value that one task takes whole; more are dealt out as pairs of tile groups of this size.
 GROUP = 8192
 BLOCK = 1 << 16
+#: Proposed partners of a text in one comparison; a text with more keeps the nearest, and a spanning forest links the rest.
+NEAREST = 16
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
@@ -180,12 +182,155 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id; all columns as given.
+# --- near copies: fingerprints find candidates, shingle sets confirm them
+def shingle_hashes(tokens: list[bytes], words: int, seed: int = SEED) -> list[int]:
+    """Distinct hashes of the word shingles, as signed longs."""
+    if not tokens:
+        return []
+    shingles = map(b" ".join, zip(*[tokens[i:] for i in range(words)])) if len(tokens) >= words else [b" ".join(tokens)]
+    return [_signed(x) for x in {xxhash.xxh64_intdigest(s, seed) for s in shingles}]
+
+
+def _nodes(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, node, print, n): node names the lower-cased words of a text, n counts its different shingles."""
+    def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            tokens = [(t or "").encode().lower().split() for t in batch["text"]]
+            yield {"doc_id": batch["doc_id"], "node": [_signed(xxhash.xxh64_intdigest(b" ".join(t), SEED)) for t in tokens],
+                   "print": [_signed(fingerprint(t)) for t in batch["text"]],
+                   "n": [len({b" ".join(t[i:i + words]) for i in range(max(1, len(t) - words + 1))}) if t else 0 for t in tokens]}
+
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, node long, print long, n long", work)
+
+
+def _candidates(nodes: DataFrame, radius: int, similarity: float, group: int) -> DataFrame:
+    """(a, b): for every node its nearest others in each comparison, and a spanning forest, at most ``radius`` bits apart.
+
+    Sets of which one is less than ``similarity`` of the other in size can't be that similar. So nodes are
+    compared inside a size class (a step of 1 / similarity) and with the next class; classes are dealt out as
+    pairs of groups.
+    """
+    step = float(np.log(1.0 / similarity))
+    size_class = F.floor(F.ln(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("int")
+    placed = nodes.withColumn("k", size_class)
+    # as many rows as size classes: the logarithm of the longest text
+    classes = placed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("parts"))
+    around = classes.select(F.col("k").alias("_k"), "parts").join(
+        classes.select((F.col("k") - 1).alias("_k"), F.col("parts").alias("above")), "_k", "left").join(
+        classes.select((F.col("k") + 1).alias("_k"), F.col("parts").alias("below")), "_k", "left").fillna(0, ["above", "below"])
+    rows = placed.join(around, F.col("k") == F.col("_k")).withColumn("g", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    upto = lambda c: F.filter(F.sequence(F.lit(0), F.greatest(F.col(c), F.lit(1)) - 1), lambda h: h < F.col(c))
+    met = lambda k, kind, g, h, side: F.struct(k.alias("k"), F.lit(kind).alias("kind"), g.alias("g"), h.alias("h"), side.alias("side"))
+    g = F.col("g")
+    meetings = F.concat(
+        F.transform(upto("parts"), lambda h: met(F.col("k"), 0, F.least(g, h), F.greatest(g, h), g)),
+        F.transform(upto("above"), lambda h: met(F.col("k"), 1, g, h, F.lit(0))),
+        F.transform(upto("below"), lambda h: met(F.col("k") - 1, 1, h, g, F.lit(1))))
+    pairs = rows.select("node", "print", "n", F.explode(meetings).alias("m")).select("node", "print", "n", "m.*")
+    key = ["k", "kind", "g", "h"]
+
+    def compare(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        at, held = None, []
+        for batch in batches:
+            for where, row in zip(zip(*[batch[c] for c in key]), zip(batch["node"], batch["print"], batch["n"], batch["side"])):
+                if where != at:
+                    yield from _nearest(at, held, radius, similarity)
+                    at, held = where, []
+                held.append(row)
+        yield from _nearest(at, held, radius, similarity)
+
+    return map_rows(pairs.repartition(*key).sortWithinPartitions(*key), "a long, b long", compare)
+
+
+def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float, tile: int = TILE) -> Iterator[dict[str, list]]:
+    if len(held) < 2:
+        return
+    node, mark, n, side = (np.array(x, dtype=np.int64) for x in zip(*held))
+    _, kind, g, h = at
+    whole = kind == 0 and g == h
+    left = np.arange(len(node)) if whole else np.flatnonzero(side == (0 if kind else g))
+    right = left if whole else np.flatnonzero(side == (1 if kind else h))
+    prints = mark.view(np.uint64)
+    pops = np.bitwise_count(prints).astype(int)
+    left, right = left[np.argsort(pops[left], kind="stable")], right[np.argsort(pops[right], kind="stable")]
+    hits, links_a, links_b = [], [], []
+    for a in range(0, len(left), tile):
+        rows = left[a:a + tile]
+        for b in range(a if whole else 0, len(right), tile):
+            cols = right[b:b + tile]
+            if pops[cols[0]] > pops[rows[-1]] + radius or pops[cols[-1]] < pops[rows[0]] - radius:
+                continue
+            apart = np.bitwise_count(prints[rows][:, None] ^ prints[cols][None, :])
+            i, j = np.nonzero(apart <= radius)
+            d = apart[i, j].astype(int)
+            i, j = rows[i], cols[j]
+            fit = (node[i] != node[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            i, j, d = i[fit], j[fit], d[fit]
+            if not len(i):
+                continue
+            hits += [_closest(i, j, d, NEAREST), _closest(j, i, d, NEAREST)]
+            fa, fb = forest(node[i], node[j])
+            links_a.append(fa)
+            links_b.append(fb)
+    if hits:
+        x, y, _ = _closest(*map(np.concatenate, zip(*hits)), NEAREST)
+        yield {"a": np.concatenate([node[x], *links_a]), "b": np.concatenate([node[y], *links_b])}
+
+
+def _closest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each x the ``most`` pairs with the least distance."""
+    order = np.lexsort((y, d, x))
+    x, y, d = x[order], y[order], d[order]
+    first = np.searchsorted(x, x, "left")
+    keep = np.arange(len(x)) - first < most
+    return x[keep], y[keep], d[keep]
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 16, group: int = 4 * GROUP) -> DataFrame:
+    """doc_id, component_id: groups of documents linked by a Jaccard similarity of their word shingles.
+
+    SimHash proposes pairs up to ``radius`` bits apart: texts at 0.8 differ in 8 bits on average, in over 16 hardly
+    ever. The shingle sets of proposed pairs confirm them. Texts with equal words are one node from the start.
+    Documents without doc_id join groups only through equal words.
+    """
+    rows = materialise(_nodes(docs, words), "copy-nodes")
+    nodes = materialise(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "copy-distinct")
+    pair = F.array_sort(F.array("a", "b"))
+    proposed = materialise(_candidates(nodes.where(F.col("doc_id").isNotNull()), radius, similarity, group).select(
+        pair[0].alias("a"), pair[1].alias("b")).distinct(), "copy-candidates")
+    ends = proposed.select(F.col("a").alias("_node")).unionByName(proposed.select(F.col("b").alias("_node"))).distinct()
+    wanted = nodes.join(ends, F.col("node") == F.col("_node"), "left_semi").select(F.col("doc_id").alias("_doc"), "node")
+
+    def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            out: dict[str, list] = {"node": [], "shingles": []}
+            for node, text in zip(batch["node"], batch["text"]):
+                tokens = (text or "").encode().lower().split()
+                if _signed(xxhash.xxh64_intdigest(b" ".join(tokens), SEED)) == node:  # else another text under the same doc_id
+                    out["node"].append(node)
+                    out["shingles"].append(shingle_hashes(tokens, words))
+            yield out
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_doc")).select("node", "text")
+    held = materialise(map_rows(texts, "node long, shingles array<long>", sets).dropDuplicates(["node"]), "copy-shingles")
+    both = (proposed.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
+    common = F.size(F.array_intersect("x", "y"))
+    edges = materialise(both.where(common >= F.lit(similarity - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b"), "copy-links")
+    linked = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    groups = components(materialise(linked, "copy-linked"), edges)
+    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_component")
+    lookup = named.join(least, F.col("component") == F.col("_component")).select(F.col("node").alias("_node"), "component_id")
+    return rows.join(lookup, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id; all columns as given.
 
     Rows that repeat a doc_id are one document given twice: one of them stays.
     """
-    groups = near_duplicates(docs, radius, words)
+    groups = materialise(near_copies(docs, words, similarity), "copy-groups")
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     out = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
     repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import map_rows
-from patronage.session import materialise
+from patronage.session import materialise, release
 
 LENGTH = 400
 SEED = 64
@@ -149,19 +149,20 @@ def _grouped(rows: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
 def repeated_places(docs: DataFrame, length: int = LENGTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(doc_id, mark, start, end): byte ranges covered by strings of ``length`` bytes that start at two places or more."""
     texts = _texts(docs)
-    runs = materialise(sampled_runs(texts, length, seed), "runs")
+    sampled = materialise(sampled_runs(texts, length, seed), "runs")
 
     # round 1: seeds
-    twice = runs.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    runs = materialise(runs.join(_renamed(twice, "seed"), _on("seed")).select(*runs.columns), "runs-again")
+    twice = sampled.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    runs = materialise(sampled.join(_renamed(twice, "seed"), _on("seed")).select(*sampled.columns), "runs-again")
+    release(sampled)
 
     # round 2: runs of windows, whole
     whole = ["seed", "back", "ahead", "span_a", "span_b"]
-    ranked = materialise(_grouped(runs, whole, [*DOC, "at"]), "run-ranks")
-    found = [runs.join(_renamed(ranked.where("places > 1").select(*whole), *whole), _on(*whole)).select(
+    ranked_runs = materialise(_grouped(runs, whole, [*DOC, "at"]), "run-ranks")
+    found = [runs.join(_renamed(ranked_runs.where("places > 1").select(*whole), *whole), _on(*whole)).select(
         *DOC, (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("ahead") + length).alias("end"))]
-    left = ranked.where("places = 1").select("seed").distinct()
-    ranked = ranked.join(_renamed(left, "seed"), _on("seed")).select(*DOC, "at", "back", "ahead", (F.col("places") == 1).alias("open"))
+    left = ranked_runs.where("places = 1").select("seed").distinct()
+    ranked = ranked_runs.join(_renamed(left, "seed"), _on("seed")).select(*DOC, "at", "back", "ahead", (F.col("places") == 1).alias("open"))
     spans = materialise(_spans(texts, ranked, length), "spans")
 
     # round 3: blocks of neighbouring windows
@@ -183,7 +184,9 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, seed: int = SEED, blo
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    places = materialise(out, "repeated-places")
+    release(runs, ranked_runs, spans, blocks, kinds, windows)
+    return places
 
 
 def _spans(texts: DataFrame, ranked: DataFrame, length: int) -> DataFrame:

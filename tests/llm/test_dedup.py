@@ -170,11 +170,45 @@ def test_tiles_find_all_links_and_groups_are_dealt_out(spark):
     assert classes(found) == classes(signed)
 
 
+def shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def copy_groups(rows: list[tuple]) -> dict:
+    """doc_id: smallest doc_id reachable over Jaccard similarities of 0.8 or more."""
+    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    low = {i: i for i in sets}
+    alike = {i: [j for j in sets if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in sets}
+    for _ in sets:
+        after = {i: min(low[j] for j in alike[i]) for i in sets}
+        if after == low:
+            break
+        low = after
+    return low
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [r for r in awkward() if r[0] is not None]
+    for g in range(12):
+        base = prose(rng, rng.randint(60, 500)).split()
+        for i in range(6):
+            copy = [rng.choice(["alpha", "beta", "gamma"]) if rng.random() < 0.02 * i / 2 else w for w in base]
+            rows.append((1000 + 10 * g + i, " ".join(copy), *[None] * 11))
+    want = copy_groups(rows)
+    for group in (4 * simhash.GROUP, 7):
+        got = simhash.near_copies(documents(spark, rows), group=group).collect()
+        assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r[0], want[r[0]]) for r in rows)
+    assert 12 < len(set(want.values())) < len(want) - 20
+    assert simhash.near_copies(empty(spark)).count() == 0
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     rows = awkward()
     kept = simhash.keep_first(documents(spark)).collect()
-    got = simhash.near_duplicates(documents(spark)).collect()
-    assert Counter(r["doc_id"] for r in kept) == Counter({r["component_id"] for r in got})
+    want = set(copy_groups(rows).values())
+    assert Counter(r["doc_id"] for r in kept if r["doc_id"] is not None) == Counter(want)
     assert documents(spark).columns == simhash.keep_first(documents(spark)).columns
     assert len(rows) > len(kept)
 

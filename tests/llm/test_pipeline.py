@@ -7,7 +7,7 @@ import corpus_pipeline
 from patronage.llm import language, packing
 from patronage.llm.queries import table
 from tests.llm.frames import documents, empty
-from tests.llm.test_dedup import brute_print, brute_targets
+from tests.llm.test_dedup import brute_targets, copy_groups
 from tests.llm.test_text import sellers
 
 TINY = "/root/testdata/sf0.001"
@@ -20,10 +20,7 @@ def test_stages_against_brute_force(spark):
     ids = {r["doc_id"] for r in first.collect()}
     assert ids == {d for d, r in given.items() if r["text"] and any(map(str.isalpha, r["text"]))}
     second = corpus_pipeline.drop_near_duplicates(spark, first, TINY)
-    prints = {d: brute_print(given[d]["text"]) for d in ids}
-    low = {d: d for d in ids}
-    for _ in range(10):
-        low = {d: min(low[e] for e in ids if bin(prints[d] ^ prints[e]).count("1") <= 2) for d in ids}
+    low = copy_groups([(d, given[d]["text"]) for d in ids])
     kept = {d for d in ids if low[d] == d}
     assert Counter(r["doc_id"] for r in second.collect()) == Counter(kept)
     third = corpus_pipeline.drop_benchmark_leaks(spark, second, TINY)
