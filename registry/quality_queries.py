@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patronage.config import DEFAULTS
 from patronage.operators import encode as E
 from patronage.operators import evaluate as M
 from patronage.operators import explain as X
@@ -14,7 +15,7 @@ from registry.base import n, query, r, rounded
 from registry.sqlbase import block, unit_hash
 
 SLOT = "(('0x' || substr(md5(customer_id::VARCHAR || '#42'), 1, 8))::BIGINT % 10000)"
-FOLD = "(('0x' || substr(md5(customer_id::VARCHAR || '#fold-42'), 1, 8))::BIGINT % 5)"
+FOLD = f"(('0x' || substr(md5(customer_id::VARCHAR || '#fold-42'), 1, 8))::BIGINT % {DEFAULTS.cv_folds})"
 
 
 @query("m01_splits", f"""

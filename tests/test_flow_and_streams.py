@@ -133,7 +133,7 @@ def test_map_and_null_shares_are_scored(spark, built):
     columns = flow.snapshot(spark, paths, "scoring").limit(20).drop("engagement_score")
     first = columns.first()
     shares = [c for c in columns.columns if c.startswith("affinity_")]
-    as_map = columns.withColumn("category_affinity", F.map_from_entries(F.array(*[F.struct(F.lit(c[9:]), F.col(c)) for c in shares]))).drop(*shares)
+    as_map = columns.withColumn("category_affinity", F.map_from_entries(F.array(*[F.struct(F.lit(c[9:]).alias("key"), F.col(c).alias("value")) for c in shares]))).drop(*shares)
     nulls = columns.withColumn(shares[0], F.lit(None).cast("double"))
     zeros = columns.withColumn(shares[0], F.lit(0.0))
 
