@@ -1,7 +1,7 @@
 """Benchmark decontamination: q-gram lemma filter in diagonal bands, then banded alignment.
 
-A benchmark item (lower-cased, white space to one space) is one region, or overlapping regions if it is long. A
-region of m characters that occurs in a document with at most e edits shares at least m - q + 1 - q e q-grams
+A benchmark item (lower-cased, white space to one space) is one region, or overlapping regions of REGION characters
+if it is longer: a document is contaminated by any one of them, so long fragments of an item count too. A region of m characters that occurs in a document with at most e edits shares at least m - q + 1 - q e q-grams
 with it, all on diagonals that span at most e. Shared q-grams are counted in overlapping bands of diagonals; a
 band with enough of them is verified by an alignment that stays inside the band.
 
@@ -28,7 +28,7 @@ from patronage.llm.common import map_rows
 Q = 8
 EDIT_SHARE = 0.1
 MIN_CHARS = 20
-REGION = 384
+REGION = 160
 BLOCK_CHARS = 4_000_000
 PIECE = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

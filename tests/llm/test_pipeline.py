@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from patronage.llm import language, packing
+from patronage.llm.decontaminate import REGION, regions_of
 from patronage.llm.queries import table
 from tests.llm.frames import documents, empty
 from tests.llm.test_dedup import brute_targets, copy_groups
@@ -30,7 +31,7 @@ def test_stages_against_brute_force(spark):
     held = {d for d in kept if any(i in norm(given[d]["text"]) for i in items)}
     assert not held & clean
     for d in kept - held - clean:  # dropped without an exact hit: within the edit budget of an item
-        assert any(sellers(i, norm(given[d]["text"])) <= len(i) // 10 for i in items)
+        assert any(sellers(r, norm(given[d]["text"])) <= len(r) // 10 for i in items for r in regions_of(i, REGION))
     fourth = corpus_pipeline.mix_sources(spark, third, TINY)
     copies = Counter(r["doc_id"] for r in fourth.collect())
     sizes = {d: len((given[d]["text"] or "").split()) for d in clean}
