@@ -32,7 +32,7 @@ TILE = 2048
 GROUP = 8192
 BLOCK = 1 << 16
 #: Proposed partners of a text in one comparison; a text with more keeps the nearest, and a spanning forest links the rest.
-NEAREST = 16
+NEAREST = 64
 #: Most bits of the first fingerprint in which near copies differ; only pairs within it look at the second.
 FIRST = 18
 
