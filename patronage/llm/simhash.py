@@ -15,7 +15,7 @@ are not read.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -31,8 +31,10 @@ TILE = 2048
 #: Fingerprints of one band value that one task takes whole; more are dealt out as pairs of tile groups of this size.
 GROUP = 8192
 BLOCK = 1 << 16
-#: Proposed partners of a text in one comparison; a text with more keeps the nearest, and a spanning forest links the rest.
+#: Proposed partners of a text in one comparison that are handed on as pairs; texts with more are compared where they meet.
 NEAREST = 64
+#: Texts, and shingles in all, of a size class that one task takes whole where shingle sets themselves meet.
+CROWD, VOLUME = 2048, 1 << 21
 #: Most bits of the first fingerprint in which near copies differ; only pairs within it look at the second.
 FIRST = 18
 
@@ -228,18 +230,19 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, node long, print long, second long, n long", work)
 
 
-def _candidates(nodes: DataFrame, radius: int, similarity: float, group: int) -> DataFrame:
-    """(a, b): for every node its nearest others in each comparison, and a spanning forest, at most ``radius`` bits apart.
+def _meetings(nodes: DataFrame, similarity: float, group: int, volume: int) -> DataFrame:
+    """Every node once in each comparison (k, kind, g, h) that it takes part in, with its side.
 
     Sets of which one is less than ``similarity`` of the other in size can't be that similar. So nodes are
     compared inside a size class (a step of 1 / similarity) and with the next class; classes are dealt out as
-    pairs of groups.
+    pairs of groups of about ``group`` nodes and ``volume`` shingles at most.
     """
     step = float(np.log(1.0 / similarity))
     size_class = F.floor(F.ln(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("int")
     placed = nodes.withColumn("k", size_class)
     # as many rows as size classes: the logarithm of the longest text
-    classes = placed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("parts"))
+    share = F.greatest(F.count(F.lit(1)) / F.lit(group), F.sum("n") / F.lit(volume), F.lit(1.0))
+    classes = placed.groupBy("k").agg(F.ceil(share).cast("int").alias("parts"))
     around = classes.select(F.col("k").alias("_k"), "parts").join(
         classes.select((F.col("k") - 1).alias("_k"), F.col("parts").alias("above")), "_k", "left").join(
         classes.select((F.col("k") + 1).alias("_k"), F.col("parts").alias("below")), "_k", "left").fillna(0, ["above", "below"])
@@ -251,35 +254,63 @@ def _candidates(nodes: DataFrame, radius: int, similarity: float, group: int) ->
         F.transform(upto("parts"), lambda h: met(F.col("k"), 0, F.least(g, h), F.greatest(g, h), g)),
         F.transform(upto("above"), lambda h: met(F.col("k"), 1, g, h, F.lit(0))),
         F.transform(upto("below"), lambda h: met(F.col("k") - 1, 1, h, g, F.lit(1))))
-    pairs = rows.select("node", "print", "second", "n", F.explode(meetings).alias("m")).select("node", "print", "second", "n", "m.*")
+    return rows.select(*nodes.columns, F.explode(meetings).alias("m")).select(*nodes.columns, "m.*")
+
+
+def _compared(met: DataFrame, columns: list[str], compare: Callable[[tuple | None, list[tuple]], Iterator[dict[str, list]]]) -> DataFrame:
+    """(a, b): what ``compare`` finds among the rows of each comparison."""
     key = ["k", "kind", "g", "h"]
 
-    def compare(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         at, held = None, []
         for batch in batches:
-            for where, row in zip(zip(*[batch[c] for c in key]), zip(batch["node"], batch["print"], batch["second"], batch["n"], batch["side"])):
+            if "shingles" in batch:
+                batch["shingles"] = [np.array(x, dtype=np.int64) for x in batch["shingles"]]
+            for where, row in zip(zip(*[batch[c] for c in key]), zip(*[batch[c] for c in columns])):
                 if where != at:
-                    yield from _nearest(at, held, radius, similarity)
+                    yield from compare(at, held)
                     at, held = where, []
                 held.append(row)
-        yield from _nearest(at, held, radius, similarity)
+        yield from compare(at, held)
+
+    return map_rows(met.repartition(*key).sortWithinPartitions(*key), "a long, b long", work)
+
+
+def _candidates(nodes: DataFrame, radius: int, similarity: float, group: int) -> DataFrame:
+    """(a, b): all pairs of nodes at most ``radius`` bits apart, but for pairs of two crowded nodes; a = b names a crowded node.
+
+    A node is crowded if it has over NEAREST partners in a comparison; of these it hands on the nearest.
+    """
+    columns = ["node", "print", "second", "n"]
+    met = _meetings(nodes.select(*columns), similarity, group, 1 << 62)
+    return _compared(met, [*columns, "side"], lambda at, held: _nearest(at, held, radius, similarity))
 
-    return map_rows(pairs.repartition(*key).sortWithinPartitions(*key), "a long, b long", compare)
+
+def _crowd_links(crowded: DataFrame, radius: int, similarity: float, group: int = CROWD) -> DataFrame:
+    """(a, b): links that connect what all links between crowded nodes connect, by their shingle sets."""
+    columns = ["node", "print", "second", "n", "shingles"]
+    met = _meetings(crowded.select(*columns), similarity, group, VOLUME)
+    return _compared(met, [*columns, "side"], lambda at, held: _confirmed(at, held, radius, similarity))
+
+
+def _sides(at: tuple, side: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(whether a group is compared with itself, rows of the left, rows of the right)."""
+    _, kind, g, h = at
+    if kind == 0 and g == h:
+        return True, np.arange(len(side)), np.arange(len(side))
+    return False, np.flatnonzero(side == (0 if kind else g)), np.flatnonzero(side == (1 if kind else h))
 
 
 def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float, tile: int = TILE) -> Iterator[dict[str, list]]:
     if len(held) < 2:
         return
     node, mark, second, n, side = (np.array(x, dtype=np.int64) for x in zip(*held))
-    _, kind, g, h = at
-    whole = kind == 0 and g == h
-    left = np.arange(len(node)) if whole else np.flatnonzero(side == (0 if kind else g))
-    right = left if whole else np.flatnonzero(side == (1 if kind else h))
+    whole, left, right = _sides(at, side)
     prints, more = mark.view(np.uint64), second.view(np.uint64)
     reach = min(radius, FIRST)
     pops = np.bitwise_count(prints).astype(int)
     left, right = left[np.argsort(pops[left], kind="stable")], right[np.argsort(pops[right], kind="stable")]
-    hits, links_a, links_b = [], [], []
+    hits, partners = [], np.zeros(len(node), int)
     for a in range(0, len(left), tile):
         rows = left[a:a + tile]
         for b in range(a if whole else 0, len(right), tile):
@@ -289,19 +320,19 @@ def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float
             apart = np.bitwise_count(prints[rows][:, None] ^ prints[cols][None, :])
             i, j = np.nonzero(apart <= reach)
             d = apart[i, j].astype(int)
-            i, j = rows[i], cols[j]
+            once = i < j if whole and a == b else np.ones(len(i), bool)
+            i, j, d = rows[i[once]], cols[j[once]], d[once]
             d += np.bitwise_count(more[i] ^ more[j])
-            fit = (d <= radius) & (node[i] != node[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            fit = (d <= radius) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
             i, j, d = i[fit], j[fit], d[fit]
             if not len(i):
                 continue
+            partners += np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
             hits += [_closest(i, j, d, NEAREST), _closest(j, i, d, NEAREST)]
-            fa, fb = forest(node[i], node[j])
-            links_a.append(fa)
-            links_b.append(fb)
     if hits:
         x, y, _ = _closest(*map(np.concatenate, zip(*hits)), NEAREST)
-        yield {"a": np.concatenate([node[x], *links_a]), "b": np.concatenate([node[y], *links_b])}
+        crowded = node[partners > NEAREST]
+        yield {"a": np.concatenate([node[x], crowded]), "b": np.concatenate([node[y], crowded])}
 
 
 def _closest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,19 +344,60 @@ def _closest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> tuple[np
     return x[keep], y[keep], d[keep]
 
 
+def _confirmed(at: tuple | None, held: list[tuple], radius: int, similarity: float) -> Iterator[dict[str, list]]:
+    """Every pair within the radius is decided by the shingle sets, unless links found before connect it."""
+    if len(held) < 2:
+        return
+    *columns, sets, side = zip(*held)
+    node, mark, second, n = (np.array(x, dtype=np.int64) for x in columns)
+    whole, left, right = _sides(at, np.array(side))
+    prints, more = mark.view(np.uint64), second.view(np.uint64)
+    reach = min(radius, FIRST)
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    there = np.zeros(len(names), bool)
+    label = np.arange(len(node))
+    sent_a, sent_b = [], []
+    for place, x in enumerate(left):
+        y = right[place + 1:] if whole else right
+        y = y[label[y] != label[x]]
+        y = y[(np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (size[y] > 0)]
+        d = np.bitwise_count(prints[x] ^ prints[y]).astype(int)
+        y = y[(d <= reach) & (d + np.bitwise_count(more[x] ^ more[y]) <= radius)]
+        if not len(y):
+            continue
+        own = flat[start[x]:start[x] + size[x]]
+        there[own] = True
+        ends = np.cumsum(size[y])
+        at_y = np.repeat(start[y] - (ends - size[y]), size[y]) + np.arange(ends[-1])
+        common = np.add.reduceat(there[flat[at_y]].astype(int), ends - size[y])
+        there[own] = False
+        y = y[common >= (similarity - 1e-12) * (size[x] + size[y] - common)]
+        joined, first = np.unique(label[y], return_index=True)
+        label[np.isin(label, joined)] = label[x]
+        sent_a += [node[x]] * len(first)
+        sent_b += node[y[first]].tolist()
+    if sent_a:
+        yield {"a": sent_a, "b": sent_b}
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 30, group: int = 4 * GROUP) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a Jaccard similarity of their word shingles.
 
     SimHash proposes pairs up to ``radius`` of 128 bits apart (two fingerprints of three-word shingles, the first at
     most FIRST apart): texts at 0.8 differ in 15 bits on average, unrelated ones in 64, so that hardly any pair is
-    missed and hardly any proposed in vain, in a corpus of any size. The shingle sets of proposed pairs confirm them. Texts with equal words are one node from the start.
+    missed and hardly any proposed in vain, in a corpus of any size. The shingle sets of proposed pairs confirm them.
+    In large groups (both texts with over NEAREST partners) the shingle sets themselves meet, so that no proposed pair
+    is left out and none is written. Texts with equal words are one node from the start.
     Documents without doc_id join groups only through equal words.
     """
     rows = materialise(_nodes(docs, words), "copy-nodes")
     nodes = materialise(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("second").alias("second"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "copy-distinct")
     pair = F.array_sort(F.array("a", "b"))
-    proposed = materialise(_candidates(nodes.where(F.col("doc_id").isNotNull()), radius, similarity, group).select(
+    found = materialise(_candidates(nodes.where(F.col("doc_id").isNotNull()), radius, similarity, group).select(
         pair[0].alias("a"), pair[1].alias("b")).distinct(), "copy-candidates")
+    proposed, crowded = found.where("a != b"), found.where("a = b").select(F.col("a").alias("_node"))
     ends = proposed.select(F.col("a").alias("_node")).unionByName(proposed.select(F.col("b").alias("_node"))).distinct()
     wanted = nodes.join(ends, F.col("node") == F.col("_node"), "left_semi").select(F.col("doc_id").alias("_doc"), "node")
 
@@ -345,6 +417,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
             .join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
     edges = materialise(both.where(common >= F.lit(similarity - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b"), "copy-links")
+    if not crowded.isEmpty():
+        crowd = nodes.join(crowded, F.col("node") == F.col("_node"), "left_semi").join(held, "node")
+        edges = materialise(edges.unionByName(_crowd_links(crowd, radius, similarity)), "copy-crowd-links")
     linked = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     groups = components(materialise(linked, "copy-linked"), edges)
     named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

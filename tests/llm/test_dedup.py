@@ -204,6 +204,45 @@ def test_near_copies_against_brute_force(spark):
     assert simhash.near_copies(empty(spark)).count() == 0
 
 
+def test_large_groups_of_near_copies_against_brute_force(spark):
+    rng = random.Random(33)
+    rows = []
+    for family in range(3):
+        one = prose(rng, 200).split()
+        two = one[:90] + prose(rng, 20).split() + one[110:]
+        for i in range(240):  # two groups at 0.775 between which only few pairs, the odd ones on both sides, are at 0.8
+            words = (one, two)[i % 2][:]
+            if i % 120 < 2:
+                words[90:92], words[108:110] = two[90:92], one[108:110]
+            rows.append((1000 * family + i, " ".join([*words, f"end{i}"]), *[None] * 11))
+    rng.shuffle(rows)
+    want = copy_groups(rows)
+    assert set(want.values()) == {0, 1000, 2000}
+    got = simhash.near_copies(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_crowded_texts_meet_in_small_groups_too():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 40)
+    sets = [np.unique(np.where(rng.random(40) < 0.09, rng.integers(0, 2**62, 40), base)) for _ in range(120)]
+    held = [(i, 0, 0, len(s), s, 0) for i, s in enumerate(sets)]
+    alike = {(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+
+    def classes(edges):
+        low = np.arange(120)
+        for _ in range(120):
+            for a, b in edges:
+                low[a] = low[b] = min(low[a], low[b])
+        return low.tolist()
+    found = [e for out in simhash._confirmed((0, 0, 0, 0), held, 30, 0.8) for e in zip(out["a"], out["b"])]
+    assert classes(found) == classes(alike) and 1 < len(set(classes(alike))) < 120
+    halves = [(*row[:5], i % 2) for i, row in enumerate(held)]
+    crossing = {(i, j) for i, j in alike if i % 2 != j % 2}
+    found = [e for out in simhash._confirmed((0, 0, 0, 1), halves, 30, 0.8) for e in zip(out["a"], out["b"])]
+    assert set((max(e), min(e)) for e in found) <= crossing and classes(found) == classes(crossing)
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     rows = awkward()
     kept = simhash.keep_first(documents(spark)).collect()
