@@ -4,7 +4,8 @@ run() writes every stage's result as Parquet in the shared folder and reads it b
 lost executors cost at most the tasks of one stage.
 
 Defined results: documents with null or letterless text are rejected by the first stage; rows that repeat a
-doc_id are one document; further columns of documents travel along until packing; an empty table passes through
+doc_id and its text are one document, rows without doc_id and other texts under a doc_id are documents of their own
+for the near-duplicate stage; further columns of documents travel along until packing; an empty table passes through
 every stage and packs to no rows.
 """
 from __future__ import annotations

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import map_rows
@@ -37,6 +37,8 @@ NEAREST = 64
 CROWD, VOLUME = 2048, 1 << 21
 #: Most bits of the first fingerprint in which near copies differ; only pairs within it look at the second.
 FIRST = 18
+#: Most bits of all in which near copies differ.
+RADIUS = 30
 
 
 def _hashes(tokens: list[bytes], words: int, seed: int) -> Iterator[np.ndarray]:
@@ -218,16 +220,26 @@ def shingle_hashes(tokens: list[bytes], words: int, seed: int = SEED) -> list[in
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, print, second, n): node names the lower-cased words of a text, n counts its different shingles."""
+    """(doc_id, key, node, print, second, n): key names the text, node its lower-cased words, n counts its different shingles."""
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
             tokens = [(t or "").encode().lower().split() for t in batch["text"]]
             prints = [set_prints(t) for t in tokens]
-            yield {"doc_id": batch["doc_id"], "node": [_signed(xxhash.xxh64_intdigest(b" ".join(t), SEED)) for t in tokens],
+            yield {"doc_id": batch["doc_id"], "key": batch["key"], "node": [_signed(xxhash.xxh64_intdigest(b" ".join(t), SEED)) for t in tokens],
                    "print": [_signed(p) for p, _ in prints], "second": [_signed(p) for _, p in prints],
                    "n": [len({b" ".join(t[i:i + words]) for i in range(max(1, len(t) - words + 1))}) if t else 0 for t in tokens]}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, node long, print long, second long, n long", work)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text"), "doc_id long, key long, node long, print long, second long, n long", work)
+
+
+def _text_key() -> Column:
+    """Digest of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _row_order(doc_id: str = "doc_id") -> Column:
+    """Order of documents: by doc_id, those without one last, then by text."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("key").alias("key"))
 
 
 def _meetings(nodes: DataFrame, similarity: float, group: int, volume: int) -> DataFrame:
@@ -382,36 +394,44 @@ def _confirmed(at: tuple | None, held: list[tuple], radius: int, similarity: flo
         yield {"a": sent_a, "b": sent_b}
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 30, group: int = 4 * GROUP) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, group: int = 4 * GROUP) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a Jaccard similarity of their word shingles.
 
     SimHash proposes pairs up to ``radius`` of 128 bits apart (two fingerprints of three-word shingles, the first at
     most FIRST apart): texts at 0.8 differ in 15 bits on average, unrelated ones in 64, so that hardly any pair is
     missed and hardly any proposed in vain, in a corpus of any size. The shingle sets of proposed pairs confirm them.
     In large groups (both texts with over NEAREST partners) the shingle sets themselves meet, so that no proposed pair
-    is left out and none is written. Texts with equal words are one node from the start.
-    Documents without doc_id join groups only through equal words.
+    is left out and none is written. Texts with equal words are one node from the start. A component without any
+    doc_id has a null component_id.
     """
+    rows = _copy_groups(docs, words, similarity, radius, group)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_component")
+    return rows.join(least, F.col("component") == F.col("_component")).select("doc_id", "component_id")
+
+
+def _copy_groups(docs: DataFrame, words: int, similarity: float, radius: int, group: int) -> DataFrame:
+    """(doc_id, key, component) of every row."""
     rows = materialise(_nodes(docs, words), "copy-nodes")
-    nodes = materialise(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("second").alias("second"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "copy-distinct")
+    nodes = materialise(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("second").alias("second"), F.first("n").alias("n"), F.min(_row_order()).alias("row")), "copy-distinct")
     pair = F.array_sort(F.array("a", "b"))
-    found = materialise(_candidates(nodes.where(F.col("doc_id").isNotNull()), radius, similarity, group).select(
+    found = materialise(_candidates(nodes, radius, similarity, group).select(
         pair[0].alias("a"), pair[1].alias("b")).distinct(), "copy-candidates")
     proposed, crowded = found.where("a != b"), found.where("a = b").select(F.col("a").alias("_node"))
     ends = proposed.select(F.col("a").alias("_node")).unionByName(proposed.select(F.col("b").alias("_node"))).distinct()
-    wanted = nodes.join(ends, F.col("node") == F.col("_node"), "left_semi").select(F.col("doc_id").alias("_doc"), "node")
+    wanted = nodes.join(ends, F.col("node") == F.col("_node"), "left_semi").select(F.col("row.id").alias("_doc"), F.col("row.key").alias("_key"), "node")
 
     def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
             out: dict[str, list] = {"node": [], "shingles": []}
             for node, text in zip(batch["node"], batch["text"]):
                 tokens = (text or "").encode().lower().split()
-                if _signed(xxhash.xxh64_intdigest(b" ".join(tokens), SEED)) == node:  # else another text under the same doc_id
+                if _signed(xxhash.xxh64_intdigest(b" ".join(tokens), SEED)) == node:  # else another text with the same key
                     out["node"].append(node)
                     out["shingles"].append(shingle_hashes(tokens, words))
             yield out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_doc")).select("node", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text").join(wanted, same).select("node", "text")
     held = materialise(map_rows(texts, "node long, shingles array<long>", sets).dropDuplicates(["node"]), "copy-shingles")
     both = (proposed.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
@@ -422,23 +442,26 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         edges = materialise(edges.unionByName(_crowd_links(crowd, radius, similarity)), "copy-crowd-links")
     linked = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     groups = components(materialise(linked, "copy-linked"), edges)
-    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_component")
-    lookup = named.join(least, F.col("component") == F.col("_component")).select(F.col("node").alias("_node"), "component_id")
-    return rows.join(lookup, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+    named = nodes.join(groups, F.col("node") == F.col("id"), "left").select(F.col("node").alias("_node"), F.coalesce("component", "node").alias("component"))
+    return rows.join(named, F.col("node") == F.col("_node")).select("doc_id", "key", "component")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id; all columns as given.
+    """One row of each group of near copies stays: the one with the smallest doc_id; all columns as given.
 
-    Rows that repeat a doc_id are one document given twice: one of them stays.
+    Rows with one doc_id and one text are one document given twice: one of them stays. Rows with one doc_id and
+    different texts, or without a doc_id, are documents of their own; a row without doc_id stays only where no row
+    of its group has one. Of equal doc_ids the text with the smaller digest stays.
     """
-    groups = materialise(near_copies(docs, words, similarity), "copy-groups")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    out = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    repeated = materialise(repeated, "repeated-ids")
+    groups = materialise(_copy_groups(docs, words, similarity, RADIUS, 4 * GROUP), "copy-groups")
+    first = groups.groupBy("component").agg(F.min(_row_order()).alias("row")).select(F.col("row.id").alias("_stay"), F.col("row.key").alias("_text"))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (_text_key() == F.col("_text"))
+    first = materialise(first, "copy-first")
+    out = docs.join(first, mine, "left_semi")
+    counted = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"), F.col("key").alias("_again"))
+    repeated = materialise(counted.join(first, F.col("_twice").eqNullSafe(F.col("_stay")) & (F.col("_again") == F.col("_text")), "left_semi"), "repeated-rows")
     if repeated.isEmpty():
         return out
-    again = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice"))
-    return out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice")) & (_text_key() == F.col("_again"))
+    once = out.join(repeated, again, "left_semi").withColumn("_text_key", _text_key()).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return out.join(repeated, again, "left_anti").unionByName(once)

@@ -252,6 +252,18 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert len(rows) > len(kept)
 
 
+def test_near_duplicate_stage_keeps_rows_without_id_and_other_texts_under_one_id(spark):
+    rng = random.Random(12)
+    one, two, three, four, five, six = (prose(rng, 80) for _ in range(6))
+    rows = [(None, one), (None, two), (None, two + " tail"), (None, three), (None, three), (5, four), (6, five), (6, four + " tail"), (7, six), (7, six), (8, six + " tail"), (None, five + " tail")]
+    rows = [(*r, *[None] * 11) for r in rows]
+    kept = simhash.keep_first(documents(spark, rows)).collect()
+    groups = Counter()
+    for r in kept:
+        groups[next(i for i, t in enumerate((one, two, three, four, five, six)) if r["text"].startswith(t)), r["doc_id"]] += 1
+    assert groups == Counter({(0, None): 1, (1, None): 1, (2, None): 1, (3, 5): 1, (4, 6): 1, (5, 7): 1})
+
+
 def duck_over(rows: list[tuple], sql: str) -> Counter:
     import duckdb
     import pandas as pd
