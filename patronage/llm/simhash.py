@@ -35,10 +35,10 @@ BLOCK = 1 << 16
 NEAREST = 64
 #: Texts, and shingles in all, of a size class that one task takes whole where shingle sets themselves meet.
 CROWD, VOLUME = 2048, 1 << 21
-#: Most bits of the first fingerprint in which near copies differ; only pairs within it look at the second.
-FIRST = 18
-#: Most bits of all in which near copies differ.
-RADIUS = 30
+#: Fingerprints of 64 bits that near copies are told by.
+PRINTS = ("print", "second", "third", "fourth")
+#: Most bits in which near copies differ: in the first two fingerprints, in all four, and how many more in the shortest texts.
+FIRST, RADIUS, SHORT = 48, 72, 10
 
 
 def _hashes(tokens: list[bytes], words: int, seed: int) -> Iterator[np.ndarray]:
@@ -66,16 +66,22 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
     return _majority(ones, n)
 
 
-def set_prints(tokens: list[bytes], words: int = 3, seed: int = SEED) -> tuple[int, int]:
-    """Two fingerprints of the set of shingles; the second from the same hashes, mixed again."""
+def set_prints(tokens: list[bytes], words: int = 5, seed: int = SEED) -> list[int]:
+    """Fingerprints of the set of shingles, one for each of PRINTS; from the second on from the same hashes, mixed again."""
     if not tokens:
-        return 0, 0
+        return [0] * len(PRINTS)
     hashes = np.unique(np.concatenate(list(_hashes(tokens, words, seed))))
-    mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(31)
-    first, second = (sum(bit_totals(x[i:i + BLOCK]) for i in range(0, len(x), BLOCK)) for x in (hashes, mixed))
-    return _majority(first, len(hashes)), _majority(second, len(hashes))
+    out = [_print(hashes)]
+    for i in range(1, len(PRINTS)):
+        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (i - 1) % (1 << 64))
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_print(mixed ^ (mixed >> np.uint64(31))))
+    return out
+
+
+def _print(hashes: np.ndarray) -> int:
+    return _majority(sum(bit_totals(hashes[i:i + BLOCK]) for i in range(0, len(hashes), BLOCK)), len(hashes))
 
 
 def bit_totals(hashes: np.ndarray) -> np.ndarray:
@@ -220,16 +226,16 @@ def shingle_hashes(tokens: list[bytes], words: int, seed: int = SEED) -> list[in
 
 
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, node, print, second, n): key names the text, node its lower-cased words, n counts its different shingles."""
+    """(doc_id, key, node, PRINTS, n): key names the text, node its lower-cased words, n counts its different shingles."""
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
             tokens = [(t or "").encode().lower().split() for t in batch["text"]]
-            prints = [set_prints(t) for t in tokens]
+            prints = zip(*[set_prints(t, words) for t in tokens])
             yield {"doc_id": batch["doc_id"], "key": batch["key"], "node": [_signed(xxhash.xxh64_intdigest(b" ".join(t), SEED)) for t in tokens],
-                   "print": [_signed(p) for p, _ in prints], "second": [_signed(p) for _, p in prints],
+                   **{name: list(map(_signed, p)) for name, p in zip(PRINTS, prints)},
                    "n": [len({b" ".join(t[i:i + words]) for i in range(max(1, len(t) - words + 1))}) if t else 0 for t in tokens]}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text"), "doc_id long, key long, node long, print long, second long, n long", work)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text"), f"doc_id long, key long, node long, {', '.join(f'{p} long' for p in PRINTS)}, n long", work)
 
 
 def _text_key() -> Column:
@@ -293,14 +299,14 @@ def _candidates(nodes: DataFrame, radius: int, similarity: float, group: int) ->
 
     A node is crowded if it has over NEAREST partners in a comparison; of these it hands on the nearest.
     """
-    columns = ["node", "print", "second", "n"]
+    columns = ["node", "n", *PRINTS]
     met = _meetings(nodes.select(*columns), similarity, group, 1 << 62)
     return _compared(met, [*columns, "side"], lambda at, held: _nearest(at, held, radius, similarity))
 
 
 def _crowd_links(crowded: DataFrame, radius: int, similarity: float, group: int = CROWD) -> DataFrame:
     """(a, b): links that connect what all links between crowded nodes connect, by their shingle sets."""
-    columns = ["node", "print", "second", "n", "shingles"]
+    columns = ["node", "n", *PRINTS, "shingles"]
     met = _meetings(crowded.select(*columns), similarity, group, VOLUME)
     return _compared(met, [*columns, "side"], lambda at, held: _confirmed(at, held, radius, similarity))
 
@@ -316,11 +322,11 @@ def _sides(at: tuple, side: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
 def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float, tile: int = TILE) -> Iterator[dict[str, list]]:
     if len(held) < 2:
         return
-    node, mark, second, n, side = (np.array(x, dtype=np.int64) for x in zip(*held))
+    node, n, *prints, side = (np.array(x, dtype=np.int64) for x in zip(*held))
     whole, left, right = _sides(at, side)
-    prints, more = mark.view(np.uint64), second.view(np.uint64)
-    reach = min(radius, FIRST)
-    pops = np.bitwise_count(prints).astype(int)
+    one, two, *more = (p.view(np.uint64) for p in prints)
+    reach = min(radius + SHORT, FIRST)
+    pops = np.bitwise_count(one).astype(int)
     left, right = left[np.argsort(pops[left], kind="stable")], right[np.argsort(pops[right], kind="stable")]
     hits, partners = [], np.zeros(len(node), int)
     for a in range(0, len(left), tile):
@@ -329,13 +335,14 @@ def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float
             cols = right[b:b + tile]
             if pops[cols[0]] > pops[rows[-1]] + reach or pops[cols[-1]] < pops[rows[0]] - reach:
                 continue
-            apart = np.bitwise_count(prints[rows][:, None] ^ prints[cols][None, :])
+            apart = np.bitwise_count(one[rows][:, None] ^ one[cols][None, :])
+            apart += np.bitwise_count(two[rows][:, None] ^ two[cols][None, :])
             i, j = np.nonzero(apart <= reach)
             d = apart[i, j].astype(int)
             once = i < j if whole and a == b else np.ones(len(i), bool)
             i, j, d = rows[i[once]], cols[j[once]], d[once]
-            d += np.bitwise_count(more[i] ^ more[j])
-            fit = (d <= radius) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            d += sum(np.bitwise_count(p[i] ^ p[j]).astype(int) for p in more)
+            fit = (d <= _most_bits(n[i], n[j], radius, similarity)) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
             i, j, d = i[fit], j[fit], d[fit]
             if not len(i):
                 continue
@@ -347,6 +354,12 @@ def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float
         yield {"a": np.concatenate([node[x], crowded]), "b": np.concatenate([node[y], crowded])}
 
 
+def _most_bits(n: np.ndarray, m: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Most differing bits of sets of n and m shingles: sets too small to be that similar and different have equal prints."""
+    least = np.minimum(n, m)
+    return np.where(least < (similarity - 1e-12) * (least + 1), 0, np.where(least < 5, radius + SHORT, radius))
+
+
 def _closest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each x the ``most`` pairs with the least distance."""
     order = np.lexsort((y, d, x))
@@ -361,10 +374,9 @@ def _confirmed(at: tuple | None, held: list[tuple], radius: int, similarity: flo
     if len(held) < 2:
         return
     *columns, sets, side = zip(*held)
-    node, mark, second, n = (np.array(x, dtype=np.int64) for x in columns)
+    node, n, *prints = (np.array(x, dtype=np.int64) for x in columns)
     whole, left, right = _sides(at, np.array(side))
-    prints, more = mark.view(np.uint64), second.view(np.uint64)
-    reach = min(radius, FIRST)
+    prints = np.array(prints).view(np.uint64)
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -375,8 +387,8 @@ def _confirmed(at: tuple | None, held: list[tuple], radius: int, similarity: flo
         y = right[place + 1:] if whole else right
         y = y[label[y] != label[x]]
         y = y[(np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (size[y] > 0)]
-        d = np.bitwise_count(prints[x] ^ prints[y]).astype(int)
-        y = y[(d <= reach) & (d + np.bitwise_count(more[x] ^ more[y]) <= radius)]
+        d = np.bitwise_count(prints[:, [x]] ^ prints[:, y]).astype(int)
+        y = y[(d[:2].sum(0) <= FIRST) & (d.sum(0) <= _most_bits(n[x], n[y], radius, similarity))]
         if not len(y):
             continue
         own = flat[start[x]:start[x] + size[x]]
@@ -397,9 +409,11 @@ def _confirmed(at: tuple | None, held: list[tuple], radius: int, similarity: flo
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, group: int = 4 * GROUP) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a Jaccard similarity of their word shingles.
 
-    SimHash proposes pairs up to ``radius`` of 128 bits apart (two fingerprints of three-word shingles, the first at
-    most FIRST apart): texts at 0.8 differ in 15 bits on average, unrelated ones in 64, so that hardly any pair is
-    missed and hardly any proposed in vain, in a corpus of any size. The shingle sets of proposed pairs confirm them.
+    SimHash proposes pairs up to ``radius`` of 256 bits apart (four fingerprints of the same shingles, the first two at
+    most FIRST apart). With independent hashes a pair at 0.8 differs in a bit with a probability of 0.11 to 0.161, by the
+    sizes of the sets, and of 0.188 for 4 against 5 shingles; the limits are set from the tails of these binomials, so
+    that each misses less than one such pair in a million. Unrelated texts differ in 128 bits, so that hardly any pair
+    is proposed in vain. The shingle sets of proposed pairs confirm them. Other similarities need another radius.
     In large groups (both texts with over NEAREST partners) the shingle sets themselves meet, so that no proposed pair
     is left out and none is written. Texts with equal words are one node from the start. A component without any
     doc_id has a null component_id.
@@ -412,7 +426,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 def _copy_groups(docs: DataFrame, words: int, similarity: float, radius: int, group: int) -> DataFrame:
     """(doc_id, key, component) of every row."""
     rows = materialise(_nodes(docs, words), "copy-nodes")
-    nodes = materialise(rows.groupBy("node").agg(F.first("print").alias("print"), F.first("second").alias("second"), F.first("n").alias("n"), F.min(_row_order()).alias("row")), "copy-distinct")
+    nodes = materialise(rows.groupBy("node").agg(*[F.first(p).alias(p) for p in PRINTS], F.first("n").alias("n"), F.min(_row_order()).alias("row")), "copy-distinct")
     pair = F.array_sort(F.array("a", "b"))
     found = materialise(_candidates(nodes, radius, similarity, group).select(
         pair[0].alias("a"), pair[1].alias("b")).distinct(), "copy-candidates")

@@ -204,6 +204,23 @@ def test_near_copies_against_brute_force(spark):
     assert simhash.near_copies(empty(spark)).count() == 0
 
 
+def test_pairs_at_the_least_similarity_are_found_at_every_length(spark):
+    rng = random.Random(77)
+    rows = []
+    for i in range(1500):
+        n = (8, 16, 56, 200)[i % 4 if i % 3 else 0]
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        if i % 2 or n < 56:  # an ending of a quarter as many shingles
+            other = [*words, *[f"w{rng.randrange(10**6)}" for _ in range((n - 4) // 4)]]
+        else:  # a block of a ninth of the shingles, set anew
+            k = (n - 4) // 9 - 4
+            other = [*words[:20], *[f"w{rng.randrange(10**6)}" for _ in range(k)], *words[20 + k:]] if k > 0 else words[1:]
+        assert 0.8 <= len(shingles(" ".join(words)) & shingles(" ".join(other))) / len(shingles(" ".join(words)) | shingles(" ".join(other))) < 1
+        rows += [(2 * i, " ".join(words), *[None] * 11), (2 * i + 1, " ".join(other), *[None] * 11)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, rows)).collect()}
+    assert {d: d // 2 * 2 for d in range(3000)} == got
+
+
 def test_large_groups_of_near_copies_against_brute_force(spark):
     rng = random.Random(33)
     rows = []
@@ -226,7 +243,7 @@ def test_crowded_texts_meet_in_small_groups_too():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 40)
     sets = [np.unique(np.where(rng.random(40) < 0.09, rng.integers(0, 2**62, 40), base)) for _ in range(120)]
-    held = [(i, 0, 0, len(s), s, 0) for i, s in enumerate(sets)]
+    held = [(i, len(s), 0, 0, 0, 0, s, 0) for i, s in enumerate(sets)]
     alike = {(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
 
     def classes(edges):
@@ -237,7 +254,7 @@ def test_crowded_texts_meet_in_small_groups_too():
         return low.tolist()
     found = [e for out in simhash._confirmed((0, 0, 0, 0), held, 30, 0.8) for e in zip(out["a"], out["b"])]
     assert classes(found) == classes(alike) and 1 < len(set(classes(alike))) < 120
-    halves = [(*row[:5], i % 2) for i, row in enumerate(held)]
+    halves = [(*row[:7], i % 2) for i, row in enumerate(held)]
     crossing = {(i, j) for i, j in alike if i % 2 != j % 2}
     found = [e for out in simhash._confirmed((0, 0, 0, 1), halves, 30, 0.8) for e in zip(out["a"], out["b"])]
     assert set((max(e), min(e)) for e in found) <= crossing and classes(found) == classes(crossing)
