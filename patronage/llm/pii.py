@@ -103,7 +103,8 @@ _PLUS = "plus"
 _ODD = re.compile("[" + "".join(map(re.escape, LOOK_ALIKE)) + "]")
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _ITEM = rf"(?:{_WORD}|{_PLUS}|{_DOT}|[0-9]+)"
-_CHAIN = re.compile(rf"(?<!\w)(?:\+[ ]?)?{_ITEM}(?:(?:[ ]?[,.\-/][ ]?|[ ]|(?<=[0-9])|(?=[0-9])){_ITEM})+(?!\w)", re.IGNORECASE)
+_BETWEEN = r"(?:[ ]?[,.\-/][ ]?|[ ]|(?<=[0-9])|(?=[0-9]))"
+_CHAIN = re.compile(rf"(?<!\w)(?:\+[ ]?)?{_ITEM}(?:{_BETWEEN}{_ITEM})+(?!\w)", re.IGNORECASE)
 _IN_CHAIN = re.compile(rf"\+|{_WORD}|{_PLUS}|{_DOT}|[0-9]+", re.IGNORECASE)
 _BRACKET_AT = rf"[ ]?[(\[{{<][ ]?(?:{_AT}|@)[ ]?[)\]}}>][ ]?"
 _BRACKET_DOT = rf"[ ]?[(\[{{<][ ]?(?:{_DOT}|\.)[ ]?[)\]}}>][ ]?"
@@ -114,10 +115,8 @@ _LOCAL_DOT = rf"(?:{_BRACKET_DOT}|[ ](?:{_DOT})[ ]|&(?:\#46|\#x2e|period);|[ ]\.
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9%+._-]|{_LOCAL_DOT}){{0,63}}?({_ANY_AT})([A-Za-z0-9][A-Za-z0-9-]{{0,62}}?(?:{_ANY_DOT}[A-Za-z0-9][A-Za-z0-9-]{{0,62}})+)", re.IGNORECASE)
 _DOT_IN = re.compile(_ANY_DOT, re.IGNORECASE)
 _DOTS_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-#: One of these has to occur, lower-cased, before the disguises of at and dot are looked for.
-AT_DOT_SIGNS = (" dot ", "dot)", "dot]", "dot}", "dot>", "_dot_", "-dot-", " punkt ", " punto ", " point ", "punkt)", "punto)", "point)", "punkt]", "punto]",
-                "point]", " period ", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "{@", "(.", "[.]", "{.}", " @ ", " arroba ", "arobase", "klammeraffe",
-                "&#64;", "&#x40;", "&commat;", "&#46;", "&#x2e;", "&period;", "%40", "_at_", "-at-")
+#: Disguises of at and dot, from the pieces of the patterns above: an edit of an address or of dots needs one of them. " at " alone is none.
+_SIGN = re.compile(rf"[(\[{{<][ ]?(?:{_AT}|@|{_DOT}|\.)[ ]?[)\]}}>]|[ ](?:{_DOT}|@|\.)[ ]|[_-](?:{_AT}|{_DOT})[_-]|&(?:\#64|\#x40|commat|\#46|\#x2e|period);|%40", re.IGNORECASE)
 
 
 class Mapped:
@@ -185,21 +184,21 @@ def _dots_between_digits(m: Mapped) -> list[tuple[int, int, str]]:
 
 
 def steps_for(text: str) -> list[Callable[[Mapped], list[tuple[int, int, str]]]]:
-    """The rewrites a text needs, by cheap signs."""
+    """The rewrites a text needs, by signs without which they change nothing."""
     steps: list[Callable] = []
     if not text.isascii() and _ODD.search(text):
         steps.append(_look_alikes)
         text = _ODD.sub(lambda x: LOOK_ALIKE[x.group()], text)
-    low = text.lower()
-    if _FOUR_WORDS.search(low) or _DIGIT_WORDS.search(low):
+    if _WORD_FIRST.search(text) or _WORD_NEXT.search(text):
         steps.append(_spelled_digits)
-    if any(s in low for s in AT_DOT_SIGNS):
+    if _SIGN.search(text):
         steps += [_at_and_dot, _dots_between_digits]
     return steps
 
 
-_FOUR_WORDS = re.compile(rf"\b{_WORD}\W{{1,3}}(?:{_WORD}|[0-9])")
-_DIGIT_WORDS = re.compile(rf"[0-9]\W{{1,3}}{_WORD}\b")
+# in a chain that counts, a spelled digit has a neighbour after it or before it
+_WORD_FIRST = re.compile(rf"(?<![^\W0-9]){_WORD}{_BETWEEN}{_ITEM}", re.IGNORECASE)
+_WORD_NEXT = re.compile(rf"(?:[0-9]|{_PLUS}|{_DOT}){_BETWEEN}{_WORD}", re.IGNORECASE)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

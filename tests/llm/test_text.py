@@ -330,3 +330,26 @@ def test_pages_of_nulls_and_nothing(spark):
     rows = html_text.main_texts(pages).collect()
     assert sorted((repr(r["page_id"]), r["n_chars"]) for r in rows if r["page_id"]) == [("1", 0), ("2", 0), ("2", 0)]
     assert html_text.main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind,disguise", [("email", t) for t in (
+    "john { at } example.com", "john < at > example.com", "ana[arroba]example.com", "ana<@>example.com", "ana@example . com", "ana (arobase) example.com", "ana%40example.com",
+    "ana-klammeraffe-example.com", "ana@example[ dot ]com", "ana@example<period>com", "ana@example&#46;com", "ana[at]example.com")] + [("ip", t) for t in (
+        "192 . 168 . 10 . 20", "eight dot eight dot eight dot eight", "8 punkt 8 punkt 8 punkt 8", "8 dot 8 dot 8 dot eight", "\uff18 . 8 . 8 . 8")])
+def test_each_disguise_is_found_alone_in_a_text(kind, disguise):
+    base, spans = pii.scan(disguise)
+    assert not base and [s[0] for s in spans] == [kind]
+
+
+def test_no_rewrite_is_skipped_that_would_change_a_text():
+    rng = random.Random(6)
+    pieces = ["at", "arroba", "@", "dot", "punkt", ".", "(", "]", "{", ">", " ", " ", "_", "-", "&#64;", "&period;", "%40", "eight", "SIEBEN", "un", "+", "plus", "12", "7", ",", "ana", "x.com", "\uff18", "\u017f"]
+    steps = (pii._look_alikes, pii._spelled_digits, pii._at_and_dot, pii._dots_between_digits)
+    for _ in range(20000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(3, 12)))
+        whole, needed = pii.Mapped(text), pii.Mapped(text)
+        for step in steps:
+            whole = whole.rewritten(step(whole))
+        for step in pii.steps_for(text):
+            needed = needed.rewritten(step(needed))
+        assert whole.text == needed.text, text
