@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import decontaminate, exact_dedup, html_text, language, manifest, mixing, packing, pii, secrets, simhash, substring_dedup
+from patronage.llm import decontaminate, exact_dedup, html_text, language, manifest, mixing, packing, pii, search, secrets, simhash, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +91,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.audit(table(spark, folder, "documents"))
 
@@ -106,9 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lexical_search": op11_lexical_search,
     "op12_manifest": op12_manifest,
 }
-ORACLES: dict[str, str] = {"op5_source_mix": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op12_manifest": manifest.ORACLE}
+ORACLES: dict[str, str] = {"op5_source_mix": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op11_lexical_search": search.ORACLE, "op12_manifest": manifest.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
