@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from patronage.session import materialise
 
 ARITY = 8
+#: Nodes of a level that one task takes, at least.
+TASK_ROWS = 10_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _PATH = "array<struct<left:binary,right:binary>>"
 
@@ -101,18 +103,19 @@ def with_siblings(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
 
 def grown(nodes: DataFrame, arity: int, name: str) -> Tree:
     """All levels over the given bottom nodes (tree, pos, n, hash and others)."""
-    tree, level = Tree([], []), 0
-    while True:
+    sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("trees")).first()
+    tree, most, rows = Tree([], []), sizes["most"] or 0, sizes["nodes"] or 0
+    while most > 1:
         tree.roots.append(nodes.where("n = 1"))
-        several = nodes.where("n > 1")
-        held = materialise(with_siblings(several, arity), f"{name}-level-{level}")
-        if held.isEmpty():
-            return tree
+        files = max(1, -(-rows // TASK_ROWS))  # upper levels are small: few tasks and files
+        held = materialise(with_siblings(nodes.where("n > 1"), arity).coalesce(files), f"{name}-level-{len(tree.levels)}")
         tree.levels.append(held)
         nodes = held.where(F.pmod("pos", F.lit(arity)) == 0).select(
             "tree", F.expr(f"pos div {arity}").alias("pos"), F.ceil(F.col("n") / arity).cast("long").alias("n"),
             digest(F.concat("hash", "left", "right")).alias("hash"))
-        level += 1
+        most, rows = -(-most // arity), -(-rows // arity) + sizes["trees"]
+    tree.roots.append(nodes.where("n = 1"))
+    return tree
 
 
 def remaining(tree: Tree) -> DataFrame:
