@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import decontaminate, exact_dedup, html_text, language, manifest, mixing, packing, pii, search, secrets, simhash, substring_dedup
+from patronage.llm import decontaminate, exact_dedup, html_text, language, manifest, mixing, packing, pii, search, secrets, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -99,6 +99,11 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.audit(table(spark, folder, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_lexical_search": op11_lexical_search,
     "op12_manifest": op12_manifest,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op5_source_mix": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op11_lexical_search": search.ORACLE, "op12_manifest": manifest.ORACLE}
 
