@@ -297,7 +297,8 @@ def _compared(met: DataFrame, columns: list[str], compare: Callable[[tuple | Non
 def _candidates(nodes: DataFrame, radius: int, similarity: float, group: int) -> DataFrame:
     """(a, b): all pairs of nodes at most ``radius`` bits apart, but for pairs of two crowded nodes; a = b names a crowded node.
 
-    A node is crowded if it has over NEAREST partners in a comparison; of these it hands on the nearest.
+    A node is crowded if it has over NEAREST partners in a comparison; its pairs are handed on by their other ends, where
+    these aren't crowded, so that no node hands on over NEAREST pairs and a mark.
     """
     columns = ["node", "n", *PRINTS]
     met = _meetings(nodes.select(*columns), similarity, group, 1 << 62)
@@ -350,6 +351,8 @@ def _nearest(at: tuple | None, held: list[tuple], radius: int, similarity: float
             hits += [_closest(i, j, d, NEAREST), _closest(j, i, d, NEAREST)]
     if hits:
         x, y, _ = _closest(*map(np.concatenate, zip(*hits)), NEAREST)
+        open_end = partners[x] <= NEAREST  # pairs of two crowded nodes are decided where these meet; any other pair is in the list of its open end
+        x, y = x[open_end], y[open_end]
         crowded = node[partners > NEAREST]
         yield {"a": np.concatenate([node[x], crowded]), "b": np.concatenate([node[y], crowded])}
 
@@ -431,7 +434,7 @@ def _copy_groups(docs: DataFrame, words: int, similarity: float, radius: int, gr
     found = materialise(_candidates(nodes, radius, similarity, group).select(
         pair[0].alias("a"), pair[1].alias("b")).distinct(), "copy-candidates")
     proposed, crowded = found.where("a != b"), found.where("a = b").select(F.col("a").alias("_node"))
-    ends = proposed.select(F.col("a").alias("_node")).unionByName(proposed.select(F.col("b").alias("_node"))).distinct()
+    ends = found.select(F.col("a").alias("_node")).unionByName(found.select(F.col("b").alias("_node"))).distinct()
     wanted = nodes.join(ends, F.col("node") == F.col("_node"), "left_semi").select(F.col("row.id").alias("_doc"), F.col("row.key").alias("_key"), "node")
 
     def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:

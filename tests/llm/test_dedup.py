@@ -348,3 +348,23 @@ def test_mixing_of_nothing_and_of_awkward_columns(spark):
     assert mixing.mix_documents(empty(spark)).count() == 0
     out = mixing.mix_documents(documents(spark))
     assert out.columns == documents(spark).columns and out.count() > 0
+
+
+def test_near_copies_hand_on_few_rows_at_any_group_size():
+    """What a comparison hands on grows with its documents, not with their pairs; pairs with an open end are all there."""
+    rng = np.random.default_rng(7)
+    per_node = []
+    for n in (2000, 4000, 8000):
+        prints = [rng.integers(-(1 << 62), 1 << 62) ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 62, (n, 3)), axis=1) for _ in simhash.PRINTS]
+        node = np.arange(n)
+        out = list(simhash._nearest((5, 0, 0, 0), list(zip(node, np.full(n, 200), *prints, np.zeros(n, int))), simhash.RADIUS, 0.8))
+        assert {a for o in out for a, b in zip(o["a"], o["b"]) if a == b} == set(range(n))  # all are crowded
+        per_node.append(sum(len(o["a"]) for o in out) / n)
+    assert max(per_node) <= 2
+    # a crowd, and far from it a small group: its pairs are handed on
+    lone = simhash.NEAREST // 2
+    prints = [np.concatenate([np.zeros(300, np.int64), np.full(lone, (1 << 30) - 1, np.int64)]) for _ in simhash.PRINTS]
+    node = np.arange(300 + lone)
+    out = list(simhash._nearest((5, 0, 0, 0), list(zip(node, np.full(len(node), 200), *prints, np.zeros(len(node), int))), simhash.RADIUS, 0.8))
+    pairs = {(min(a, b), max(a, b)) for o in out for a, b in zip(o["a"].tolist(), o["b"].tolist()) if a != b}
+    assert pairs == {(a, b) for a in range(300, 300 + lone) for b in range(a + 1, 300 + lone)}
