@@ -7,9 +7,11 @@ bucket, an overflow doubles the table from the stored keys, and live digests can
 Two passes: each task first folds its own rows (a text that a third of all rows share leaves one row per
 task), then digests are hash-partitioned and the same index folds what the tasks found.
 
-Defined results: null text counts as empty; a null doc_id never wins over a number; rows that repeat a
-doc_id with an equal text are one document given twice and share their ``kept``; an empty table gives no
-rows; further columns are not read.
+Exactly one row of each group of equal texts stays: of the rows with the smallest doc_id (none: of all rows), the one
+whose text as given has the smaller digest; of rows that are equal in all that, any one.
+
+Defined results: null text counts as empty, and comes before an empty one where rows tie; a null doc_id never wins over
+a number; an empty table gives no rows; further columns are not read.
 """
 from __future__ import annotations
 
@@ -114,10 +116,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row."""
+def digests(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, digest) of every row, and further columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+                       F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), *more)
 
 
 def _fold(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -188,8 +190,15 @@ def updated_index(index: DataFrame, added: DataFrame | None = None, deleted: Dat
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 — one row per document, dropped ones too."""
-    rows = materialise(digests(docs), "digests")
+    raw = F.when(F.col("text").isNotNull(), F.unhex(F.sha2("text", 256)))
+    rows = materialise(digests(docs, raw.alias("raw")), "digests")
     index = live_index(rows).withColumnRenamed("digest", "_digest")
-    return rows.join(index, F.col("digest") == F.col("_digest")).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+    found = rows.join(index, F.col("digest") == F.col("_digest")).select("doc_id", "digest", "raw", "keep_id", "group_size")
+    # rows that share the doc_id that stays are few unless ids repeat: they alone are told apart
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    found = materialise(found.withColumn("stays", stays).withColumn("row", F.monotonically_increasing_id()), "digest-groups")
+    many = found.where("stays").groupBy("digest").agg(F.min(F.struct("raw", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = many.select(F.col("digest").alias("_digest"), F.col("first.row").alias("_row"))
+    return found.join(many, F.col("digest") == F.col("_digest"), "left").select(
+        "doc_id", "keep_id", "group_size", (F.col("stays") & F.coalesce(F.col("row") == F.col("_row"), F.lit(True))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

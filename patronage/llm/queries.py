@@ -72,9 +72,9 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256, sha256(text) AS raw FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, raw NULLS FIRST) = 1 AS kept, text_sha256
 FROM rows WINDOW same AS (PARTITION BY text_sha256)
 """
 

@@ -36,20 +36,31 @@ def test_cuckoo_index_tells_keys_with_one_fingerprint_and_places_apart():
     assert index.delete(same[7]) and index.find(same[7]) is None and index.find(same[8])[0] == 8
 
 
-def test_exact_duplicates_against_brute_force(spark):
-    rows = awkward()
+def brute_exact(rows):
     groups = {}
     for r in rows:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), []).append(r[0])
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), []).append((r[0] is None, r[0] or 0, r[1] is not None, hashlib.sha256((r[1] or "").encode()).hexdigest(), r[0]))
     want = Counter()
-    for text, ids in groups.items():
-        keep = min((i for i in ids if i is not None), default=None)
-        for i in ids:
-            want[(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest())] += 1
-    assert Counter(tuple(r) for r in exact_dedup.exact_duplicates(documents(spark)).collect()) == want
+    for text, found in groups.items():
+        for place, r in enumerate(sorted(found, key=lambda x: x[:4])):
+            want[(r[4], min((x[4] for x in found if x[4] is not None), default=None), len(found), place == 0, hashlib.sha256(text.encode()).hexdigest())] += 1
+    return want
+
+
+def test_exact_duplicates_against_brute_force(spark):
+    rows = awkward()
+    assert Counter(tuple(r) for r in exact_dedup.exact_duplicates(documents(spark)).collect()) == brute_exact(rows)
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
+    some = [(1, "a b"), (1, "a  b"), (1, "a  b"), (None, "z"), (None, "z"), (None, " "), (None, "\t"), (2, None), (2, ""), (3, "lone"), (None, "a b"), (4, "a b")]
+    rows = [(*r, *[None] * 11) for r in some]
+    got = Counter(tuple(r) for r in exact_dedup.exact_duplicates(documents(spark, rows).repartition(5)).collect())
+    assert got == brute_exact(rows)
+    assert sum(n for r, n in got.items() if r[3]) == len({r[4] for r in got})
+
+
 def test_live_index_takes_insertions_and_deletions(spark):
     rows = exact_dedup.digests(documents(spark, [(i, t, *[None] * 11) for i, t in enumerate(["a", "b", "a", "c"])]))
     index = exact_dedup.live_index(rows)
