@@ -279,25 +279,25 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (list of start, end in bytes) — one row per document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (list of start, end in bytes), text, n_chars — one row per document.
+
+    ``text`` is what remains, without the parts of characters that a cut leaves over; the digest is of the exact bytes.
+    """
     places = repeated_places(docs, length, seed)
     lists = places.groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("places"))
     joined = _texts(docs).join(_renamed(lists, *DOC), _on(*DOC), "left").select(*DOC, "text", "places")
 
     def cut(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "text", "n_chars")}
             for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
                 data = memoryview(text.encode())
                 gone = merged([(p["start"], p["end"]) for p in places or []])
-                digest, upto = hashlib.sha256(), 0
-                for a, b in gone:
-                    digest.update(data[upto:a])
-                    upto = b
-                digest.update(data[upto:])
+                kept = b"".join(data[a:b] for a, b in zip([0, *[b for _, b in gone]], [*[a for a, _ in gone], len(data)]))
+                rest = kept.decode("utf-8", "ignore") if gone else text
                 for k, v in (("doc_id", doc_id), ("n_bytes", len(data)), ("n_removed", sum(b - a for a, b in gone)), ("n_spans", len(gone)),
-                             ("kept_sha256", digest.hexdigest()), ("removed", [{"start": a, "end": b} for a, b in gone])):
+                             ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("removed", [{"start": a, "end": b} for a, b in gone]), ("text", rest), ("n_chars", len(rest))):
                     out[k].append(v)
             yield out
 
-    return map_rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>", cut)
+    return map_rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>, text string, n_chars long", cut)

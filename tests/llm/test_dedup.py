@@ -98,6 +98,7 @@ def test_substring_dedup_against_brute_force(spark, length, seed_bytes, case):
         spans = sum(1 for k, c in enumerate(covered) if c and (k == 0 or not covered[k - 1]))
         want = (len(data[i]), sum(covered), spans, hashlib.sha256(kept).hexdigest())
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+        assert (got[i]["text"], got[i]["n_chars"]) == (kept.decode("utf-8", "ignore"), len(kept.decode("utf-8", "ignore")))
 
 
 def test_substring_dedup_of_repeated_rows_null_ids_and_nothing(spark):
