@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-Base spans come from patterns. Beyond them, every token long enough to be a key is scored under two
-second-order character models of random strings and of ordinary tokens; the ratio of the likelihoods decides.
+Base spans come from patterns. Beyond them, every token of MIN_TOKEN characters or more is scored under two
+second-order character models of random strings and of ordinary tokens; the ratio of the likelihoods decides: its log
+has to reach MIN_EVIDENCE, and MIN_RATIO for each character, so that short tokens need as much evidence as long ones.
 Labelled samples: from a bounded, seeded sample of the documents, what the base patterns match is labelled
 random and all other tokens ordinary. Seeded random keys of common alphabets and identifiers joined from words
 stand in for kinds that a corpus happens to lack; they have models of their own, and the likelier model of
@@ -28,9 +29,11 @@ from patronage.llm.spans import Span, digest, in_order, joined
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "random")
 SAMPLE_DOCS = 2000
-MIN_TOKEN = 20
-#: Natural log of how much more likely a token has to be as a random string, per character.
-MIN_RATIO = 0.8
+MIN_TOKEN = 12
+#: Natural log of how much more likely a token has to be as a random string, in all and per character.
+MIN_EVIDENCE, MIN_RATIO = 12.0, 0.8
+#: Words of the corpus, the smallest by hash, that stand-ins are made of.
+STAND_IN_WORDS = 500
 
 # Words that identifiers, paths and messages are made of.
 IDENTIFIER_WORDS = """account action active address admin agent alert align amount answer archive array article assert asset async author backup balance
@@ -88,16 +91,26 @@ class MarkovModel:
     random: list[np.ndarray]
     ordinary: list[np.ndarray]
 
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        """Log-likelihood ratio of each token, as random against ordinary."""
+        codes = _CODE[np.frombuffer("".join(tokens).encode("ascii"), np.uint8)]
+        first = np.cumsum([0, *map(len, tokens)])[:-1]
+        at = _contexts(codes, first), codes
+        best = [np.max([np.add.reduceat(m[at], first) for m in models], axis=0) for models in (self.random, self.ordinary)]
+        return best[0] - best[1]
+
     def score(self, token: str) -> float:
         """Mean log-likelihood ratio per character."""
-        codes = _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
-        at = _contexts(codes), codes
-        return float(max(m[at].mean() for m in self.random) - max(m[at].mean() for m in self.ordinary))
+        return float(self.scores([token])[0]) / len(token)
 
 
-def _contexts(codes: np.ndarray) -> np.ndarray:
+def _contexts(codes: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
+    """Number of the two characters before each one; ``first``: where tokens begin."""
     before = np.concatenate([[_SIZE - 1], codes[:-1]])
-    return np.concatenate([[_SIZE - 1], before[:-1]]) * _SIZE + before
+    before[first] = _SIZE - 1
+    second = np.concatenate([[_SIZE - 1], before[:-1]])
+    second[first] = _SIZE - 1
+    return second * _SIZE + before
 
 
 def count_into(table: np.ndarray, token: str) -> None:
@@ -125,11 +138,11 @@ def stand_ins(words: list[str], n: int = 4000, seed: int = 42) -> tuple[list[str
     rng = random.Random(seed)
     letters, digits = ALPHABET[:52], ALPHABET[52:62]
     alphabets = (letters + digits, letters + digits + "+/", letters + digits + "_-", digits + "abcdef", letters[26:] + digits, letters[:26] + digits)
-    keys = ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 64))) for i in range(n)]
+    keys = ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(MIN_TOKEN, 64))) for i in range(n)]
     names = []
     for i in range(n):
         parts = [rng.choice(IDENTIFIER_WORDS if i % 4 or not words else words) for _ in range(rng.randint(2, 6))]
-        style = i % 5
+        style = i % 7
         if style == 0:
             names.append("_".join(parts))
         elif style == 1:
@@ -138,8 +151,12 @@ def stand_ins(words: list[str], n: int = 4000, seed: int = 42) -> tuple[list[str
             names.append("-".join(parts) + str(rng.randint(0, 2030)))
         elif style == 3:
             names.append("/" + "/".join(parts))
-        else:
+        elif style == 4:
             names.append("".join(parts).upper() + "_" + str(rng.randint(0, 99)))
+        elif style == 5:  # rulers and fillers
+            names.append(rng.choice("-=_+/0xXaA") * rng.randint(4, 40))
+        else:  # dates and numbers
+            names.append(rng.choice(["%04d-%02d-%02d", "%04d/%02d/%02d", "%04d%02d%02d"]) % (rng.randint(1900, 2100), rng.randint(1, 12), rng.randint(1, 31)) + rng.choice(["", "T%06d" % rng.randint(0, 235959), "-0000-0000"]))
     return keys, names
 
 
@@ -148,7 +165,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 42) -> Ma
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     n = texts.count()
     share = min(1.0, sample_docs / n) if n else 0.0
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = texts.where(unit < F.lit(share)).select("text")
 
     def count(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -161,9 +178,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 42) -> Ma
                     count_into(tables[0], k)
                 for p in plain:
                     count_into(tables[1], p)
-                words.update(w for w in plain[:200] if w.isalpha() and len(w) < 16)
-        # the stand-ins are made from the smallest words by hash, so that few rows carry them
-        some = sorted(words, key=digest)[:500]
+                words.update(w for w in plain if w.isalpha() and len(w) < 16)
+                if len(words) > 40 * STAND_IN_WORDS:
+                    words = set(sorted(words, key=digest)[:STAND_IN_WORDS])
+        some = sorted(words, key=digest)[:STAND_IN_WORDS]  # a sample by hash, so that few rows carry it
         flat = tables.reshape(-1)
         there = np.flatnonzero(flat)
         yield {"cell": there, "n": flat[there], "word": [None] * len(there)}
@@ -176,7 +194,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 42) -> Ma
     tables[cells[cells >= 0]] += sums[cells >= 0]
     corpus = tables.reshape(2, _SIZE * _SIZE, _SIZE)
     made = np.zeros_like(corpus)
-    for table, tokens in zip(made, stand_ins(sorted((w for w in names if w is not None), key=digest)[:500])):
+    for table, tokens in zip(made, stand_ins(sorted((w for w in names if w is not None), key=digest)[:STAND_IN_WORDS])):
         for token in tokens:
             count_into(table, token)
     # keys don't depend on their own past: strong backing off; words do
@@ -193,25 +211,23 @@ def _log(counts: np.ndarray, strength: float) -> np.ndarray:
     return np.log((counts + strength * prior) / (counts.sum(1, keepdims=True) + strength))
 
 
-def scan(text: str, model: MarkovModel, min_ratio: float = MIN_RATIO) -> tuple[list[Span], list[Span]]:
+def scan(text: str, model: MarkovModel, min_evidence: float = MIN_EVIDENCE, min_ratio: float = MIN_RATIO) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): tokens that the models call random are added where no base span overlaps."""
     base = found(text)
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    if not spans:
+        return base, base
+    scores = model.scores([text[a:b] for a, b in spans])
+    size = np.array([b - a for a, b in spans])
     extra = []
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        if not _mixed(token) or any(a < m.end() and m.start() < b for _, a, b in base):
-            continue
-        if model.score(token) >= min_ratio:
-            extra.append(("random", *m.span()))
+    for i in np.flatnonzero(scores >= np.maximum(min_evidence, min_ratio * size)).tolist():
+        a, b = spans[i]
+        if not any(x < b and a < y for _, x, y in base):
+            extra.append(("random", a, b))
     return base, in_order(base + extra, KINDS)
 
 
-def _mixed(token: str) -> bool:
-    """Random keys of this length hold a digit and a letter; longest first is cheapest to tell."""
-    return not token.isalpha() and any(map(str.isdigit, token)) and any(map(str.isalpha, token))
-
-
-def secrets(docs: DataFrame, model: MarkovModel | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
+def secrets(docs: DataFrame, model: MarkovModel | None = None, min_evidence: float = MIN_EVIDENCE, min_ratio: float = MIN_RATIO) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (base), base_sha256, spans (all), n_random — one row per document."""
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,7 +236,7 @@ def secrets(docs: DataFrame, model: MarkovModel | None = None, min_ratio: float
         for batch in batches:
             out: dict[str, list] = {"doc_id": batch["doc_id"], **{f"n_{k}": [] for k in BASE_KINDS}, "base_sha256": [], "spans": [], "n_random": []}
             for text in batch["text"]:
-                base, all_spans = scan(text or "", shared.value, min_ratio)
+                base, all_spans = scan(text or "", shared.value, min_evidence, min_ratio)
                 for kind in BASE_KINDS:
                     out[f"n_{kind}"].append(sum(k == kind for k, _, _ in base))
                 out["base_sha256"].append(digest(joined(base)))

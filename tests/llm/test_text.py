@@ -151,6 +151,45 @@ def test_random_keys_are_told_from_identifiers(spark):
     assert [n for n in names if secrets.scan(f"use {n} here", model)[1]] == []
 
 
+@pytest.fixture(scope="module")
+def secret_model(spark):
+    return secrets.train(table(spark, SMALL, "documents"))
+
+
+@pytest.mark.parametrize("alphabet,size,least", [(secrets.ALPHABET[:62], 16, 0.97), (secrets.ALPHABET[:62], 18, 0.97), (secrets.ALPHABET[:62], 24, 0.99),
+                                                 (secrets.ALPHABET[:52], 24, 0.97), (secrets.ALPHABET[:26], 24, 0.95), (secrets.ALPHABET[:62], 12, 0.9)])
+def test_keys_without_digits_and_short_keys_are_told_by_the_models(secret_model, alphabet, size, least):
+    rng = random.Random(size)
+    keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(300)]
+    assert sum(("random", 4, 4 + size) in secrets.scan(f"use {k} here", secret_model)[1] for k in keys) >= least * 300
+
+
+def test_ordinary_tokens_of_any_length_stay(secret_model):
+    plain = ["-" * 30, "=" * 14, "internationalization", "getElementsByClassName", "2024-01-15-0000-0000", "00000000-0000-0000-0000-000000000000", "anticonstitutionnellement",
+             "/usr/local/lib/python/site-packages", "1234567890123456"[:14]]
+    assert [p for p in plain if secrets.scan(f"use {p} here", secret_model)[1]] == []
+
+
+def test_ratio_equals_plain_sums_over_characters(secret_model):
+    tokens = ["aB3dE5gH7jK9mN1p", "thereonheraldtion", "x/y_z-0=a+b/c", "Q" * 12]
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    size = len(secrets.ALPHABET) + 1
+
+    def plain(token, models):
+        best = []
+        for m in models:
+            total, one, two = 0.0, size - 1, size - 1
+            for c in token:
+                total += m[one * size + two][place[c]]
+                one, two = two, place[c]
+            best.append(total)
+        return max(best)
+    want = [plain(t, secret_model.random) - plain(t, secret_model.ordinary) for t in tokens]
+    assert np.allclose(secret_model.scores(tokens), want)
+    assert secret_model.score(tokens[0]) == pytest.approx(want[0] / 16)
+
+
+
 # --- decontamination
 
 def sellers(pattern: str, text: str) -> int:
