@@ -3,8 +3,8 @@
 Base spans are found in the text as it is. Then rewriting transducers normalise the text: look-alike
 characters, invisible characters, spelled digits, and disguises of "at" and "dot". Each rewrite keeps, for
 every normalised character, the source range it came from, so identifiers found in the normalised text map back
-to source characters. A mapped span is added if a rewrite took place inside it and no base span of its kind
-overlaps it; base spans stay.
+to source characters. A mapped span is added if a rewrite took place inside it and it overlaps no base span of its kind, or
+holds more than each of those it overlaps; base spans stay.
 
 Defined results: null text counts as empty (no spans, digest of the empty string); repeated rows are scanned
 each; all work is linear in the text, so very long texts and runs are safe; further columns are not read.
@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import map_rows
-from patronage.llm.spans import Span, digest, in_order, joined, overlaps
+from patronage.llm.spans import Span, digest, in_order, joined
 
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*+")
 # a run of digits that fails as a whole fails from inside as well, so only its start is tried
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -110,11 +109,16 @@ _BRACKET_AT = rf"[ ]?[(\[{{<][ ]?(?:{_AT}|@)[ ]?[)\]}}>][ ]?"
 _BRACKET_DOT = rf"[ ]?[(\[{{<][ ]?(?:{_DOT}|\.)[ ]?[)\]}}>][ ]?"
 _ANY_AT = rf"(?:{_BRACKET_AT}|[ ](?:{_AT})[ ]|[_-](?:{_AT})[_-]|[ ]?&(?:\#64|\#x40|commat);[ ]?|[ ]@[ ]|%40|@)"
 _ANY_DOT = rf"(?:{_BRACKET_DOT}|[ ](?:{_DOT})[ ]|[_-](?:{_DOT})[_-]|&(?:\#46|\#x2e|period);|[ ]\.[ ]|\.)"
-# each character of a local part (64 at most) matches in one way only, so a failing match costs no more than its length
 _LOCAL_DOT = rf"(?:{_BRACKET_DOT}|[ ](?:{_DOT})[ ]|&(?:\#46|\#x2e|period);|[ ]\.[ ])(?=[A-Za-z0-9])"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9%+._-]|{_LOCAL_DOT}){{0,63}}?({_ANY_AT})([A-Za-z0-9][A-Za-z0-9-]{{0,62}}?(?:{_ANY_DOT}[A-Za-z0-9][A-Za-z0-9-]{{0,62}})+)", re.IGNORECASE)
+_AT_SIGN = re.compile(_ANY_AT, re.IGNORECASE)
+# runs of local characters and disguised dots; each character belongs to one run, and each run is read once
+_LOCAL_RUN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9%+._-]++|{_LOCAL_DOT})*+", re.IGNORECASE)
+_HIDDEN_DOT_NEXT = rf"(?![_-](?:{_DOT})[_-])"
+_LABEL = rf"[A-Za-z0-9](?:{_HIDDEN_DOT_NEXT}[A-Za-z0-9-])*+"
+_HIDDEN_DOMAIN = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})++", re.IGNORECASE)
+_INSIDE_RUN = re.compile(rf"[_-](?:{_AT})[_-]|%40", re.IGNORECASE)
 _DOT_IN = re.compile(_ANY_DOT, re.IGNORECASE)
-_DOTS_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_DOTS_IP = re.compile(rf"(?<![0-9.])[0-9]++(?:{_ANY_DOT}[0-9]++){{3}}", re.IGNORECASE)
 #: Disguises of at and dot, from the pieces of the patterns above: an edit of an address or of dots needs one of them. " at " alone is none.
 _SIGN = re.compile(rf"[(\[{{<][ ]?(?:{_AT}|@|{_DOT}|\.)[ ]?[)\]}}>]|[ ](?:{_DOT}|@|\.)[ ]|[_-](?:{_AT}|{_DOT})[_-]|&(?:\#64|\#x40|commat|\#46|\#x2e|period);|%40", re.IGNORECASE)
 
@@ -168,17 +172,36 @@ def _spelled_digits(m: Mapped) -> list[tuple[int, int, str]]:
 
 def _at_and_dot(m: Mapped) -> list[tuple[int, int, str]]:
     edits = []
-    for x in _ADDRESS.finditer(m.text):
-        at, domain = x.span(1), x.span(2)
+    for local, at, domain in disguised(m.text):
         inner = [(d.start(), d.end(), ".") for d in _DOT_IN.finditer(m.text, *domain) if d.group() != "."]
         plain = re.fullmatch(rf"[ ](?:{_AT})[ ]", m.text[at[0]:at[1]], re.IGNORECASE)
         if plain and not inner:  # "stay at example.com" is a sentence
             continue
-        local = [(d.start(), d.end(), ".") for d in _DOT_IN.finditer(m.text, x.start(), at[0]) if d.group() != "."]
-        edits += local + ([(at[0], at[1], "@")] if m.text[at[0]:at[1]] != "@" else []) + inner
+        dots = [(d.start(), d.end(), ".") for d in _DOT_IN.finditer(m.text, *local) if d.group() != "."]
+        edits += dots + ([(at[0], at[1], "@")] if m.text[at[0]:at[1]] != "@" else []) + inner
     return edits
 
 
+def disguised(text: str) -> Iterator[tuple[tuple[int, int], tuple[int, int], tuple[int, int]]]:
+    """(local part, at, domain) of each address, leftmost first, plain or disguised, of any length.
+
+    A run of local characters ends before an at-sign that is none of them, or holds signs such as ``_at_``: of these the
+    first one with a domain after it counts.
+    """
+    free = 0
+    for run in _LOCAL_RUN.finditer(text):
+        start, end = max(run.start(), free), run.end()
+        if end <= start:
+            continue
+        after = _AT_SIGN.match(text, end)
+        for at in [*_INSIDE_RUN.finditer(text, start, end), *([after] if after else [])]:
+            domain = _HIDDEN_DOMAIN.match(text, at.end()) if at.start() > start else None
+            if domain:
+                yield (start, at.start()), at.span(), domain.span()
+                free = domain.end()
+                break
+
+
 def _dots_between_digits(m: Mapped) -> list[tuple[int, int, str]]:
     return [(d.start(), d.end(), ".") for x in _DOTS_IP.finditer(m.text) for d in _DOT_IN.finditer(m.text, *x.span()) if d.group() != "."]
 
@@ -218,7 +241,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         at = bisect.bisect_left(changes, s[1])
         touched = at < len(changes) and changes[at] < s[2] or m.ends[s[2] - 1] - m.starts[s[1]] != s[2] - s[1]
         mapped = m.source(s)
-        if touched and not overlaps(mapped, base):
+        if touched and all(mapped[1] <= a and b <= mapped[2] and (a, b) != mapped[1:] for k, a, b in base if k == mapped[0] and a < mapped[2] and mapped[1] < b):
             extra.append(mapped)
     return base, in_order(base + extra, KINDS)
 

@@ -16,7 +16,3 @@ def joined(spans: list[Span]) -> str:
 
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
-
-
-def overlaps(span: Span, others: list[Span]) -> bool:
-    return any(k == span[0] and a < span[2] and span[1] < b for k, a, b in others)
