@@ -8,8 +8,10 @@ band with enough of them is verified by an alignment that stays inside the band.
 The q-gram index is broadcast in blocks of at most BLOCK_CHARS characters of items; every block is one map over
 the documents, so there is no join and nothing is shuffled but matches. One block is the common case.
 
-Defined results: null and empty texts match nothing; items under MIN_CHARS characters after normalising aren't
-looked for (they are ordinary words); an item given twice is reported under each of its ids; a null doc_id is
+Items under MIN_CHARS characters after normalising are too short for that and are looked for as they are, at word
+boundaries, with one automaton over all of them.
+
+Defined results: null and empty texts match nothing; items that are empty after normalising aren't looked for; an item given twice is reported under each of its ids; a null doc_id is
 reported as it is; repeated rows are scanned each; an empty benchmark matches nothing; further columns are not
 read. Long texts are scanned in overlapping pieces.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ MIN_CHARS = 20
 REGION = 160
 BLOCK_CHARS = 4_000_000
 PIECE = 1 << 18
+#: Shared q-grams that are counted at a time.
+ROWS = 1 << 21
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER_BITS = 22
 
@@ -72,6 +77,16 @@ class RegionIndex:
     region: np.ndarray
     place: np.ndarray
     there: np.ndarray  # filter by the top bits of a name
+    short: dict[str, list[int]] | None = None  # short items: their rows in ``item``
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """Of the short items; made once a process."""
+        if not hasattr(self, "_made"):
+            self._made = ahocorasick.Automaton()
+            for text, rows in self.short.items():
+                self._made.add_word(text, (len(text), rows))
+            self._made.make_automaton()
+        return self._made
 
 
 def regions_of(text: str, region: int) -> list[str]:
@@ -83,10 +98,12 @@ def regions_of(text: str, region: int) -> list[str]:
 
 
 def index_of(items: list[tuple], q: int = Q, edit_share: float = EDIT_SHARE, min_chars: int = MIN_CHARS, region: int = REGION) -> RegionIndex:
-    ids, texts = [], []
+    ids, texts, few = [], [], {}
     for item_id, raw in items:
         text = normalised(raw)
-        if len(text) >= max(min_chars, q):
+        if 0 < len(text) < max(min_chars, q):
+            few.setdefault(text, []).append(item_id)
+        elif text:
             for r in regions_of(text, region):
                 ids.append(item_id)
                 texts.append(r)
@@ -101,7 +118,11 @@ def index_of(items: list[tuple], q: int = Q, edit_share: float = EDIT_SHARE, min
     there = np.zeros(1 << FILTER_BITS, bool)
     there[names >> np.uint64(64 - FILTER_BITS)] = True
     distinct, first = np.unique(names[order], return_index=True)
-    return RegionIndex(q, ids, texts, length, edits, needed, distinct, np.append(first, len(names)), owner[order], place[order], there)
+    short, every = {}, list(ids)
+    for text, owners in few.items():
+        short[text] = list(range(len(every), len(every) + len(owners)))
+        every += owners
+    return RegionIndex(q, every, texts, length, edits, needed, distinct, np.append(first, len(names)), owner[order], place[order], there, short)
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -127,16 +148,49 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
 def matches(text: str | None, index: RegionIndex) -> list[tuple[int, int, int]]:
     """(region, edits, end in the normalised text), each region at most once per band of diagonals."""
     whole = normalised(text)
-    if len(whole) < index.q or not index.item:
+    if not whole or not index.item:
         return []
+    out = exact_short(whole, index) if index.short else []
+    if len(whole) < index.q or not index.text:
+        return out
     overlap = int(index.length.max() + 2 * index.edits.max() + index.q)
-    out = []
     for start in range(0, len(whole), PIECE):
         piece = whole[start:start + PIECE + overlap]
         out += [(r, e, start + end) for r, e, end in _in_piece(piece, index)]
     return out
 
 
+def exact_short(whole: str, index: RegionIndex) -> list[tuple[int, int, int]]:
+    """Short items that stand in a normalised text between word boundaries."""
+    out = []
+    for last, (size, rows) in index.automaton().iter(whole):
+        a, b = last + 1 - size, last + 1
+        if _parted(whole, a) and _parted(whole, b):
+            out += [(r, 0, b) for r in rows]
+    return out
+
+
+def _parted(text: str, at: int) -> bool:
+    """No word goes on over this place."""
+    return at == 0 or at == len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
+def _bands(at: np.ndarray, spot: np.ndarray, index: RegionIndex) -> tuple[np.ndarray, np.ndarray]:
+    """(region and band, place in the region) of each shared q-gram, once for each of the bands it lies in."""
+    low = index.first[spot]
+    many = index.first[spot + 1] - low
+    row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    region, place = index.region[row], index.place[row]
+    diagonal = np.repeat(at, many) - place
+    edits = index.edits[region]
+    size = edits + 1
+    band = diagonal // size
+    # band b holds diagonals b * size ... b * size + 2 * edits: every span of e + 1 diagonals lies in one
+    also = diagonal - band * size < edits
+    key = np.concatenate([region * (1 << 40) + band + (1 << 39), region[also] * (1 << 40) + band[also] - 1 + (1 << 39)])
+    return key, np.concatenate([place, place[also]])
+
+
 def _in_piece(text: str, index: RegionIndex) -> list[tuple[int, int, int]]:
     codes = _codes(text)
     names = q_grams(codes, index.q)
@@ -149,26 +203,21 @@ def _in_piece(text: str, index: RegionIndex) -> list[tuple[int, int, int]]:
     at, spot = at[hit], spot[hit]
     if not len(at):
         return []
-    low = index.first[spot]
-    many = index.first[spot + 1] - low
-    row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    region = index.region[row]
-    diagonal = np.repeat(at, many) - index.place[row]
-    edits = index.edits[region]
-    size = edits + 1
-    band = diagonal // size
-    # band b holds diagonals b * size ... b * size + 2 * edits: every span of e + 1 diagonals lies in one
-    also = diagonal - band * size < edits
-    key = np.concatenate([region * (1 << 40) + band + (1 << 39), region[also] * (1 << 40) + band[also] - 1 + (1 << 39)])
-    kept, counts = np.unique(key, return_counts=True)
-    kept = kept[counts >= index.needed[kept >> 40]]
+    many = index.first[spot + 1] - index.first[spot]
+    # q-grams that many items share: in slices of about ROWS rows, counted twice, so that memory stays bounded
+    slices = np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // ROWS)) + 1)
+    counted = [np.unique(_bands(at[s], spot[s], index)[0], return_counts=True) for s in slices]
+    kept, of = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    kept = kept[np.bincount(of, np.concatenate([n for _, n in counted])) >= index.needed[kept >> 40]]
     if not len(kept):
         return []
     # what repeats itself shares a place of the region many times: only different places count
-    place = index.place[row]
-    of = np.isin(key, kept)
-    pairs = np.unique(np.stack([key[of], np.concatenate([place, place[also]])[of]]), axis=1)
-    kept, counts = np.unique(pairs[0], return_counts=True)
+    pairs = []
+    for s in slices:
+        key, place = _bands(at[s], spot[s], index)
+        mine = np.isin(key, kept)
+        pairs.append(np.unique(np.stack([key[mine], place[mine]]), axis=1))
+    kept, counts = np.unique(np.unique(np.concatenate(pairs, axis=1), axis=1)[0], return_counts=True)
     kept = kept[counts >= index.needed[kept >> 40]]
     out = []
     for r, b in zip((kept >> 40).tolist(), ((kept & ((1 << 40) - 1)) - (1 << 39)).tolist()):
