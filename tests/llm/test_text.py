@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -124,6 +125,22 @@ def test_personal_data_and_secrets_of_awkward_rows(spark):
     assert pii.personal_data(empty(spark)).count() == 0 and secrets.secrets(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("text,span", [
+    ("a" * 70 + " [at] example [dot] com", ("email", 0, 93)), ("x" * 3000 + " at " + "y" * 200 + " dot com", ("email", 0, 3212)), ("192[.]168[.]001[.]0001", ("ip", 0, 22)),
+    ("j\u043ehn@example.com", ("email", 0, 16)), ("x_at_x_at_example.com", ("email", 0, 21)), ("write j.o_at_ex-dot-ample.org", ("email", 6, 29)),
+])
+def test_disguises_of_any_length_and_around_base_spans(text, span):
+    base, every = pii.scan(text)
+    assert span in every and span not in base and set(base) <= set(every)
+
+
+@pytest.mark.parametrize("unit", ["x_at_", "a dot ", "a at b ", "john@", "a [dot] ", "_at_-at-%40", "1 . ", "a-dot-", "&#64;a"])
+def test_disguises_are_read_in_linear_time(unit):
+    start = time.perf_counter()
+    pii.scan(unit * 20_000)
+    assert time.perf_counter() - start < 3
+
+
 # --- secrets
 
 def brute_secrets(text: str) -> list:
@@ -264,6 +281,27 @@ def test_decontamination_of_awkward_rows_in_blocks(spark):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
 
 
+def test_short_items_are_found_exactly_at_word_boundaries(spark):
+    index = decontaminate.index_of([(1, "What is  two plus"), (2, "42"), (3, " \n"), (4, "what is two plus"), (5, "Is two"), (6, prose(random.Random(1), 30))])
+    found = lambda t: {index.item[r] for r, _, _ in decontaminate.matches(t, index)}
+    assert found("ask: WHAT is two\nplus three") == {1, 4, 5}
+    assert found("what is two pluses") == {5} and found("somewhat is two plus") == {5}
+    assert found("a 42") == {2} and found("42") == {2} and found("142 and 42nd") == set() and found("x(42)") == {2}
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    kept = {r["doc_id"] for r in decontaminate.without_benchmark(documents(spark), bench).collect()}
+    assert 4 not in kept and 3 in kept
+
+
+def test_common_q_grams_are_counted_in_slices(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, prose(rng, 25)) for i in range(40)]
+    doc = prose(rng, 300) + " " + items[7][1] + " " + prose(rng, 100) + " " + items[9][1][3:]
+    index = decontaminate.index_of(items)
+    whole = sorted(decontaminate.matches(doc, index))
+    monkeypatch.setattr(decontaminate, "ROWS", 50)
+    assert sorted(decontaminate.matches(doc, index)) == whole and {index.item[r] for r, _, _ in whole} >= {7, 9}
+
+
 # --- packing
 
 def test_best_fit_decreasing_takes_the_tightest_fit():
