@@ -33,7 +33,7 @@ from patronage.llm.common import map_rows
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 16, 16
 WORD_BITS, GRAM_BITS = 14, 15
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4)
 DOCS, CHARS, DRAWS = 2500, 8_000_000, 1 << 40
 #: Rounds and steps of training, at least; windows in a step; rate.
 ROUNDS, STEPS, BATCH, RATE = 4, 120, 256, 0.004
@@ -41,8 +41,10 @@ ROUNDS, STEPS, BATCH, RATE = 4, 120, 256, 0.004
 FADE, FADING = 1.0, ("word", "gram")
 BLOCK_WORDS = 200_000
 #: Windows that go through the network together.
-TOGETHER = 2048
+TOGETHER = 1024
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Bucket of no n-gram; its embedding stays zero.
+NONE = 1 << GRAM_BITS
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,15 +72,16 @@ class Block:
     size: np.ndarray
     text: np.ndarray  # of each window
     word: np.ndarray  # bucket of each different word
-    gram: np.ndarray  # buckets of all character n-grams, word after word
-    first: np.ndarray  # where the n-grams of each word begin
+    gram: np.ndarray  # len(GRAMS) x places: buckets of the n-grams at each place, word after word; NONE where a word ends before
+    first: np.ndarray  # where the places of each word begin, and the end
+    count: np.ndarray  # n-grams of each word
 
 
 def block_of(tokens: list[list[bytes]]) -> Block:
     coded = pa.array([w for t in tokens for w in t], type=pa.binary()).dictionary_encode()
     names = coded.dictionary.to_pylist()
     word = np.fromiter((xxhash.xxh32_intdigest(w) for w in names), dtype=np.int64, count=len(names)) & ((1 << WORD_BITS) - 1)
-    gram, first = grams(names)
+    gram, first, count = grams(names)
     offset, start, size, text = 0, [], [], []
     for i, t in enumerate(tokens):
         spans = windows(len(t))
@@ -86,28 +89,23 @@ def block_of(tokens: list[list[bytes]]) -> Block:
         size += [b - a for a, b in spans]
         text += [i] * len(spans)
         offset += len(t)
-    return Block(coded.indices.to_numpy().astype(np.int64), np.array(start), np.array(size), np.array(text), word, gram, first)
+    return Block(coded.indices.to_numpy().astype(np.int64), np.array(start), np.array(size), np.array(text), word, gram, first, count)
 
 
-def grams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of bytes of each word with a mark at both ends, and where each word's begin."""
-    marked = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in names), dtype=np.uint8).astype(np.uint64)
-    length = np.array([len(w) + 2 for w in names], dtype=np.int64)
-    word = np.repeat(np.arange(len(names)), length)
-    rest = np.repeat(np.cumsum(length), length) - np.arange(len(marked))  # bytes from here to the end of the word
-    found, of = [], []
+def grams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of bytes of each word with a mark at both ends, where each word's begin, and how many it has."""
+    marked = np.frombuffer(b"\x01" + b"\x02\x01".join(names) + b"\x02" if names else b"", dtype=np.uint8).astype(np.uint64)
+    length = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) + 2
+    first = np.concatenate([[0], np.cumsum(length)])
+    rest = np.repeat(first[1:], length) - np.arange(len(marked))  # bytes from here to the end of the word
+    out = np.full((len(GRAMS), len(marked)), NONE, dtype=np.int64)
     name = np.zeros(len(marked), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        name = name[:len(marked) - n + 1] * np.uint64(0x100000001B3) + marked[n - 1:] + np.uint64(1)
+        name = name[:max(0, len(marked) - n + 1)] * np.uint64(0x100000001B3) + marked[n - 1:] + np.uint64(1)
         if n in GRAMS:
-            inside = rest[:len(name)] >= n
-            found.append((((name[inside] + np.uint64(n)) * _MULTIPLY) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
-            of.append(word[:len(name)][inside])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gram, of = np.concatenate(found), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    return gram[order], np.searchsorted(of[order], np.arange(len(names)))
+            bucket = (((name + np.uint64(n)) * _MULTIPLY) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+            out[GRAMS.index(n), :len(name)] = np.where(rest[:len(name)] >= n, bucket, NONE)
+    return out, first, sum(np.maximum(0, length - n + 1) for n in GRAMS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -123,17 +121,21 @@ def parameters(seed: int) -> Parameters:
     draw = lambda scale, *shape: (scale * rng.standard_normal(shape)).astype(np.float32)
     h, e = HIDDEN, EMBED
     return {
-        "word": np.zeros((1 << WORD_BITS, e), np.float32), "gram": draw(0.05, 1 << GRAM_BITS, e),  # what was never seen says next to nothing
+        "word": np.zeros((1 << WORD_BITS, e), np.float32), "gram": np.append(draw(0.05, NONE, e), np.zeros((1, e), np.float32), axis=0),  # what was never seen says next to nothing
         "from_word": draw(e ** -0.5, e, 6 * h), "from_gram": draw(e ** -0.5, e, 6 * h), "bias": np.zeros(6 * h, np.float32),
-        "gates": draw(h ** -0.5, 2, h, 2 * h), "state": draw(h ** -0.5, 2, h, h),
+        "gates": draw(h ** -0.5, 2, h, 3 * h),
         "attend": draw((2 * h) ** -0.5, 2 * h, h), "query": draw(h ** -0.5, h), "out": draw((2 * h) ** -0.5, 2 * h), "prior": np.zeros(1, np.float32),
     }
 
 
 def inputs(p: Parameters, block: Block, heard: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gate inputs of each word, mean of n-grams, embedding of each word); ``heard``: how much of each word's own embedding counts."""
-    count = np.diff(np.append(block.first, len(block.gram)))
-    mean = np.add.reduceat(p["gram"][block.gram], block.first, axis=0) / count[:, None].astype(np.float32) if len(block.gram) else np.zeros((0, EMBED), np.float32)
+    if not len(block.word):
+        return np.zeros((0, 6 * HIDDEN), np.float32), np.zeros((0, EMBED), np.float32), np.zeros((0, EMBED), np.float32)
+    at_place = p["gram"][block.gram[0]]
+    for more in block.gram[1:]:
+        at_place += p["gram"][more]
+    mean = np.add.reduceat(at_place, block.first[:-1], axis=0) / block.count[:, None].astype(np.float32)
     own = p["word"][block.word]
     if heard is not None:
         own = own * heard
@@ -153,7 +155,12 @@ class Pass:
     logit: np.ndarray
 
 
-def forward(p: Parameters, gates_in: np.ndarray, code: np.ndarray, size: np.ndarray, keep: bool = False) -> Pass:
+def both_ways(gate_in: np.ndarray) -> list[np.ndarray]:
+    """The gate inputs of either direction."""
+    return [np.ascontiguousarray(x) for x in np.split(gate_in, 2, axis=1)]
+
+
+def forward(p: Parameters, gates_in: list[np.ndarray], code: np.ndarray, size: np.ndarray, keep: bool = False) -> Pass:
     """Logits of windows; ``code``: windows x WINDOW word numbers, of which the first ``size`` count."""
     n, h = len(code), HIDDEN
     longest = int(size.max()) if n else 0
@@ -161,14 +168,15 @@ def forward(p: Parameters, gates_in: np.ndarray, code: np.ndarray, size: np.ndar
     ragged = longest and not there.all()
     states = np.zeros((longest, n, 2 * h), np.float32)
     steps: list[list[tuple]] = [[], []]
+    at_step = np.ascontiguousarray(code.T)
     for way in (0, 1):
-        x_of = np.ascontiguousarray(gates_in[:, 3 * h * way:3 * h * (way + 1)])
+        x_of = gates_in[way]
         now = np.zeros((n, h), np.float32)
         for t in range(longest) if way == 0 else range(longest - 1, -1, -1):
-            x = x_of[code[:, t]]
-            gate = _sigmoid(x[:, :2 * h] + now @ p["gates"][way])
+            x, old = x_of[at_step[t]], now @ p["gates"][way]
+            gate = _sigmoid(x[:, :2 * h] + old[:, :2 * h])
             update, reset = gate[:, :h], gate[:, h:]
-            inner = now @ p["state"][way]
+            inner = old[:, 2 * h:]
             new = np.tanh(x[:, 2 * h:] + reset * inner)
             after = new + update * (now - new)
             if ragged:
@@ -188,7 +196,7 @@ def forward(p: Parameters, gates_in: np.ndarray, code: np.ndarray, size: np.ndar
 def backward(p: Parameters, f: Pass, d_logit: np.ndarray, n_words: int) -> tuple[Parameters, np.ndarray]:
     """Gradients of all parameters above the embeddings, and of the gate inputs of each word."""
     h = HIDDEN
-    g = {k: np.zeros_like(p[k]) for k in ("gates", "state", "attend", "query", "out", "prior")}
+    g = {k: np.zeros_like(p[k]) for k in ("gates", "attend", "query", "out", "prior")}
     g["out"], g["prior"] = f.pooled.T @ d_logit, d_logit.sum(keepdims=True)
     d_pooled = d_logit[:, None] * p["out"]
     d_states = f.share[:, :, None] * d_pooled
@@ -207,12 +215,10 @@ def backward(p: Parameters, f: Pass, d_logit: np.ndarray, n_words: int) -> tuple
             d_new = d_real * (1 - update) * (1 - new ** 2)
             d_update = d_real * (before - new) * update * (1 - update)
             d_reset = d_new * inner * reset * (1 - reset)
-            d_gate = np.concatenate([d_update, d_reset], 1)
-            d_inner = d_new * reset
-            g["gates"][way] += before.T @ d_gate
-            g["state"][way] += before.T @ d_inner
-            np.add.at(d_in, (f.code[:, t], slice(3 * h * way, 3 * h * (way + 1))), np.concatenate([d_gate, d_new], 1))
-            d_now = np.where(f.there[:, t, None], d_real * update + d_gate @ p["gates"][way].T + d_inner @ p["state"][way].T, d_after)
+            d_old = np.concatenate([d_update, d_reset, d_new * reset], 1)
+            g["gates"][way] += before.T @ d_old
+            np.add.at(d_in, (f.code[:, t], slice(3 * h * way, 3 * h * (way + 1))), np.concatenate([d_update, d_reset, d_new], 1))
+            d_now = np.where(f.there[:, t, None], d_real * update + d_old @ p["gates"][way].T, d_after)
     return g, d_in
 
 
@@ -221,13 +227,13 @@ def gradients(p: Parameters, block: Block, code: np.ndarray, size: np.ndarray, l
     """Gradients of the weighted mean log loss over windows, and the loss; ``heard``: see inputs()."""
     used, code = np.unique(code, return_inverse=True)
     code = code.reshape(len(size), -1)
-    count = np.diff(np.append(block.first, len(block.gram)))[used]
-    begin = np.cumsum(count) - count
-    gram = block.gram[np.repeat(block.first[used] - begin, count) + np.arange(count.sum())]
-    part = Block(code, code, size, size, block.word[used], gram, begin)
+    size_of = np.diff(block.first)[used]
+    first = np.concatenate([[0], np.cumsum(size_of)])
+    gram = block.gram[:, np.repeat(block.first[used] - first[:-1], size_of) + np.arange(first[-1])]
+    part = Block(code, code, size, size, block.word[used], gram, first, block.count[used])
     heard = None if heard is None else heard[used]
     gate_in, mean, own = inputs(p, part, heard)
-    f = forward(p, gate_in, code, size, keep=True)
+    f = forward(p, both_ways(gate_in), code, size, keep=True)
     chance = _sigmoid(f.logit)
     share = (weight / weight.sum()).astype(np.float32)
     loss = float((share * (np.logaddexp(0, f.logit) - label * f.logit)).sum())
@@ -237,7 +243,10 @@ def gradients(p: Parameters, block: Block, code: np.ndarray, size: np.ndarray, l
     g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
     d_own = d_in @ p["from_word"].T
     np.add.at(g["word"], part.word, d_own if heard is None else d_own * heard)
-    np.add.at(g["gram"], gram, np.repeat(d_in @ p["from_gram"].T / count[:, None].astype(np.float32), count, axis=0))
+    d_place = np.repeat(d_in @ p["from_gram"].T / part.count[:, None].astype(np.float32), size_of, axis=0)
+    for at in gram:
+        np.add.at(g["gram"], at, d_place)
+    g["gram"][NONE] = 0
     return g, loss
 
 
@@ -265,7 +274,7 @@ def _codes(block: Block, which: np.ndarray) -> np.ndarray:
 
 def window_logits(p: Parameters, block: Block) -> np.ndarray:
     """Logit of every window of a block; windows of like sizes go together."""
-    gate_in, _, _ = inputs(p, block)
+    gate_in = both_ways(inputs(p, block)[0])
     out = np.empty(len(block.size), np.float32)
     order = np.argsort(-block.size, kind="stable")
     for a in range(0, len(order), TOGETHER):

@@ -39,14 +39,15 @@ def plain_logit(p, text: list[bytes]) -> float:
     h, x = toxicity.HIDDEN, []
     for w in text:
         block = toxicity.block_of([[w]])
-        x.append(p["word"][block.word[0]].astype(float) @ p["from_word"] + p["gram"][block.gram].astype(float).mean(0) @ p["from_gram"] + p["bias"])
+        x.append(p["word"][block.word[0]].astype(float) @ p["from_word"] + p["gram"][block.gram[block.gram < toxicity.NONE]].astype(float).mean(0) @ p["from_gram"] + p["bias"])
     states = [[None] * len(x), [None] * len(x)]
     for way in (0, 1):
         now = np.zeros(h)
         for t in (range(len(x)) if way == 0 else reversed(range(len(x)))):
             a = x[t][3 * h * way:3 * h * (way + 1)]
-            gate = sigmoid(a[:2 * h] + now @ p["gates"][way])
-            new = np.tanh(a[2 * h:] + gate[h:] * (now @ p["state"][way]))
+            old = now @ p["gates"][way]
+            gate = sigmoid(a[:2 * h] + old[:2 * h])
+            new = np.tanh(a[2 * h:] + gate[h:] * old[2 * h:])
             now = (1 - gate[:h]) * new + gate[:h] * now
             states[way][t] = now
     both = np.array([np.concatenate([a, b]) for a, b in zip(*states)])
