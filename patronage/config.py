@@ -37,13 +37,13 @@ class Settings:
     split_train: float = 0.70
     split_val: float = 0.15
     min_recall: float = 0.70
-    cv_folds: int = 3
-    search_iterations: int = 4
+    cv_folds: int = 5
+    search_iterations: int = 8
 
     # segmentation, explanation, serving
     k_min: int = 3
     k_max: int = 8
-    kmeans_restarts: int = 3
+    kmeans_restarts: int = 10
     anomaly_percentile: float = 0.99
     background_size: int = 500
     local_samples: int = 1500

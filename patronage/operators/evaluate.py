@@ -88,6 +88,15 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranked.agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
 
 
+def roc_auc_by(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """(by, roc_auc) of every group at once."""
+    y = F.col(label).cast("int")
+    counts = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    ranked = running_totals(counts, "score", ["neg"], by)
+    won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / F.lit(2.0)))
+    return ranked.groupBy(*by).agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
+
+
 def threshold_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tp, fp, fn, recall, f1) for each distinct score used as threshold."""
     curve = running_totals(_score_counts(df, label, score), "score", ["pos", "neg"], descending=True)

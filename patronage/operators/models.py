@@ -9,14 +9,16 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -24,32 +26,41 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS, Settings
+from patronage.operators import boosting
 from patronage.operators import encode as E
 from patronage.operators import evaluate as M
 from patronage.operators.segment import Standardiser
+from patronage.operators.trees import forest_nodes
+from patronage.session import shared_folder
 
-# Search spaces. Numbers of trees and rounds are such that a search over all folds ends in minutes; raise them
-# here, not at the call, so that every run uses the same ones.
+# Parameter names and grids of the searches, trees and rounds. Results depend on them.
 SEARCH_SPACES: dict[str, dict[str, list[Any]]] = {
     "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.0, 1.0]},
     "decision_tree": {"max_depth": [3, 5, 8, 12], "min_samples_leaf": [5, 20, 50]},
-    "random_forest": {"n_estimators": [60, 100], "max_depth": [6, 10, 16], "min_samples_leaf": [2, 5, 10]},
+    "random_forest": {"n_estimators": [150, 250], "max_depth": [6, 10, 16], "min_samples_leaf": [2, 5, 10]},
     "boosted_trees": {"learning_rate": [0.03, 0.05, 0.1], "max_depth": [3, 4, 6], "subsample": [0.7, 0.85, 1.0],
                       "colsample": [0.6, 0.8, 1.0]},
-    "ann": {"hidden_units": [(64, 32)]},
+    "boosted_leaves": {"learning_rate": [0.03, 0.05, 0.1], "num_leaves": [15, 31, 63], "subsample": [0.7, 0.85, 1.0],
+                       "colsample": [0.6, 0.8, 1.0]},
+    "ann": {"hidden_units": [(128, 64)]},
     "clv_ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]},
-    "clv_boosted": {"max_depth": [3, 4, 6], "learning_rate": [0.03, 0.05, 0.1], "n_estimators": [20, 40]},
+    "clv_boosted": {"max_depth": [3, 4, 6], "learning_rate": [0.03, 0.05, 0.1], "n_estimators": [200, 400]},
 }
-BOOSTED_ROUNDS = 40
-CATEGORY_TREES, CATEGORY_MIN_LEAF = 100, 3
-CATEGORY_MAX_DEPTH = 16
-PRODUCTION_CANDIDATES = ["random_forest", "boosted_trees"]
+BOOSTED_ROUNDS, BOOSTED_PATIENCE = 600, 30
+ANN_ITERATIONS = 150
+CATEGORY_TREES, CATEGORY_MIN_LEAF = 300, 3
+#: Spark's trees end at 30 levels; the category forest has no other limit.
+CATEGORY_MAX_DEPTH = 30
+PRODUCTION_CANDIDATES = ["random_forest", "boosted_trees", "boosted_leaves"]
+BOOSTED = {"boosted_trees": {}, "boosted_leaves": {"reg_lambda": 1e-9, "min_child_weight": 1e-3, "min_child_samples": 20}}
+NESTED = ("decision_tree", "random_forest")
+#: Fits that run at the same time.
+PARALLEL_FITS = 4
 
 
 # ---------------------------------------------------------------- training table
@@ -100,33 +111,61 @@ def churn_estimator(name: str, params: Mapping[str, Any], n_rows: int, n_columns
     if name == "random_forest":
         return RandomForestClassifier(numTrees=params["n_estimators"], maxDepth=params["max_depth"],
                                       minInstancesPerNode=params["min_samples_leaf"], featureSubsetStrategy="sqrt", seed=settings.seed, **common)
-    if name == "boosted_trees":
-        return GBTClassifier(labelCol="label", weightCol="weight", maxIter=params.get("n_estimators", BOOSTED_ROUNDS), stepSize=params["learning_rate"],
-                             maxDepth=params["max_depth"], subsamplingRate=params["subsample"],
-                             featureSubsetStrategy=str(params["colsample"]) if params["colsample"] < 1 else "all",
-                             validationTol=0.001, seed=settings.seed)
     if name == "ann":
         return MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[n_columns, *params["hidden_units"], 2],
-                                              maxIter=params.get("max_iter", 60), seed=settings.seed, rawPredictionCol="raw")
+                                              maxIter=params.get("max_iter", ANN_ITERATIONS), seed=settings.seed, rawPredictionCol="raw")
     raise ValueError(f"unknown model {name}")
 
 
-def _with_map(estimator: Estimator, maps: list[Estimator]) -> list[dict]:
-    """Parameter maps for CrossValidator out of differently set copies of one estimator."""
-    varied = sorted({p.name for m in maps for p in m.params if m.isSet(p)
-                     and any(m.getOrDefault(p) != o.getOrDefault(o.getParam(p.name)) for o in maps if o.isSet(o.getParam(p.name)))})
-    return [{estimator.getParam(v): m.getOrDefault(m.getParam(v)) for v in varied} for m in maps]
+def side_by_side(work, tasks: Sequence, threads: int = PARALLEL_FITS) -> list:
+    """Results of ``work(task)`` in order. Plain threads: each has Spark properties of its own, so no fit sees those of another."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(work, tasks))
 
 
 def search(make, sets: list[dict], rows: DataFrame, evaluator, settings: Settings) -> tuple[dict, float, float]:
     """(best parameter set, mean and deviation of its cross-validated score), folds from the fold column."""
-    estimators = [make(p) for p in sets]
-    cv = CrossValidator(estimator=estimators[0], estimatorParamMaps=_with_map(estimators[0], estimators), evaluator=evaluator,
-                        numFolds=settings.cv_folds, foldCol="fold", parallelism=4, collectSubModels=False)
-    fitted = cv.fit(rows)
-    scores = list(zip(fitted.avgMetrics, fitted.stdMetrics))
-    best = max(range(len(sets)), key=lambda i: scores[i][0])
-    return sets[best], float(scores[best][0]), float(scores[best][1])
+    def score(task: tuple[int, int]) -> float:
+        i, fold = task
+        model = make(sets[i]).fit(rows.where(F.col("fold") != fold))
+        return evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
+
+    tasks = [(i, fold) for i in range(len(sets)) for fold in range(settings.cv_folds)]
+    found = np.array(side_by_side(score, tasks)).reshape(len(sets), settings.cv_folds)
+    best = int(found.mean(1).argmax())
+    return sets[best], float(found[best].mean()), float(found[best].std())
+
+
+def nested_search(make, sets: list[dict], rows: DataFrame, settings: Settings) -> tuple[dict, float, float]:
+    """search() for trees and forests with one fit per fold and leaf size.
+
+    Splits are chosen from the top down, so a tree holds every shallower one, and a forest every one with fewer trees:
+    the largest of a leaf size is fitted, the others are cut out of it.
+    """
+    spark, groups = rows.sparkSession, {}
+    for i, p in enumerate(sets):
+        groups.setdefault(p["min_samples_leaf"], []).append(i)
+    folder = f"{shared_folder(spark).rstrip('/')}/patronage/fits-{uuid.uuid4().hex}"
+    trees = lambda p: p.get("n_estimators", 1)
+
+    def scores(task: tuple[int, int]) -> list[tuple[int, float]]:
+        leaf, fold = task
+        mine = groups[leaf]
+        largest = dict(sets[mine[0]], max_depth=max(sets[i]["max_depth"] for i in mine))
+        if "n_estimators" in largest:
+            largest["n_estimators"] = max(trees(sets[i]) for i in mine)
+        path = f"{folder}/{leaf}-{fold}"
+        make(largest).fit(rows.where(F.col("fold") != fold)).write().save(path)
+        models = [(i, fold, forest_nodes(spark, path, sets[i]["max_depth"], trees(sets[i]))) for i in mine]
+        held = rows.where(F.col("fold") == fold).withColumn("part", F.col("fold"))
+        return [(i, v[0]) for i, v in boosting.fold_scores(held, "label", models).items()]
+
+    found: dict[int, list[float]] = {}
+    for part in side_by_side(scores, [(leaf, fold) for leaf in groups for fold in range(settings.cv_folds)]):
+        for i, value in part:
+            found.setdefault(i, []).append(value)
+    best = max(found, key=lambda i: (np.mean(found[i]), -i))
+    return sets[best], float(np.mean(found[best])), float(np.std(found[best]))
 
 
 # ---------------------------------------------------------------- churn
@@ -156,16 +195,18 @@ def train_churn(name: str, rows: DataFrame, settings: Settings = DEFAULTS, space
     """Search, fit, threshold on validation, one evaluation on test."""
     fit_rows = rows.where("split = 'train'")
     n_rows, n_columns = fit_rows.count(), len(rows.select("features").first()["features"])
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction" if name == "boosted_trees" else "raw")
     make = lambda p: churn_estimator(name, p, n_rows, n_columns, settings)
     sets = candidates(space or SEARCH_SPACES[name], settings.search_iterations, settings.seed)
     start = time.time()
-    best, mean, std = search(make, sets, fit_rows, evaluator, settings)
-    final, final_rows = make(best), fit_rows
-    if name == "boosted_trees":  # stops when the validation split stops improving
-        final = final.setValidationIndicatorCol("is_val")
-        final_rows = rows.where("split IN ('train', 'val')").withColumn("is_val", F.col("split") == "val")
-    model = final.fit(final_rows)
+    if name in BOOSTED:
+        found = boosting.search(rows, "label", [{**BOOSTED[name], **p} for p in sets], settings.cv_folds, BOOSTED_ROUNDS, BOOSTED_PATIENCE, weight="weight", seed=settings.seed)
+        model, best, mean, std = found.model, {**found.params, "rounds": found.rounds}, found.score, found.deviation
+    else:
+        if name in NESTED:
+            best, mean, std = nested_search(make, sets, fit_rows, settings)
+        else:
+            best, mean, std = search(make, sets, fit_rows, BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="raw"), settings)
+        model = make(best).fit(fit_rows)
     seconds = time.time() - start
     scored = probability(model.transform(rows.where("split <> 'train'"))).select("split", "churn", "p").persist()
     try:
@@ -193,15 +234,15 @@ def train_value(rows: DataFrame, settings: Settings = DEFAULTS, spaces: Mapping[
         return LinearRegression(featuresCol="scaled", labelCol="clv_target", elasticNetParam=0.0, standardization=False,
                                 regParam=p["alpha"] / facts["n"] * float(facts["sd"] or 1.0))
 
-    def boosted(p):
-        return GBTRegressor(featuresCol="features", labelCol="clv_target", maxIter=p["n_estimators"], maxDepth=p["max_depth"],
-                            stepSize=p["learning_rate"], seed=settings.seed)
-
     results = {}
-    for name, make in (("clv_ridge", ridge), ("clv_boosted", boosted)):
+    for name in ("clv_ridge", "clv_boosted"):
         sets = candidates((spaces or SEARCH_SPACES)[name], settings.search_iterations, settings.seed)
-        best, mean, std = search(make, sets, fit_rows, evaluator, settings)
-        model = make(best).fit(fit_rows)
+        if name == "clv_ridge":
+            best, mean, std = search(ridge, sets, fit_rows, evaluator, settings)
+            model = ridge(best).fit(fit_rows)
+        else:  # rounds up to n_estimators, as many as the held-out loss asks for
+            found = boosting.search(rows, "clv_target", sets, settings.cv_folds, max(p["n_estimators"] for p in sets), BOOSTED_PATIENCE, squared=True, seed=settings.seed)
+            model, best, mean, std = found.model, {**found.params, "rounds": found.rounds}, found.score, found.deviation
         held = model.transform(rows.where("split <> 'train'"))
         metrics = {s: M.regression_quality(held.where(F.col("split") == s), "clv_target", "prediction").first().asDict() for s in ("val", "test")}
         results[name] = {"model": model, "params": best, "cv_r2": mean, "cv_r2_std": std, **metrics}
