@@ -37,6 +37,7 @@ class Settings:
     split_train: float = 0.70
     split_val: float = 0.15
     min_recall: float = 0.70
+    imbalance: str = "class_weight"  # or "smote": synthetic rows in the training part of every fit
     cv_folds: int = 5
     search_iterations: int = 8
 

@@ -25,7 +25,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +34,10 @@ from patronage.config import DEFAULTS, Settings
 from patronage.operators import boosting
 from patronage.operators import encode as E
 from patronage.operators import evaluate as M
+from patronage.operators import neighbours as N
 from patronage.operators.segment import Standardiser
 from patronage.operators.trees import forest_nodes
-from patronage.session import shared_folder
+from patronage.session import materialise, shared_folder
 
 # Parameter names and grids of the searches, trees and rounds. Results depend on them.
 SEARCH_SPACES: dict[str, dict[str, list[Any]]] = {
@@ -47,6 +48,7 @@ SEARCH_SPACES: dict[str, dict[str, list[Any]]] = {
                       "colsample": [0.6, 0.8, 1.0]},
     "boosted_leaves": {"learning_rate": [0.03, 0.05, 0.1], "num_leaves": [15, 31, 63], "subsample": [0.7, 0.85, 1.0],
                        "colsample": [0.6, 0.8, 1.0]},
+    "knn": {"n_neighbors": [15, 25, 41, 61], "weights": ["uniform", "distance"]},
     "ann": {"hidden_units": [(128, 64)]},
     "clv_ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]},
     "clv_boosted": {"max_depth": [3, 4, 6], "learning_rate": [0.03, 0.05, 0.1], "n_estimators": [200, 400]},
@@ -123,11 +125,31 @@ def side_by_side(work, tasks: Sequence, threads: int = PARALLEL_FITS) -> list:
         return list(pool.map(work, tasks))
 
 
-def search(make, sets: list[dict], rows: DataFrame, evaluator, settings: Settings) -> tuple[dict, float, float]:
+def oversampled(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Training rows with synthetic ones that bring the labels level, neighbours taken in the scaled features; all weigh 1."""
+    arrays = rows.select(F.col("customer_id").alias("id"), vector_to_array("scaled").alias("x"), vector_to_array("features").alias("also"), F.col("churn").alias("label"))
+    made = N.oversample(arrays, settings).select(
+        F.col("id").alias("customer_id"), F.col("label").alias("churn"), F.col("label").cast("double").alias("label"),
+        array_to_vector("also").alias("features"), array_to_vector("x").alias("scaled"))
+    given = rows.select("customer_id", "churn", "label", "features", "scaled").withColumn("is_new", F.lit(False))
+    return given.unionByName(made.withColumn("is_new", F.lit(True))).withColumn("weight", F.lit(1.0))
+
+
+def fit_parts(rows: DataFrame, settings: Settings) -> dict[int | None, DataFrame]:
+    """What the fit without each fold, and the fit on all rows (None), learn from."""
+    parts = {fold: rows.where(F.col("fold") != fold) for fold in range(settings.cv_folds)} | {None: rows}
+    if settings.imbalance != "smote":
+        return parts
+    return {k: materialise(oversampled(v, settings), "oversampled") for k, v in parts.items()}
+
+
+def search(make, sets: list[dict], rows: DataFrame, evaluator, settings: Settings, parts: dict[int | None, DataFrame] | None = None) -> tuple[dict, float, float]:
     """(best parameter set, mean and deviation of its cross-validated score), folds from the fold column."""
+    parts = parts or {fold: rows.where(F.col("fold") != fold) for fold in range(settings.cv_folds)}
+
     def score(task: tuple[int, int]) -> float:
         i, fold = task
-        model = make(sets[i]).fit(rows.where(F.col("fold") != fold))
+        model = make(sets[i]).fit(parts[fold])
         return evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
 
     tasks = [(i, fold) for i in range(len(sets)) for fold in range(settings.cv_folds)]
@@ -136,7 +158,7 @@ def search(make, sets: list[dict], rows: DataFrame, evaluator, settings: Setting
     return sets[best], float(found[best].mean()), float(found[best].std())
 
 
-def nested_search(make, sets: list[dict], rows: DataFrame, settings: Settings) -> tuple[dict, float, float]:
+def nested_search(make, sets: list[dict], rows: DataFrame, settings: Settings, parts: dict[int | None, DataFrame]) -> tuple[dict, float, float]:
     """search() for trees and forests with one fit per fold and leaf size.
 
     Splits are chosen from the top down, so a tree holds every shallower one, and a forest every one with fewer trees:
@@ -155,7 +177,7 @@ def nested_search(make, sets: list[dict], rows: DataFrame, settings: Settings) -
         if "n_estimators" in largest:
             largest["n_estimators"] = max(trees(sets[i]) for i in mine)
         path = f"{folder}/{leaf}-{fold}"
-        make(largest).fit(rows.where(F.col("fold") != fold)).write().save(path)
+        make(largest).fit(parts[fold]).write().save(path)
         models = [(i, fold, forest_nodes(spark, path, sets[i]["max_depth"], trees(sets[i]))) for i in mine]
         held = rows.where(F.col("fold") == fold).withColumn("part", F.col("fold"))
         return [(i, v[0]) for i, v in boosting.fold_scores(held, "label", models).items()]
@@ -168,6 +190,54 @@ def nested_search(make, sets: list[dict], rows: DataFrame, settings: Settings) -
     return sets[best], float(np.mean(found[best])), float(np.std(found[best]))
 
 
+# ---------------------------------------------------------------- neighbours as a model
+@dataclass
+class NeighbourVote:
+    """Share of label 1 among the k nearest training rows, in the scaled features."""
+    points: DataFrame  # id, x, label
+    k: int
+    weights: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        asked = df.select(F.col("customer_id").alias("id"), vector_to_array("scaled").alias("x"))
+        near = N.nearest(asked, self.points.select("id", "x"), self.k)
+        share = N.vote(near, self.points.select("id", "label"), self.weights).where("label = 1").select(F.col("id").alias("_id"), F.col("share").alias("_p"))
+        out = df.join(share, F.col("customer_id") == F.col("_id"), "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+        return out.withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p")))).drop("_id", "_p")
+
+
+def neighbour_search(sets: list[dict], rows: DataFrame, settings: Settings, parts: dict[int | None, DataFrame]) -> tuple[dict, float, float]:
+    """search() for neighbour votes: one search of the largest k a fold, all parameter sets read off its ranks."""
+    most = max(p["n_neighbors"] for p in sets)
+    found = None
+    for fold in range(settings.cv_folds):
+        points = materialise(_points(parts[fold]), "vote-points")
+        held = rows.where(F.col("fold") == fold)
+        near = N.nearest(held.select(F.col("customer_id").alias("id"), vector_to_array("scaled").alias("x")), points.select("id", "x"), most)
+        near = near.join(points.select(F.col("id").alias("neighbour"), F.col("label").alias("vote")), "neighbour")
+        near = near.join(held.select(F.col("customer_id").alias("id"), F.col("label").alias("y")), "id").withColumn("part", F.lit(fold))
+        found = near if found is None else found.unionByName(near)
+    shares = []
+    for i, p in enumerate(sets):
+        inside = F.col("rank") <= p["n_neighbors"]
+        weight = F.lit(1.0) if p["weights"] == "uniform" else F.try_divide(F.lit(1.0), F.col("distance"))
+        zero = inside & (F.col("distance") == 0)
+        share = F.coalesce(F.avg(F.when(zero, F.col("vote"))) if p["weights"] != "uniform" else F.lit(None),
+                           F.try_divide(F.sum(F.when(inside, weight * F.col("vote"))), F.sum(F.when(inside, weight))))
+        shares.append(F.struct(F.lit(i).alias("candidate"), F.round(share, 12).alias("score")))
+    scored = found.groupBy("part", "id").agg(F.max("y").alias("y"), F.array(*shares).alias("s")).select("part", "y", F.explode("s").alias("s")).select("part", "y", "s.*")
+    scores: dict[int, list[float]] = {}
+    for r in M.roc_auc_by(materialise(scored, "vote-scores"), "y", "score", ["candidate", "part"]).orderBy("candidate", "part").collect():  # candidates x folds
+        scores.setdefault(r["candidate"], []).append(float(r["roc_auc"] or 0.0))
+    best = max(scores, key=lambda i: (np.mean(scores[i]), -i))
+    return sets[best], float(np.mean(scores[best])), float(np.std(scores[best]))
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """(id, x, label): synthetic rows share the id of the row they come from, so rows get numbers of their own."""
+    return rows.select(F.monotonically_increasing_id().alias("id"), vector_to_array("scaled").alias("x"), "label")
+
+
 # ---------------------------------------------------------------- churn
 @dataclass
 class ChurnResult:
@@ -198,15 +268,25 @@ def train_churn(name: str, rows: DataFrame, settings: Settings = DEFAULTS, space
     make = lambda p: churn_estimator(name, p, n_rows, n_columns, settings)
     sets = candidates(space or SEARCH_SPACES[name], settings.search_iterations, settings.seed)
     start = time.time()
+    parts = fit_parts(fit_rows, settings)
     if name in BOOSTED:
-        found = boosting.search(rows, "label", [{**BOOSTED[name], **p} for p in sets], settings.cv_folds, BOOSTED_ROUNDS, BOOSTED_PATIENCE, weight="weight", seed=settings.seed)
+        made = None
+        if settings.imbalance == "smote":
+            for held, part in parts.items():
+                new = part.where("is_new").withColumn("part", F.lit(boosting.SYNTHETIC + (boosting.VALIDATION if held is None else held)))
+                made = new if made is None else made.unionByName(new)
+        found = boosting.search(rows, "label", [{**BOOSTED[name], **p} for p in sets], settings.cv_folds, BOOSTED_ROUNDS, BOOSTED_PATIENCE,
+                                weight="weight" if made is None else None, seed=settings.seed, synthetic=made)
         model, best, mean, std = found.model, {**found.params, "rounds": found.rounds}, found.score, found.deviation
+    elif name == "knn":
+        best, mean, std = neighbour_search(sets, fit_rows, settings, parts)
+        model = NeighbourVote(materialise(_points(parts[None]), "vote-points"), best["n_neighbors"], best["weights"])
     else:
         if name in NESTED:
-            best, mean, std = nested_search(make, sets, fit_rows, settings)
+            best, mean, std = nested_search(make, sets, fit_rows, settings, parts)
         else:
-            best, mean, std = search(make, sets, fit_rows, BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="raw"), settings)
-        model = make(best).fit(fit_rows)
+            best, mean, std = search(make, sets, fit_rows, BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="raw"), settings, parts)
+        model = make(best).fit(parts[None])
     seconds = time.time() - start
     scored = probability(model.transform(rows.where("split <> 'train'"))).select("split", "churn", "p").persist()
     try:

@@ -1,9 +1,10 @@
 """Exact nearest neighbours, votes, oversampling and density clusters on vector tables.
 
-Points are put in cells around a few pivots. The triangle inequality tells which cells a query
-has to visit. A cell is cut into chunks of bounded size and queries into blocks of bounded size,
-so every task compares one block with one chunk and hands back a few rows per query, never all
-pairs. Tables: (id long, x array<double>).
+Points are put in cells that are cut at medians until each holds a bounded number. A query first looks into
+its own cell, which bounds how far its neighbours can be, and then only into cells whose boxes come that near: it
+walks down the tree of boxes by one equijoin a level, so no list of cells is ever held in one place. Cells of equal
+points and cells that many queries visit are dealt out as pairs of bounded blocks. For many dimensions there is an
+approximate form by hash tables. Tables: (id long, x array<double>).
 """
 from __future__ import annotations
 
@@ -17,18 +18,11 @@ from pyspark.sql import functions as F
 from patronage.config import DEFAULTS, Settings
 from patronage.functions.expressions import hash_unit
 from patronage.functions.ordering import exact_quantiles, hash_sample
-from patronage.session import materialise
+from patronage.session import materialise, release
 
 BLOCK = 2048
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Pivots and what is known of each cell; at most a few dozen rows."""
-    pivots: np.ndarray
-    counts: np.ndarray
-    radii: np.ndarray
-    chunks: np.ndarray
+#: Parts that a round cuts a cell into; points of a cell that the cuts are taken from.
+FAN, SAMPLE = 64, 4096
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,65 +37,145 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
 
-def cells_of(points: DataFrame, seed: int = 42, block: int = BLOCK, rows_per_pivot: int = 20000) -> tuple[DataFrame, Cells]:
-    """(points with ``cell`` and ``chunk``, cell facts). The number of pivots follows the number of points, within bounds."""
-    pivots = int(min(max(32, points.count() // rows_per_pivot), 2048))
-    centre = np.array([r["x"] for r in hash_sample(points, "id", pivots, seed).collect()], dtype=float)
-
-    @F.pandas_udf("struct<cell int, away double>")
-    def home(x: pd.Series) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "away": pd.Series(dtype="float64")})
-        d = _distances(_matrix(x), centre)
-        return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "away": d.min(1)})
+# ---------------------------------------------------------------- tree of cells
+@dataclass
+class CellTree:
+    """Points in cells of bounded size, and how to get to a cell from the root (cell 0); child i of a cell c is FAN * c + 1 + i."""
+    placed: DataFrame  # id, x, cell, depth
+    cuts: list[DataFrame]  # of each round: cell, cuts (the subtree that deals its points out)
+    children: list[DataFrame]  # of each depth: parent, children (cell, lo, hi, leaf)
+
+
+def _subtree(x: np.ndarray, levels: int) -> bytes | None:
+    """Medians of the widest coordinate, ``levels`` deep, as (coordinate, cut) in heap order; None where all points are equal."""
+    axis, cut = np.zeros((1 << levels) - 1, np.int32), np.full((1 << levels) - 1, np.inf)
+    if (x.max(0) == x.min(0)).all():
+        return None
+    held = {0: x}
+    for node in range(len(cut)):
+        part = held.pop(node)
+        width = part.max(0) - part.min(0) if len(part) else np.zeros(x.shape[1])
+        if width.max(initial=0) > 0:
+            axis[node] = int(width.argmax())
+            values = part[:, axis[node]]
+            middle = float(np.median(values))
+            cut[node] = middle if (values > middle).any() else float(values[values < values.max()].max())
+        goes = part[:, axis[node]] > cut[node]
+        if 2 * node + 2 < len(cut):
+            held[2 * node + 1], held[2 * node + 2] = part[~goes], part[goes]
+    return axis.tobytes() + cut.tobytes()
+
+
+def _dealt(x: np.ndarray, cuts: bytes) -> np.ndarray:
+    n = len(cuts) // 12
+    axis, cut = np.frombuffer(cuts[:4 * n], np.int32), np.frombuffer(cuts[4 * n:])
+    node = np.zeros(len(x), dtype=np.int64)
+    while node.min(initial=n) < n:
+        node = 2 * node + 1 + (x[np.arange(len(x)), axis[node]] > cut[node])
+    return node - n
+
+
+def _deal(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (id, x, cell, depth) one round further down, where their cell was cut."""
+    @F.pandas_udf("long")
+    def child(x: pd.Series, cell: pd.Series, cuts: pd.Series) -> pd.Series:
+        out = cell.to_numpy().copy()
+        for c in pd.unique(cell[cuts.notna()]):
+            mine = ((cell == c) & cuts.notna()).to_numpy()
+            out[mine] = FAN * c + 1 + _dealt(_matrix(x[mine]), cuts[mine].iloc[0])
+        return pd.Series(out)
+
+    joined = rows.join(cuts.select(F.col("cell").alias("_cell"), "cuts"), F.col("cell") == F.col("_cell"), "left")
+    return joined.select("id", "x", child("x", "cell", "cuts").alias("cell"), (F.col("depth") + F.col("cuts").isNotNull().cast("int")).alias("depth"))
+
+
+def cell_tree(points: DataFrame, block: int = BLOCK, seed: int = 42) -> CellTree:
+    """Cut cells until each holds at most ``block`` points, or equal ones. A round cuts a cell into FAN parts by a sample of its points."""
+    placed = materialise(points.select(F.col("id").cast("long").alias("id"), "x").withColumns({"cell": F.lit(0).cast("long"), "depth": F.lit(0)}), "cells")
+    levels, cuts, stuck = FAN.bit_length() - 1, [], None
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(rows["x"])
+        depth = int(np.clip(np.ceil(np.log2(rows["n"].iloc[0] / block)) + 1, 1, levels))  # a little deeper than even halves ask for
+        return pd.DataFrame({"cell": rows["cell"].iloc[:1], "cuts": [_subtree(x, depth)]})
 
-    placed = points.select("id", "x", home("x").alias("_h")).select("id", "x", F.col("_h.cell").alias("cell"), F.col("_h.away").alias("away"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()  # one row per pivot
-    counts, radii = np.zeros(len(centre), dtype=int), np.zeros(len(centre))
-    for row in stats:
-        counts[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
-    chunks = np.maximum(np.ceil(counts / block).astype(int), 1)
-    return placed.withColumn("chunk", _chunk("cell", chunks)).drop("away"), Cells(centre, counts, radii, chunks)
-
-
-def _chunk(cell: str, chunks: np.ndarray):
-    per_cell = F.array(*[F.lit(int(c)) for c in chunks])
-    return F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col(cell) + 1)).cast("int")
+    while True:
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+        if stuck is not None:
+            sizes = sizes.join(stuck, "cell", "left_anti")
+        large = materialise(sizes, "large-cells")
+        if large.isEmpty():
+            break
+        sample = placed.join(large, "cell").where(hash_unit(F.col("id"), f"cells-{seed}-{len(cuts)}") < F.lit(float(SAMPLE)) / F.col("n"))
+        found = materialise(sample.select("cell", "n", "x").groupBy("cell").applyInPandas(cut, "cell long, cuts binary"), "cell-cuts")
+        same = large.select("cell").join(found.where("cuts IS NOT NULL"), "cell", "left_anti").select("cell")  # equal points: cut into chunks later
+        stuck = materialise(same if stuck is None else stuck.unionByName(same), "stuck-cells")
+        cuts.append(found.where("cuts IS NOT NULL"))
+        before, placed = placed, materialise(_deal(placed, cuts[-1]), "cells")
+        release(before)
+    return CellTree(placed, cuts, _children(placed, len(cuts)) if cuts else [])
+
+
+def _children(placed: DataFrame, rounds: int) -> list[DataFrame]:
+    """Boxes of all cells, grouped by their parents, from the bottom up."""
+    width = len(placed.select("x").first()["x"])
+    box = lambda low, high: [F.array(*[F.min(low[i]) for i in range(width)]).alias("lo"), F.array(*[F.max(high[i]) for i in range(width)]).alias("hi")]
+    x = F.col("x")
+    nodes = placed.groupBy("cell", "depth").agg(*box(x, x)).withColumn("leaf", F.lit(True))
+    nodes = materialise(nodes, "cell-boxes")
+    out, level = [], nodes.where(F.col("depth") == rounds)
+    for depth in range(rounds, 0, -1):
+        parent = F.expr(f"(cell - 1) div {FAN}").alias("parent")
+        grouped = materialise(level.select(parent, F.struct("cell", "lo", "hi", "leaf").alias("c")).groupBy("parent").agg(F.collect_list("c").alias("children")), "cell-children")
+        out.append(grouped)
+        lo, hi = F.transform("children", lambda c: c["lo"]), F.transform("children", lambda c: c["hi"])
+        at = lambda i: lambda v: v[i]
+        edges = lambda table, best: F.array(*[best(F.transform(table, at(i))) for i in range(width)])
+        inner = grouped.select(F.col("parent").alias("cell"), F.lit(depth - 1).alias("depth"), edges(lo, F.array_min).alias("lo"), edges(hi, F.array_max).alias("hi"), F.lit(False).alias("leaf"))
+        level = inner.unionByName(nodes.where(F.col("depth") == depth - 1).select(*inner.columns))
+    return out[::-1]
+
+
+def _home(queries: DataFrame, tree: CellTree) -> DataFrame:
+    """(id, x, cell): the cell that a query would be put in."""
+    at = queries.select("id", "x").withColumns({"cell": F.lit(0).cast("long"), "depth": F.lit(0)})
+    for cuts in tree.cuts:
+        at = _deal(at, cuts)
+    return at.select("id", "x", "cell")
+
+
+def _visits(queries: DataFrame, tree: CellTree) -> DataFrame:
+    """(id, x, cell): queries (id, x, reach) once for each cell whose box comes within their reach; one join a level."""
+    at = queries.select("id", "x", "reach", F.lit(0).cast("long").alias("cell"))
+    if not tree.children:
+        return at.select("id", "x", "cell")
+    gap = lambda c: F.zip_with(F.zip_with("x", c["lo"], lambda v, lo: lo - v), F.zip_with("x", c["hi"], lambda v, hi: v - hi), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    away = lambda c: F.sqrt(F.aggregate(gap(c), F.lit(0.0), lambda s, v: s + v * v))
+    out = None
+    for children in tree.children:
+        near = F.filter("children", lambda c: away(c) <= F.col("reach") * (1 + 1e-12) + 1e-12)
+        steps = at.join(children, F.col("cell") == F.col("parent")).select("id", "x", "reach", F.explode(F.transform(near, lambda c: F.struct(c["cell"].alias("cell"), c["leaf"].alias("leaf")))).alias("c"))
+        steps = materialise(steps.select("id", "x", "reach", "c.cell", "c.leaf"), "cell-visits")
+        done = steps.where("leaf").select("id", "x", "cell")
+        out = done if out is None else out.unionByName(done)
+        at = steps.where("NOT leaf").select("id", "x", "reach", "cell")
+    return out
 
 
-def _visits(queries: DataFrame, cells: Cells, reach, block: int) -> DataFrame:
-    """Queries once per cell they have to visit, with the block they travel in.
+def _by_blocks(visits: DataFrame, placed: DataFrame, work, schema: str, block: int = BLOCK) -> DataFrame:
+    """Run ``work(query frame, point frame) -> frame`` on every (block of queries, chunk of points) that share a cell.
 
-    Blocks are made of queries with the same nearest pivot, so a block visits few cells.
-    ``reach``: distances to pivots -> radius per query.
+    A cell with many queries or (equal) points is dealt out as pairs of bounded blocks and chunks.
     """
-    @F.pandas_udf("struct<home int, cells array<int>>")
-    def wanted(x: pd.Series) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame({"home": pd.Series(dtype="int32"), "cells": pd.Series(dtype=object)})
-        d = _distances(_matrix(x), cells.pivots)
-        limit = reach(d)[:, None] * (1 + 1e-12) + 1e-12
-        near = (d - cells.radii[None, :] <= limit) & (cells.counts[None, :] > 0)
-        return pd.DataFrame({"home": d.argmin(1).astype("int32"), "cells": [np.flatnonzero(row).astype("int32") for row in near]})
-
-    placed = queries.withColumn("_w", wanted("x")).withColumn("home", F.col("_w.home"))
-    sizes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
-    parts = np.ones(len(cells.pivots), dtype=int)
-    for row in sizes:
-        parts[row["home"]] = max(1, -(-row["n"] // block))
-    return (placed.withColumn("part", _chunk("home", parts)).withColumn("cell", F.explode("_w.cells"))
-            .select(F.col("id").alias("id"), F.col("x").alias("x"), "home", "part", "cell"))  # own columns: both sides may come from one table
-
-
-def _by_blocks(queries: DataFrame, points: DataFrame, cells: Cells, reach, work, schema: str, block: int = BLOCK) -> DataFrame:
-    """Run ``work(query frame, point frame) -> frame`` on every (query block, cell chunk) that can matter."""
-    visits = _visits(queries, cells, reach, block)
-    routes = materialise(visits.select("cell", "home", "part").distinct(), "routes")
-    per_cell = F.array(*[F.lit(int(c)) for c in cells.chunks])
-    q = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(per_cell, F.col("cell") + 1) - 1)))
-    p = points.join(routes, "cell")
-    keys = ["cell", "chunk", "home", "part"]
-    columns = [c.split()[0] for c in schema.split(", ")]
+    share = lambda name: F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.lit(1)).cast("int").alias(name)
+    sizes = placed.groupBy("cell").agg(share("chunks")).join(visits.groupBy("cell").agg(share("parts")), "cell")
+    sizes = materialise(sizes.withColumnRenamed("cell", "_cell"), "cell-sizes")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    on = F.col("cell") == F.col("_cell")
+    q = visits.join(sizes, on).withColumn("part", mine("parts")).withColumn("chunk", others("chunks")).drop("_cell", "chunks", "parts")
+    p = placed.join(sizes, on).withColumn("chunk", mine("chunks")).withColumn("part", others("parts")).drop("_cell", "chunks", "parts")
+    keys, columns = ["cell", "chunk", "part"], [c.split()[0] for c in schema.split(", ")]
 
     def both(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ps):
@@ -112,18 +186,7 @@ def _by_blocks(queries: DataFrame, points: DataFrame, cells: Cells, reach, work,
 
 
 # ---------------------------------------------------------------- nearest neighbours
-def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """(id, rank, neighbour, distance): the k nearest points of every query, exact, smaller id on ties."""
-    placed, cells = cells_of(points, block=block)
-    need = k + (1 if exclude_self else 0)
-
-    def reach(d: np.ndarray) -> np.ndarray:
-        far = np.where(cells.counts[None, :] > 0, d + cells.radii[None, :], np.inf)
-        order = far.argsort(1)
-        enough = (cells.counts[order].cumsum(1) >= need).argmax(1)
-        bound = np.take_along_axis(far, order, 1)[np.arange(len(d)), enough]
-        return np.where(cells.counts.sum() >= need, bound, np.inf)
-
+def _top(k: int, exclude_self: bool):
     def top(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         d, ids = _distances(_matrix(qs["x"]), _matrix(ps["x"])), ps["id"].to_numpy()
         if exclude_self:
@@ -133,10 +196,73 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
         dist = np.take_along_axis(d, order, 1)
         out = pd.DataFrame({"id": np.repeat(qs["id"].to_numpy(), keep), "neighbour": ids[order].ravel(), "distance": dist.ravel()})
         return out[np.isfinite(out["distance"])]
+    return top
+
+
+_PAIRS = "id long, neighbour long, distance double"
 
-    found = _by_blocks(queries.select("id", "x"), placed, cells, reach, top, "id long, neighbour long, distance double", block)
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK, tree: CellTree | None = None) -> DataFrame:
+    """(id, rank, neighbour, distance): the k nearest points of every query, exact, smaller id on ties.
+
+    The k-th distance inside a query's own cell bounds its reach; then only cells within reach are looked at.
+    """
+    tree = tree or cell_tree(points, block)
+    asked = queries.select(F.col("id").cast("long").alias("id"), "x")
+    held = tree.placed.select("id", "x", "cell")
+    if not tree.cuts:
+        return _ranked(_by_blocks(asked.withColumn("cell", F.lit(0).cast("long")), held, _top(k, exclude_self), _PAIRS, block), k)
+    first = _by_blocks(_home(asked, tree), held, _top(k, exclude_self), _PAIRS, block)
+    reach = _ranked(first, k).where(F.col("rank") == k).select(F.col("id").alias("_id"), F.col("distance").alias("_far"))
+    bounded = asked.join(reach, F.col("id") == F.col("_id"), "left").select("id", "x", F.coalesce("_far", F.lit(float("inf"))).alias("reach"))
+    return _ranked(_by_blocks(_visits(bounded, tree), held, _top(k, exclude_self), _PAIRS, block), k)
+
+
+def hashed_cells(rows: DataFrame, planes: np.ndarray, offsets: np.ndarray, tables: int) -> DataFrame:
+    """(id, x, cell): every row once in each hash table; a cell is a table and the signs of a row's projections."""
+    bits = planes.shape[1] // tables
+
+    @F.pandas_udf("array<long>")
+    def cells(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        sign = (_matrix(x) @ planes > offsets).reshape(len(x), tables, bits)
+        code = (sign * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << 40)
+        return pd.Series(list(code.astype(np.int64)))
+
+    return rows.select(F.col("id").cast("long").alias("id"), "x", F.explode(cells("x")).alias("cell"))
+
+
+def approximate_nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, tables: int = 12, bucket: int = 512, seed: int = 42,
+                        block: int = BLOCK) -> DataFrame:
+    """(id, rank, neighbour, distance): nearest points among those that share a bucket in one of ``tables`` hash tables, by exact distance.
+
+    For vectors of many dimensions, where boxes exclude nothing. Buckets are the signs of random projections, cut at the
+    medians of a bounded sample, as many as give about ``bucket`` points each; larger ones are dealt out in bounded
+    blocks, none is cut short. Recall is stated in the README and held by a test.
+    """
+    n = points.count()
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / bucket))))
+    if not bits:
+        return nearest(queries, points, k, exclude_self, block)
+    sample = np.array([r["x"] for r in hash_sample(points, "id", SAMPLE, seed).collect()], dtype=float)
+    planes = np.random.default_rng(seed).normal(size=(sample.shape[1], tables * bits))
+    offsets = np.median(sample @ planes, axis=0)
+    held = materialise(hashed_cells(points, planes, offsets, tables), "hashed-points")
+    asked = materialise(hashed_cells(queries, planes, offsets, tables), "hashed-queries")
+    pairs = _by_blocks(asked, held, _top(k, exclude_self), _PAIRS, block)
+    return _ranked(pairs.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours (id, neighbour) that were found."""
+    hit = exact.select("id", "neighbour").join(found.select("id", "neighbour"), ["id", "neighbour"], "left_semi")
+    return hit.count() / max(1, exact.count())
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") -> DataFrame:
@@ -160,15 +286,17 @@ def vote(neighbours: DataFrame, labels: DataFrame, weights: str = "uniform") ->
 def oversample(rows: DataFrame, settings: Settings = DEFAULTS, k: int = 5) -> DataFrame:
     """Synthetic rows (id, x, label) for the rarer of two classes, on the lines between neighbours.
 
-    ``rows``: (id, x, label). The number of rows brings the classes level; where it is no multiple
-    of the minority size, a hash decides which rows get one more.
+    ``rows``: (id, x, label), and ``also``: arrays that are not compared, but drawn along on the same lines. The number
+    of rows brings the classes level; where it is no multiple of the minority size, a hash decides which rows get one
+    more. A class of one row has no neighbours and is left alone.
     """
+    also = [c for c in rows.columns if c == "also"]
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
     if len(counts) != 2:
         raise ValueError("oversampling needs exactly two classes")
     minor = min(counts, key=lambda c: counts[c])
     need = abs(max(counts.values()) - counts[minor]) / counts[minor]
-    small = rows.where(F.col("label") == minor).select("id", "x")
+    small = rows.where(F.col("label") == minor).select("id", "x", *also)
     near = nearest(small, small, k, exclude_self=True)
     whole, rest = int(need), need - int(need)
     copies = F.lit(whole) + F.when(hash_unit(F.col("id"), f"extra-{settings.seed}") < rest, 1).otherwise(0)
@@ -178,9 +306,10 @@ def oversample(rows: DataFrame, settings: Settings = DEFAULTS, k: int = 5) -> Da
              .withColumn("_tag", F.concat_ws("#", "id", "copy"))
              .withColumn("rank", (F.floor(hash_unit(F.col("_tag"), f"pick-{settings.seed}") * width) + 1).cast("int"))
              .withColumn("gap", hash_unit(F.col("_tag"), f"gap-{settings.seed}")))
-    partner = near.join(small.select(F.col("id").alias("neighbour"), F.col("x").alias("y")), "neighbour").select("id", "rank", "y")
-    return drawn.join(partner, ["id", "rank"]).select(
-        "id", "copy", F.zip_with("x", "y", lambda a, b: a + F.col("gap") * (b - a)).alias("x"), F.lit(minor).alias("label"))
+    ends = small.select(F.col("id").alias("neighbour"), *[F.col(c).alias(f"_{c}") for c in ("x", *also)])
+    partner = near.join(ends, "neighbour").select("id", "rank", *[f"_{c}" for c in ("x", *also)])
+    line = lambda c: F.zip_with(c, f"_{c}", lambda a, b: a + F.col("gap") * (b - a)).alias(c)
+    return drawn.join(partner, ["id", "rank"]).select("id", "copy", *[line(c) for c in ("x", *also)], F.lit(minor).alias("label"))
 
 
 # ---------------------------------------------------------------- density clusters
@@ -200,7 +329,7 @@ def _links(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFram
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable. Smallest-label rounds with pointer jumps; every round is a written table."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(nodes.select("id", F.col("id").alias("component")), "components")
+    labels = held = materialise(nodes.select("id", F.col("id").alias("component")), "components")
     while True:
         heard = (both.join(labels, F.col("a") == F.col("id")).groupBy("b").agg(F.min("component").alias("_m")))
         lower = labels.join(heard, F.col("id") == F.col("b"), "left").select(
@@ -209,9 +338,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("id").alias("_at"), F.col("_new").alias("_jump"))
         after = materialise(lower.join(jump, F.col("_new") == F.col("_at"), "left").select(
             "id", F.least("_new", F.coalesce("_jump", F.col("_new"))).alias("component"), "_old"), "components")
+        release(lower, held)
+        held = after
         changed = not after.where(F.col("component") != F.col("_old")).isEmpty()
         labels = after.select("id", "component")
         if not changed:
+            release(both)
             return labels
 
 
@@ -227,24 +359,24 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
     Three passes over (block, chunk) pairs: neighbour counts, links between core points,
     border points (which join the cluster with the smallest id in reach).
     """
-    points = materialise(points.select("id", "x"), "density-points")
-    placed, cells = cells_of(points, block=block)
-    placed = materialise(placed, "density-cells")
-    reach = lambda d: np.full(len(d), eps)
+    points = materialise(points.select(F.col("id").cast("long").alias("id"), "x"), "density-points")
+    tree = cell_tree(points, block)
+    placed = tree.placed.select("id", "x", "cell")
+    visits = materialise(_visits(points.withColumn("reach", F.lit(float(eps))), tree), "density-visits")
 
     def count(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         near = _distances(_matrix(qs["x"]), _matrix(ps["x"])) <= eps
         return pd.DataFrame({"id": qs["id"].to_numpy(), "n": near.sum(1).astype("int64")})
 
-    counted = _by_blocks(points, placed, cells, reach, count, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n"))
+    counted = _by_blocks(visits, placed, count, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n"))
     core = materialise(counted.where(F.col("n") >= min_points).select("id"), "density-core")
-    core_points, core_placed = points.join(core, "id", "left_semi"), placed.join(core, "id", "left_semi")
+    core_placed = placed.join(core, "id", "left_semi")
 
     def link(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         near = _distances(_matrix(qs["x"]), _matrix(ps["x"])) <= eps
         return _links(near, qs["id"].to_numpy(), ps["id"].to_numpy())
 
-    edges = _by_blocks(core_points, core_placed, cells, reach, link, "a long, b long", block)
+    edges = _by_blocks(visits.join(core, "id", "left_semi"), core_placed, link, "a long, b long", block)
     clusters = components(core, edges)
 
     def border(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -253,8 +385,7 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
         found = low < np.iinfo("int64").max
         return pd.DataFrame({"id": qs["id"].to_numpy()[found], "component": low[found]})
 
-    others = points.join(core, "id", "left_anti")
     joined = core_placed.join(clusters, "id")
-    touched = _by_blocks(others, joined, cells, reach, border, "id long, component long", block).groupBy("id").agg(F.min("component").alias("component"))
+    touched = _by_blocks(visits.join(core, "id", "left_anti"), joined, border, "id long, component long", block).groupBy("id").agg(F.min("component").alias("component"))
     named = clusters.unionByName(touched)
     return points.select("id").join(named, "id", "left").select("id", F.coalesce("component", F.lit(-1)).alias("cluster"))

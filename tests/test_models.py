@@ -43,6 +43,8 @@ FAST = DEFAULTS.with_(cv_folds=2, search_iterations=2)
     ("decision_tree", {"max_depth": [4], "min_samples_leaf": [20]}, 0.78),
     ("random_forest", {"n_estimators": [15], "max_depth": [5], "min_samples_leaf": [5]}, 0.82),
     ("boosted_trees", {"learning_rate": [0.1], "max_depth": [3], "subsample": [0.85], "colsample": [1.0], "n_estimators": [15]}, 0.82),
+    ("boosted_leaves", {"learning_rate": [0.1], "num_leaves": [7], "subsample": [0.85], "colsample": [1.0], "n_estimators": [15]}, 0.82),
+    ("knn", {"n_neighbors": [15, 41], "weights": ["uniform", "distance"]}, 0.80),
     ("ann", {"hidden_units": [(8, 4)], "max_iter": [40]}, 0.80)])
 def test_churn_models_find_the_signal(planted, name, space, floor):
     r = P.train_churn(name, planted, FAST, space)
@@ -52,6 +54,21 @@ def test_churn_models_find_the_signal(planted, name, space, floor):
     assert low < high
 
 
+@pytest.mark.parametrize("name,space", [
+    ("logistic_regression", {"C": [1.0], "l1_ratio": [0.0]}), ("decision_tree", {"max_depth": [4], "min_samples_leaf": [20]}), ("knn", {"n_neighbors": [15], "weights": ["distance"]}),
+    ("boosted_trees", {"learning_rate": [0.2], "max_depth": [3], "subsample": [1.0], "colsample": [1.0], "n_estimators": [8]})])
+def test_synthetic_rows_level_the_labels_of_every_fit(planted, name, space):
+    rare = materialise(planted.where("label = 1 OR customer_id % 5 = 0 OR split <> 'train'").withColumn("weight", F.lit(1.0)), "rare")
+    settings = FAST.with_(imbalance="smote")
+    parts = P.fit_parts(rare.where("split = 'train'"), settings)
+    for fold, part in parts.items():
+        n = {r["label"]: r["count"] for r in part.groupBy("label").count().collect()}
+        assert abs(n[0.0] - n[1.0]) < 0.08 * n[1.0]
+        assert part.where("is_new AND label = 1").count() == 0  # the rarer label is made
+    r = P.train_churn(name, rare, settings, space)
+    assert r.test["roc_auc"] > 0.75 and r.cv_mean > 0.7
+
+
 def test_value_and_category_models(planted):
     winner, results = P.train_value(planted, FAST, {"clv_ridge": {"alpha": [1.0, 10.0]}, "clv_boosted": {"max_depth": [2], "learning_rate": [0.1], "n_estimators": [5]}})
     assert winner == "clv_ridge" and results[winner]["test"]["r2"] > 0.95

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patronage.functions.expressions import hash_unit
 from patronage.operators import neighbours as N
 
 
@@ -94,3 +95,35 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(59).where("id % 20 <> 19").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r["id"]: r["component"] for r in N.components(nodes, edges).collect()}
     assert got == {i: i // 20 * 20 for i in range(60)}
+
+
+def test_cells_are_bounded_and_looked_at_points_stay_few_when_points_grow(spark):
+    """Ten times the points: a query looks at about as many."""
+    looked = []
+    for n in (3000, 30000):
+        df = spark.range(n).select("id", F.array(*[hash_unit(F.col("id"), s) for s in "ab"]).alias("x"))
+        tree = N.cell_tree(df, block=64)
+        sizes = tree.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        assert sizes.agg(F.max("n")).first()[0] <= 64 and sizes.agg(F.sum("n")).first()[0] == n
+        some = df.where(F.pmod("id", F.lit(n // 500)) == 0)
+        near = N.nearest(some, df, 5, block=64, tree=tree).where("rank = 5")
+        reach = some.join(near.select("id", F.col("distance").alias("reach")), "id")
+        visits = N._visits(reach, tree).join(sizes, "cell").groupBy("id").agg(F.sum("n").alias("points"))
+        looked.append(visits.agg(F.avg("points")).first()[0])
+    assert looked[1] < 1.5 * looked[0] and looked[1] < 400
+
+
+def test_approximate_neighbours_reach_their_recall(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    exact = N.nearest(v, v, 10, exclude_self=True).persist()
+    found = N.approximate_nearest(v, v, 10, exclude_self=True).persist()
+    assert N.recall(found, exact) >= 0.95
+    true = {(r["id"], r["neighbour"]): r["distance"] for r in exact.collect()}
+    assert all(true[k] == pytest.approx(r["distance"]) for r in found.collect() if (k := (r["id"], r["neighbour"])) in true)
+    assert N.recall(N.approximate_nearest(v, v, 10, exclude_self=True, bucket=128, tables=16), exact) >= 0.9
+
+
+def test_a_bucket_of_equal_points_is_not_cut_short(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 1000, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(*[hash_unit(F.col("id"), s) for s in "ab"])).alias("x"))
+    got = N.approximate_nearest(df.where("id < 20"), df, 3, bucket=64, block=100)
+    assert {(r["id"], r["neighbour"], r["distance"]) for r in got.collect()} == {(i, j, 0.0) for i in range(20) for j in range(3)}
