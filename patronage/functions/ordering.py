@@ -1,10 +1,10 @@
 """Global order without a one-task sort.
 
-A running total, rank or quantile over a whole column needs an order over all rows. Here the
-rows are first aggregated to distinct values, distinct values are put in coarse buckets that
-keep the order, the (few) bucket totals get a running sum, and the fine order is made inside
-each bucket. No window ever spans more than one bucket of distinct values or the list of bucket
-totals, whatever the number of rows or the weight of one value.
+A running total, rank or quantile over a whole column needs an order over all rows. Rows are first aggregated to
+distinct values and written. Up to ONE_TASK distinct values are put in order at once; more are range-partitioned, with
+boundaries that Spark draws from the values themselves, so values that lie close together spread as well as any
+others. Range partitions are numbered as they are written; their totals (one row each) get a running sum, and the fine
+order is made inside each. No window spans more than one range partition or the list of partition totals.
 """
 from __future__ import annotations
 
@@ -13,83 +13,80 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronage.functions.expressions import magnitude_bucket
+from patronage.session import materialise
 
+#: Distinct values, of all groups together, that are put in order without range partitions.
+ONE_TASK = 200_000
 
-def _by_bucket(df: DataFrame, by: list[str]) -> DataFrame:
-    """Cluster by (group, bucket) once: bucket totals, the join with them and the fine order all use this shuffle.
 
-    Rows without a group or bucket are dropped here, in the part both sides share, so that the
-    shuffle is planned once and reused.
-    """
-    there = F.col("_bucket").isNotNull()
-    for c in by:
-        there = there & F.col(c).isNotNull()
-    return df.where(there).repartition(*by, "_bucket")
+def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
+def _in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` written in ``order``, with ``_part`` (number of the range partition) and ``_at`` (place, rising with the order)."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    return placed.withColumn("_part", F.shiftright("_at", 33))
+
+
+def _same(names: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & (F.col(c) == F.col(f"_k_{c}"))
+    return cond
+
+
+def _with_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str], descending: bool, prefix: str) -> DataFrame:
+    """``df`` (written, one row per (by, value)) with running sums up to and with each row, and ``_all_<s>`` of the group."""
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    upto = (Window.unboundedPreceding, 0)
+    if df.count() <= ONE_TASK:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        return df.select(*df.columns, *[F.sum(s).over(group.orderBy(order).rowsBetween(*upto)).alias(f"{prefix}{s}") for s in sums],
+                         *[F.sum(s).over(group).alias(f"_all_{s}") for s in sums])
+    placed = _in_ranges(df, [*by, order])
+    per_part = placed.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    across = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row per range partition
+    offsets = per_part.select(
+        *[F.col(c).alias(f"_k_{c}") for c in [*by, "_part"]],
+        *[(F.sum(f"_t_{s}").over(across.orderBy("_part")) - F.col(f"_t_{s}")).alias(f"_before_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(across).alias(f"_all_{s}") for s in sums])
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(*upto)
+    return placed.join(offsets, _same([*by, "_part"])).select(
+        *df.columns, *[(F.col(f"_before_{s}") + F.sum(s).over(inside)).alias(f"{prefix}{s}") for s in sums], *[f"_all_{s}" for s in sums])
 
 
 def running_totals(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False) -> DataFrame:
     """Add ``cum_<s>``: sum of ``s`` over rows whose value comes no later than the row's value.
 
-    ``df`` must hold one row per (by, value). Ascending by default.
+    ``df`` must hold one row per (by, value). Ascending by default. Rows without value or group are left out.
     """
     by = list(by)
-    bucket = magnitude_bucket(F.col(value))
-    work = _by_bucket(df.withColumn("_bucket", -bucket if descending else bucket), by)
-    per_bucket = work.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_bucket").alias("_k_bucket"),
-        *[F.coalesce(F.sum(f"_t_{s}").over(across), F.lit(0)).alias(f"_before_{s}") for s in sums])
-    cond = F.col("_bucket") == F.col("_k_bucket")
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"_k_{c}"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return work.join(offsets, cond).select(
-        *df.columns, *[(F.col(f"_before_{s}") + F.sum(s).over(inside)).alias(f"cum_{s}") for s in sums])
+    held = materialise(_known(df, [*by, value]), "distinct-values")
+    return _with_sums(held, value, sums, by, descending, "cum_").select(*df.columns, *[f"cum_{s}" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group: columns ``by`` plus the keys of ``probs``.
 
-    Rows are reduced to (group, value, count) with map-side partial sums. Only the buckets that
-    hold a wanted rank are put in order, so a group with very many distinct values stays spread.
+    Rows are reduced to (group, value, count) with map-side partial sums, so a value with a third of all rows is one row.
     """
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_bucket", magnitude_bucket(F.col("_v"))))
-    counts = _by_bucket(counts, by)
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_t"))
-    across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*by)
-    size = F.col("_all") - 1
-    lows = {k: F.floor(F.lit(float(p)) * size).cast("long") for k, p in probs.items()}
-    highs = {k: F.ceil(F.lit(float(p)) * size).cast("long") for k, p in probs.items()}
-    holds = [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_t")) for r in [*lows.values(), *highs.values()]]
-    any_rank = holds[0]
-    for h in holds[1:]:
-        any_rank = any_rank | h
-    wanted = (totals.select(*by, "_bucket", "_t",
-                            F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_before"),
-                            F.sum("_t").over(everything).alias("_all"))
-              .where(any_rank)
-              .select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_bucket").alias("_k_bucket"), "_before", "_all"))
-    cond = F.col("_bucket") == F.col("_k_bucket")
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"_k_{c}"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counts.join(wanted, cond)
-              .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-              .withColumn("_start", F.col("_end") - F.col("_n")))
+    counts = (_known(df, by).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = _with_sums(materialise(counts, "distinct-values"), "_v", ["_n"], by, False, "_end")
+    ranked = ranked.withColumn("_start", F.col("_end_n") - F.col("_n"))
+    size = F.col("_all__n") - 1
     picks = []
-    for k in probs:
-        for side, rank in (("lo", lows[k]), ("hi", highs[k])):
-            here = (rank >= F.col("_start")) & (rank < F.col("_end"))
+    for k, p in probs.items():
+        for side, rank in (("lo", F.floor(F.lit(float(p)) * size)), ("hi", F.ceil(F.lit(float(p)) * size))):
+            here = (rank.cast("long") >= F.col("_start")) & (rank.cast("long") < F.col("_end_n"))
             picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{k}"))
-    picked = ranked.groupBy(*by).agg(*picks, F.max("_all").alias("_all"))
+    picked = ranked.groupBy(*by).agg(*picks, F.max("_all__n").alias("_all__n"))
     out = []
     for k, p in probs.items():
         spot = F.lit(float(p)) * size
@@ -124,26 +121,26 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     return cum.select(value, (F.col("cum__n") - (F.col("_n") - 1) / F.lit(2.0)).alias("avg_rank"))
 
 
-def global_row_number(df: DataFrame, value: str, tie: str, name: str = "row_number") -> DataFrame:
-    """1-based position of every row in the order (value, tie); ``tie`` is a unique number.
+def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """1-based place of every row in ``order`` inside its group; rows that tie in all of it are told apart arbitrarily.
 
-    Equal values may hold a large share of the rows: inside one value the tie column is again
-    bucketed, so that the fine windows are bounded by (value, tie bucket).
+    Rows are numbered as they are written in order, and shifted by the totals of the range partitions before: no
+    window over rows at all, however many rows a group has.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    starts = running_totals(counts, value, ["_n"]).select(
-        F.col(value).alias("_k_value"), (F.col("cum__n") - F.col("_n")).alias("_before_value"))
-    work = df.withColumn("_tie_bucket", magnitude_bucket(F.col(tie)))
-    per_tie = work.groupBy(value, "_tie_bucket").agg(F.count(F.lit(1)).alias("_m"))
-    across = Window.partitionBy(value).orderBy("_tie_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tie_starts = per_tie.select(
-        F.col(value).alias("_k_value"), F.col("_tie_bucket").alias("_k_tie"),
-        F.coalesce(F.sum("_m").over(across), F.lit(0)).alias("_before_tie"))
-    offsets = tie_starts.join(starts, "_k_value")
-    inside = Window.partitionBy(value, "_tie_bucket").orderBy(tie)
-    joined = work.join(offsets, (F.col(value) == F.col("_k_value")) & (F.col("_tie_bucket") == F.col("_k_tie")))
-    return joined.select(*df.columns, (F.col("_before_value") + F.col("_before_tie")
-                                       + F.row_number().over(inside)).cast("long").alias(name))
+    by = list(by)
+    placed = _in_ranges(df, [*by, *order])
+    runs = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part")
+    runs = runs.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_part"]], (F.sum("_rows").over(across) - F.col("_rows") - F.col("_first") + 1).alias("_shift"))
+    cond = F.col("_part") == F.col("_k__part")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return placed.join(runs, cond).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def global_row_number(df: DataFrame, value: str, tie: str, name: str = "row_number") -> DataFrame:
+    """1-based position of every row in the order (value, tie); rows without a value are left out."""
+    return positions(_known(df, [value]), [value, tie], name=name)
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:

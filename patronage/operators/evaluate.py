@@ -7,29 +7,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS, Settings
-from patronage.functions.ordering import average_ranks, global_row_number, running_totals
+from patronage.functions.ordering import average_ranks, global_row_number, positions, running_totals
 
 
-# ---------------------------------------------------------------- splits and folds (row-local, seeded)
+# ---------------------------------------------------------------- splits and folds (seeded)
 def _slot(key: Column, seed: int | str, slots: int) -> Column:
     digest = F.md5(F.concat_ws("#", key.cast("string"), F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots
 
 
-def split_of(key: Column, settings: Settings = DEFAULTS) -> Column:
-    """train / val / test by a hash of the key: the same in every run, layout and row order.
+def stratified_parts(df: DataFrame, label: str, key: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Add ``split`` (train / val / test) and ``fold``: within each label in the exact proportions, to the row.
 
-    The hash knows nothing of the label, so every class is split in the same proportions up to
-    sampling noise.
+    Rows of a label are put in the order of a seeded hash of their key; the first ones are train, the next val, the
+    rest test, and train rows are dealt to the folds in turn. A null label is a label of its own. ``key`` is unique;
+    the result does not depend on row order or layout.
     """
-    slot = _slot(key, settings.seed, 10000)
-    train_end = round(settings.split_train * 10000)
-    val_end = round((settings.split_train + settings.split_val) * 10000)
-    return F.when(slot < train_end, "train").when(slot < val_end, "val").otherwise("test")
-
-
-def fold_of(key: Column, settings: Settings = DEFAULTS) -> Column:
-    return _slot(key, f"fold-{settings.seed}", settings.cv_folds).cast("int")
+    marked = df.withColumns({"_slot": _slot(F.col(key), settings.seed, 1 << 32), "_label": F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))})
+    placed = positions(marked, ["_slot", key], ["_label"], "_place")
+    sizes = marked.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")).select(F.col("_label").alias("_of"), "_size")
+    placed = placed.join(sizes, F.col("_label") == F.col("_of"))
+    upto = lambda share: F.round(F.col("_size") * F.lit(share))
+    split = (F.when(F.col("_place") <= upto(settings.split_train), "train")
+             .when(F.col("_place") <= upto(settings.split_train + settings.split_val), "val").otherwise("test"))
+    return placed.select(*df.columns, split.alias("split"), F.pmod(F.col("_place") - 1, F.lit(settings.cv_folds)).cast("int").alias("fold"))
 
 
 # ---------------------------------------------------------------- class weights
@@ -41,19 +42,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         label, "n", (F.col("_t.rows") / (F.col("_t.classes") * F.col("n"))).alias("weight"))
 
 
-def weight_map(df: DataFrame, label: str, most: int = 10000) -> dict:
-    """Weights on the driver: one entry per class. A label with more classes than ``most`` is not a class label."""
-    rows = class_weights(df, label).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{label} has more than {most} classes")
-    return {row[label]: float(row["weight"]) for row in rows}
-
-
-def weight_column(label: Column, weights: Mapping) -> Column:
-    chosen = None
-    for value, weight in weights.items():
-        chosen = F.when(label == value, F.lit(weight)) if chosen is None else chosen.when(label == value, F.lit(weight))
-    return F.lit(1.0) if chosen is None else chosen.otherwise(F.lit(1.0))
+def with_weights(df: DataFrame, label: str, weights: DataFrame, name: str = "weight") -> DataFrame:
+    """Add the weight of each row's class, 1 where the class is unknown. ``weights``: of class_weights(), one row a class."""
+    side = weights.select(F.col(label).alias("_class"), F.col("weight").alias("_weight"))
+    return df.join(side, F.col(label) == F.col("_class"), "left").withColumn(name, F.coalesce("_weight", F.lit(1.0))).drop("_class", "_weight")
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:

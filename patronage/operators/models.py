@@ -86,12 +86,11 @@ def training_table(train: DataFrame, settings: Settings = DEFAULTS, prune: bool
     names = E.model_columns(levels, settings)
     matrix = E.model_matrix(train, levels, settings)
     kept = E.prune_by_vif(matrix, names, settings.vif_threshold, settings.vif_protected)[0] if prune else names
-    marked = train.withColumns({"split": M.split_of(F.col("customer_id"), settings), "fold": M.fold_of(F.col("customer_id"), settings)})
+    marked = materialise(M.stratified_parts(train, "churn", "customer_id", settings), "split-rows")
     fit_rows = E.model_matrix(marked.where("split = 'train'"), levels, settings)
     encoder = Encoder(levels, kept, Standardiser.fit(fit_rows, kept))
-    weights = M.weight_map(marked.where("split = 'train'"), "churn")
-    rows = encoder.transform(marked.withColumn("weight", M.weight_column(F.col("churn"), weights)),
-                             ["customer_id", "split", "fold", "churn", "clv_target", "next_category", "weight"], settings)
+    weighted = M.with_weights(marked, "churn", M.class_weights(marked.where("split = 'train'"), "churn"))
+    rows = encoder.transform(weighted, ["customer_id", "split", "fold", "churn", "clv_target", "next_category", "weight"], settings)
     return rows.withColumn("label", F.col("churn").cast("double")), encoder
 
 
@@ -334,8 +333,7 @@ def train_next_category(rows: DataFrame, settings: Settings = DEFAULTS, trees: i
     """Forest on customers with a next category. Returns (pipeline model, labels in probability order, test quality)."""
     known = rows.where(F.col("next_category").isNotNull()).drop("weight")
     fit_rows = known.where("split = 'train'")
-    weights = M.weight_map(fit_rows, "next_category")
-    weighted = fit_rows.withColumn("weight", M.weight_column(F.col("next_category"), weights))
+    weighted = M.with_weights(fit_rows, "next_category", M.class_weights(fit_rows, "next_category"))
     indexer = StringIndexer(inputCol="next_category", outputCol="category_index", stringOrderType="alphabetAsc", handleInvalid="skip")
     forest = RandomForestClassifier(labelCol="category_index", weightCol="weight", numTrees=trees, minInstancesPerNode=CATEGORY_MIN_LEAF,
                                     maxDepth=CATEGORY_MAX_DEPTH, seed=settings.seed, predictionCol="category_prediction", probabilityCol="category_probability",

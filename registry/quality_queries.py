@@ -14,15 +14,21 @@ from patronage.sources import runlog
 from registry.base import n, query, r, rounded
 from registry.sqlbase import block, unit_hash
 
-SLOT = "(('0x' || substr(md5(customer_id::VARCHAR || '#42'), 1, 8))::BIGINT % 10000)"
-FOLD = f"(('0x' || substr(md5(customer_id::VARCHAR || '#fold-42'), 1, 8))::BIGINT % {DEFAULTS.cv_folds})"
+SLOT = "('0x' || substr(md5(customer_id::VARCHAR || '#42'), 1, 8))::BIGINT"
+block("parts_tr", f"""
+  SELECT customer_id, churn, CASE WHEN place <= round(size * 0.7) THEN 'train' WHEN place <= round(size * 0.85) THEN 'val' ELSE 'test' END AS split,
+         (place - 1) % {DEFAULTS.cv_folds} AS fold
+  FROM (SELECT customer_id, churn, row_number() OVER (PARTITION BY churn ORDER BY {SLOT}, customer_id) AS place, count(*) OVER (PARTITION BY churn) AS size
+        FROM labels_tr)""", "labels_tr")
 
 
-@query("m01_splits", f"""
-  SELECT customer_id, churn::BIGINT AS churn, CASE WHEN {SLOT} < 7000 THEN 'train' WHEN {SLOT} < 8500 THEN 'val' ELSE 'test' END AS split
-  FROM labels_tr""", "labels_tr")
+def parts(ctx):
+    return M.stratified_parts(ctx.train.select("customer_id", "churn"), "churn", "customer_id", ctx.settings)
+
+
+@query("m01_splits", "SELECT customer_id, churn::BIGINT AS churn, split FROM parts_tr", "parts_tr")
 def _(ctx):
-    return rounded(ctx.train.select("customer_id", "churn", M.split_of(F.col("customer_id"), ctx.settings).alias("split")))
+    return rounded(parts(ctx).drop("fold"))
 
 
 @query("m02_class_weights", f"""
@@ -94,9 +100,9 @@ def _(ctx):
     return rounded(M.multiclass_quality(g, "next_category", "z"))
 
 
-@query("m09_folds", f"SELECT {FOLD}::BIGINT AS fold, churn::BIGINT AS churn, {n('count(*) AS n')} FROM labels_tr GROUP BY ALL", "labels_tr")
+@query("m09_folds", f"SELECT fold::BIGINT AS fold, churn::BIGINT AS churn, {n('count(*) AS n')} FROM parts_tr WHERE split = 'train' GROUP BY ALL", "parts_tr")
 def _(ctx):
-    return rounded(ctx.train.groupBy(M.fold_of(F.col("customer_id"), ctx.settings).alias("fold"), "churn").agg(F.count(F.lit(1)).alias("n")))
+    return rounded(parts(ctx).where("split = 'train'").groupBy("fold", "churn").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("m11_comparison_table", f"""

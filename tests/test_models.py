@@ -28,7 +28,7 @@ def planted(spark):
         "customer_id", *[(u(c) * 4 - 2).alias(c) for c in COLS])
     logit = 2.0 * F.col("a") - 1.5 * F.col("b")
     df = df.withColumn("churn", (u("noise") < 1 / (1 + F.exp(-logit))).cast("int")).withColumn("label", F.col("churn").cast("double"))
-    df = df.withColumns({"clv_target": 3 * F.col("a") + u("n2"), "weight": F.lit(1.0), "split": M.split_of(F.col("customer_id")),
+    df = df.withColumns({"clv_target": 3 * F.col("a") + u("n2"), "weight": F.lit(1.0), "split": F.when(u("split") < 0.7, "train").when(u("split") < 0.85, "val").otherwise("test"),
                          "fold": F.pmod(F.col("customer_id"), F.lit(2)).cast("int"),
                          "next_category": F.when(F.col("a") > 0.5, "toys").when(F.col("b") > 0, "bags").otherwise("other")})
     scaler = G.Standardiser.fit(df.where("split = 'train'"), COLS)

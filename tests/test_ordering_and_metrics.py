@@ -87,14 +87,50 @@ def test_auc_and_threshold_against_brute_force(spark):
     assert none["f1"] >= row["f1"]
 
 
-def test_splits_are_disjoint_and_stable(spark):
-    df = spark.range(20000).withColumn("y", (F.col("id") % 10 < 3).cast("int")).withColumn("s", M.split_of(F.col("id")))
-    n = {(r["s"], r["y"]): r["count"] for r in df.groupBy("s", "y").count().collect()}
-    for y, size in ((0, 14000), (1, 6000)):
-        assert abs(n[("train", y)] / size - 0.70) < 0.02 and abs(n[("val", y)] / size - 0.15) < 0.02
-    again = df.repartition(5).withColumn("t", M.split_of(F.col("id")))
-    assert again.where("s <> t").isEmpty()
-    assert df.where("id < 100").select("s").collect() != df.where("id < 100").select(M.split_of(F.col("id"), DEFAULTS.with_(seed=1))).collect()
+def test_splits_and_folds_are_stratified_to_the_row_and_stable(spark):
+    df = spark.range(2013).withColumn("y", F.when(F.col("id") % 10 < 3, 1).when(F.col("id") % 671 != 5, 0))
+    got = M.stratified_parts(df, "y", "id").persist()
+    n = {(r["s"], r["y"]): r["count"] for r in got.groupBy(F.col("split").alias("s"), "y").count().collect()}
+    for y in (0, 1, None):
+        size = sum(v for k, v in n.items() if k[1] == y)
+        assert abs(n[("train", y)] - 0.7 * size) <= 0.5 and abs(n[("train", y)] + n.get(("val", y), 0) - 0.85 * size) <= 0.5
+    for y in (0, 1):
+        folds = [r["count"] for r in got.where(f"split = 'train' AND y = {y}").groupBy("fold").count().collect()]
+        assert len(folds) == DEFAULTS.cv_folds and max(folds) - min(folds) <= 1
+    again = M.stratified_parts(df.repartition(5), "y", "id").select("id", F.col("split").alias("s"), F.col("fold").alias("f"))
+    assert got.join(again, "id").where("split <> s OR fold <> f").isEmpty()
+    other = M.stratified_parts(df, "y", "id", DEFAULTS.with_(seed=1)).select("id", F.col("split").alias("s"))
+    assert not got.join(other, "id").where("split <> s").isEmpty()
+
+
+def test_close_values_spread_over_range_partitions(spark, monkeypatch):
+    """A million scores in [0.999, 1): no range partition holds much more than its share."""
+    monkeypatch.setattr(O, "ONE_TASK", 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        df = spark.range(1_000_000).select((F.lit(0.999) + F.col("id") / 1e9).alias("p"), (F.col("id") % 2).cast("int").alias("y"))
+        sizes = [r["count"] for r in O._in_ranges(df, ["p"]).groupBy("_part").count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < 3 * 1_000_000 / len(sizes)
+        assert M.roc_auc(df, "y", "p").first()["roc_auc"] == pytest.approx(0.5, abs=1e-5)
+        top = O.exact_quantiles(df, "p", {"q": 0.25}).first()["q"]
+        assert top == pytest.approx(0.999 + 0.25 * 999_999 / 1e9, rel=1e-12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.fixture(params=[1_000_000, 20])
+def one_task(request, monkeypatch):
+    monkeypatch.setattr(O, "ONE_TASK", request.param)
+
+
+def test_order_is_the_same_with_and_without_range_partitions(spark, one_task):
+    test_quantiles_by_group(spark)
+    test_running_totals(spark, False)
+    test_running_totals(spark, True)
+    test_ranks(spark)
+    test_share_at_or_below(spark)
+    test_auc_and_threshold_against_brute_force(spark)
+
 
 
 def test_forecast_cases(spark):
