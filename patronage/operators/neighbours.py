@@ -162,7 +162,7 @@ def _visits(queries: DataFrame, tree: CellTree) -> DataFrame:
     return out
 
 
-def _by_blocks(visits: DataFrame, placed: DataFrame, work, schema: str, block: int = BLOCK) -> DataFrame:
+def by_blocks(visits: DataFrame, placed: DataFrame, work, schema: str, block: int = BLOCK) -> DataFrame:
     """Run ``work(query frame, point frame) -> frame`` on every (block of queries, chunk of points) that share a cell.
 
     A cell with many queries or (equal) points is dealt out as pairs of bounded blocks and chunks.
@@ -173,6 +173,7 @@ def _by_blocks(visits: DataFrame, placed: DataFrame, work, schema: str, block: i
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     on = F.col("cell") == F.col("_cell")
+    visits = visits.select(*[F.col(c).alias(c) for c in visits.columns])  # own columns: both sides may come from one table
     q = visits.join(sizes, on).withColumn("part", mine("parts")).withColumn("chunk", others("chunks")).drop("_cell", "chunks", "parts")
     p = placed.join(sizes, on).withColumn("chunk", mine("chunks")).withColumn("part", others("parts")).drop("_cell", "chunks", "parts")
     keys, columns = ["cell", "chunk", "part"], [c.split()[0] for c in schema.split(", ")]
@@ -216,11 +217,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     asked = queries.select(F.col("id").cast("long").alias("id"), "x")
     held = tree.placed.select("id", "x", "cell")
     if not tree.cuts:
-        return _ranked(_by_blocks(asked.withColumn("cell", F.lit(0).cast("long")), held, _top(k, exclude_self), _PAIRS, block), k)
-    first = _by_blocks(_home(asked, tree), held, _top(k, exclude_self), _PAIRS, block)
+        return _ranked(by_blocks(asked.withColumn("cell", F.lit(0).cast("long")), held, _top(k, exclude_self), _PAIRS, block), k)
+    first = by_blocks(_home(asked, tree), held, _top(k, exclude_self), _PAIRS, block)
     reach = _ranked(first, k).where(F.col("rank") == k).select(F.col("id").alias("_id"), F.col("distance").alias("_far"))
     bounded = asked.join(reach, F.col("id") == F.col("_id"), "left").select("id", "x", F.coalesce("_far", F.lit(float("inf"))).alias("reach"))
-    return _ranked(_by_blocks(_visits(bounded, tree), held, _top(k, exclude_self), _PAIRS, block), k)
+    return _ranked(by_blocks(_visits(bounded, tree), held, _top(k, exclude_self), _PAIRS, block), k)
 
 
 def hashed_cells(rows: DataFrame, planes: np.ndarray, offsets: np.ndarray, tables: int) -> DataFrame:
@@ -255,7 +256,7 @@ def approximate_nearest(queries: DataFrame, points: DataFrame, k: int, exclude_s
     offsets = np.median(sample @ planes, axis=0)
     held = materialise(hashed_cells(points, planes, offsets, tables), "hashed-points")
     asked = materialise(hashed_cells(queries, planes, offsets, tables), "hashed-queries")
-    pairs = _by_blocks(asked, held, _top(k, exclude_self), _PAIRS, block)
+    pairs = by_blocks(asked, held, _top(k, exclude_self), _PAIRS, block)
     return _ranked(pairs.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")), k)
 
 
@@ -368,7 +369,7 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
         near = _distances(_matrix(qs["x"]), _matrix(ps["x"])) <= eps
         return pd.DataFrame({"id": qs["id"].to_numpy(), "n": near.sum(1).astype("int64")})
 
-    counted = _by_blocks(visits, placed, count, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n"))
+    counted = by_blocks(visits, placed, count, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n"))
     core = materialise(counted.where(F.col("n") >= min_points).select("id"), "density-core")
     core_placed = placed.join(core, "id", "left_semi")
 
@@ -376,7 +377,7 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
         near = _distances(_matrix(qs["x"]), _matrix(ps["x"])) <= eps
         return _links(near, qs["id"].to_numpy(), ps["id"].to_numpy())
 
-    edges = _by_blocks(visits.join(core, "id", "left_semi"), core_placed, link, "a long, b long", block)
+    edges = by_blocks(visits.join(core, "id", "left_semi"), core_placed, link, "a long, b long", block)
     clusters = components(core, edges)
 
     def border(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -386,6 +387,6 @@ def density_clusters(points: DataFrame, eps: float, min_points: int, block: int
         return pd.DataFrame({"id": qs["id"].to_numpy()[found], "component": low[found]})
 
     joined = core_placed.join(clusters, "id")
-    touched = _by_blocks(visits.join(core, "id", "left_anti"), joined, border, "id long, component long", block).groupBy("id").agg(F.min("component").alias("component"))
+    touched = by_blocks(visits.join(core, "id", "left_anti"), joined, border, "id long, component long", block).groupBy("id").agg(F.min("component").alias("component"))
     named = clusters.unionByName(touched)
     return points.select("id").join(named, "id", "left").select("id", F.coalesce("component", F.lit(-1)).alias("cluster"))

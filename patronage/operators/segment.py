@@ -1,10 +1,13 @@
 """Customer segmentation: preparation, clustering searches, quality, names, profiles, assignments."""
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +17,12 @@ from pyspark.sql import functions as F
 from patronage.config import DEFAULTS, Settings
 from patronage.fixed_values import SEGMENT_FEATURES, SEGMENT_LOG_FEATURES, SEGMENT_PROFILE_COLUMNS
 from patronage.operators.encode import value_tiers
+from patronage.operators.many_starts import Clusters, kmeans_starts, mixtures, silhouettes
+from patronage.operators.neighbours import by_blocks
+from patronage.session import materialise
+
+#: Clusters that are compared inside one expression.
+FEW_CLUSTERS = 512
 
 
 # ---------------------------------------------------------------- standardising
@@ -65,36 +74,24 @@ def silhouette(df: DataFrame, cluster: str, vector: str = "z") -> float | None:
 
 
 def kmeans_search(vectors: DataFrame, settings: Settings = DEFAULTS):
-    """Best model by silhouette over k; per k the restart with the least cost. Returns (model, rows of (k, cost, silhouette)).
+    """Best clusters by silhouette over k; per k the restart with the least cost. Returns (clusters, rows of (k, cost, silhouette)).
 
-    ``vectors`` is read many times: hand in a persisted or written table.
+    All starts are moved on together. ``vectors`` is read once a round: hand in a persisted or written table.
     """
-    best, table = None, []
-    for k in range(settings.k_min, settings.k_max + 1):
-        fits = [KMeans(k=k, seed=settings.seed + r, featuresCol="z", predictionCol="segment", maxIter=100).fit(vectors)
-                for r in range(settings.kmeans_restarts)]
-        model = min(fits, key=lambda m: m.summary.trainingCost)
-        score = silhouette(model.transform(vectors), "segment")
-        table.append((k, float(model.summary.trainingCost), score))
-        if best is None or (-1.0 if score is None else score) > (-1.0 if best[1] is None else best[1]):
-            best = (model, score)
-    return best[0], table
+    starts = kmeans_starts(vectors, range(settings.k_min, settings.k_max + 1), settings.kmeans_restarts, settings.seed)
+    least = [min((s for s in starts if s.k == k), key=lambda s: (s.cost, s.restart)) for k in sorted({s.k for s in starts})]
+    scores = silhouettes(vectors, [s.centres for s in least])
+    best = max(range(len(least)), key=lambda i: (-1.0 if scores[i] is None else scores[i], -least[i].k))
+    return Clusters(least[best].centres), [(s.k, s.cost, score) for s, score in zip(least, scores)]
 
 
 def mixture_search(vectors: DataFrame, settings: Settings = DEFAULTS):
-    """Gaussian mixture with full covariance, least BIC. Returns (model, rows of (k, bic))."""
+    """Gaussian mixture with full covariance, least BIC. Returns (model, rows of (k, bic)). All sizes are fitted together."""
     n = vectors.count()
-    dims = len(vectors.select("z").first()["z"])
-    best, table = None, []
-    import math
-    for k in range(settings.k_min, settings.k_max + 1):
-        model = GaussianMixture(k=k, seed=settings.seed, featuresCol="z", predictionCol="mixture", probabilityCol="mixture_p").fit(vectors)
-        free = k - 1 + k * dims + k * dims * (dims + 1) // 2
-        bic = -2.0 * model.summary.logLikelihood + free * math.log(n)
-        table.append((k, float(bic)))
-        if best is None or bic < best[1]:
-            best = (model, bic)
-    return best[0], table
+    found = mixtures(vectors, range(settings.k_min, settings.k_max + 1), settings.seed)
+    bics = [-2.0 * m.log_likelihood + m.free() * math.log(n) for m in found]
+    best = min(range(len(found)), key=lambda i: bics[i])
+    return found[best], [(len(m.weights), float(b)) for m, b in zip(found, bics)]
 
 
 def hierarchy(vectors: DataFrame, leaves: int = 30, seed: int = 42):
@@ -113,13 +110,16 @@ def principal_axes(vectors: DataFrame, k: int = 2):
 def davies_bouldin(df: DataFrame, cluster: str, dims: Sequence[str]) -> DataFrame:
     """One row (davies_bouldin); null with fewer than two clusters, noise (negative) left out.
 
-    Rows go through two aggregations with partial sums. The pairwise part runs over the list of
-    clusters inside one expression.
+    Rows go through two aggregations with partial sums. Clusters are compared in one expression while they are few, and
+    in pairs of bounded blocks, each handing on one number a cluster, when they are many.
     """
     data = df.where(F.col(cluster) >= 0).select(F.col(cluster).alias("_c"), F.array(*[F.col(d).cast("double") for d in dims]).alias("_v"))
     centres = data.groupBy("_c").agg(F.array(*[F.avg(F.col("_v")[i]) for i in range(len(dims))]).alias("_m"))
     distance = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     spread = (data.join(centres, "_c").groupBy("_c").agg(F.avg(distance(F.col("_v"), F.col("_m"))).alias("_s"), F.first("_m").alias("_m")))
+    spread = materialise(spread, "cluster-spreads")
+    if spread.count() > FEW_CLUSTERS:
+        return _davies_bouldin_of_many(spread)
     clusters = spread.agg(F.collect_list(F.struct("_c", "_s", "_m")).alias("all"))
     ratio = lambda x, y: F.try_divide(x["_s"] + y["_s"], distance(x["_m"], y["_m"]))
     worst = F.transform("all", lambda x: F.array_max(F.transform(F.filter("all", lambda y: y["_c"] != x["_c"]), lambda y: ratio(x, y))))
@@ -127,6 +127,21 @@ def davies_bouldin(df: DataFrame, cluster: str, dims: Sequence[str]) -> DataFram
     return clusters.select(F.when(F.size("all") >= 2, mean).alias("davies_bouldin"))
 
 
+def _davies_bouldin_of_many(spread: DataFrame, block: int = 1024) -> DataFrame:
+    rows = spread.select(F.col("_c").cast("long").alias("id"), F.concat(F.array("_s"), "_m").alias("x"), F.lit(0).cast("long").alias("cell"))
+
+    def worst(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.stack(qs["x"].to_numpy()), np.stack(ps["x"].to_numpy())
+        away = np.sqrt(np.maximum((a[:, 1:] ** 2).sum(1)[:, None] - 2 * a[:, 1:] @ b[:, 1:].T + (b[:, 1:] ** 2).sum(1)[None, :], 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (a[:, :1] + b[:, 0][None, :]) / away
+        ratio[(qs["id"].to_numpy()[:, None] == ps["id"].to_numpy()[None, :]) | (away == 0)] = -np.inf
+        return pd.DataFrame({"id": qs["id"].to_numpy(), "ratio": ratio.max(1)})
+
+    pairs = by_blocks(rows, rows, worst, "id long, ratio double", block)
+    return pairs.groupBy("id").agg(F.max("ratio").alias("_worst")).agg(F.avg("_worst").alias("davies_bouldin"))
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (adjusted_rand) from the contingency table of two labelings."""
     pairs = lambda n: n * (n - 1) / F.lit(2.0)
@@ -211,7 +226,7 @@ def segment_customers(snapshot: DataFrame, settings: Settings = DEFAULTS, second
         if secondary is None:
             mixture, bics = mixture_search(vectors, settings)
             metrics["mixture"] = bics
-            assigned = mixture.transform(assigned).withColumn("secondary_cluster", F.col("mixture").cast("int")).drop("mixture", "mixture_p")
+            assigned = mixture.transform(assigned, name="secondary_cluster")
         else:
             assigned = secondary(assigned)
         pca, assigned = principal_axes(assigned)
