@@ -103,3 +103,13 @@ MODEL_DISPLAY_NAMES = {
     "random_forest": "Random Forest", "boosted_trees": "Boosted Trees", "knn": "KNN",
     "ann": "ANN (feed-forward)",
 }
+
+# Columns of the published tables.
+PUBLISHED_LINE_COLUMNS = [
+    "invoice", "stock_code", "description", "category", "quantity", "invoice_date", "unit_price", "line_total",
+    "is_return", "customer_id", "country",
+]
+PUBLISHED_CUSTOMER_COLUMNS = [
+    "customer_id", "country", "first_purchase", "last_purchase", "recency_days", "frequency", "total_spend",
+    "historical_clv", "engagement_score",
+]

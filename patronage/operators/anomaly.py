@@ -156,7 +156,7 @@ def fit_isolation(train: DataFrame, key: str = "customer_id", trees: int = 100,
     size = min(sample, n)
     share = min(1.0, 2.0 * size / max(n, 1))  # about twice the sample passes, the rank below keeps exactly ``size``
     draw = lambda t: F.shiftrightunsigned(F.xxhash64(F.col(key), t, F.lit(seed)), 1)
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= F.lit(int(share * (2**63 - 1))))
+    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= F.lit(min(int(share * 2.0**63), 2**63 - 1)))
     rows = train.select(key, F.array(*scaler.values()).alias("x"), F.explode(picks).alias("tree")).withColumn("_draw", draw(F.col("tree")))
     first = Window.partitionBy("tree").orderBy("_draw", key)
     drawn = rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= size).select("tree", key, "x")

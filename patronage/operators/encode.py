@@ -217,6 +217,12 @@ def prune_by_vif(df: DataFrame, columns: Sequence[str], threshold: float, protec
     return kept, [(c, float(v), "kept") for c, v in scores.items()] + dropped
 
 
+def vif_report(train: DataFrame, settings: Settings = DEFAULTS) -> list[tuple[str, float, str]]:
+    """Rows (feature, vif, kept or dropped) of the pruning that training makes."""
+    levels = country_levels(train, settings)
+    return prune_by_vif(model_matrix(train, levels, settings), model_columns(levels, settings), settings.vif_threshold, settings.vif_protected)[1]
+
+
 # ---------------------------------------------------------------- column statistics
 def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n, mean, std, lowest, q1, median, q3, highest); quantiles are exact and distributed."""

@@ -18,7 +18,7 @@ from patronage.config import DEFAULTS, Settings
 from patronage.fixed_values import SEGMENT_FEATURES, SEGMENT_LOG_FEATURES, SEGMENT_PROFILE_COLUMNS
 from patronage.operators.encode import value_tiers
 from patronage.operators.many_starts import Clusters, kmeans_starts, mixtures, silhouettes
-from patronage.operators.neighbours import by_blocks
+from patronage.operators.neighbours import by_blocks, density_clusters, neighbour_distance
 from patronage.session import materialise
 
 #: Clusters that are compared inside one expression.
@@ -211,24 +211,44 @@ def add_churn_to_profile(profile: DataFrame, segments: DataFrame, scores: DataFr
 
 
 # ---------------------------------------------------------------- whole run
-def segment_customers(snapshot: DataFrame, settings: Settings = DEFAULTS, secondary=None):
+def density_secondary(vectors: DataFrame) -> tuple[DataFrame, dict]:
+    """(vectors with ``secondary_cluster`` from density, noise -1; metrics): reach from the 2d-th neighbour, least size 2d."""
+    points = materialise(vectors.select(F.col("customer_id").alias("id"), vector_to_array("z").alias("x")), "density-vectors")
+    k = 2 * len(SEGMENT_FEATURES)
+    eps = neighbour_distance(points, k)
+    found = materialise(density_clusters(points, eps, k), "density-clusters")
+    facts = found.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.avg((F.col("cluster") < 0).cast("double")).alias("noise")).first()
+    named = found.select(F.col("id").alias("customer_id"), F.col("cluster").alias("secondary_cluster"))
+    return vectors.join(named, "customer_id"), {"eps": eps, "n_clusters": facts["clusters"], "noise_fraction": facts["noise"]}
+
+
+def cluster_quality(df: DataFrame, cluster: str, vector: str = "z") -> dict[str, float | None]:
+    """Silhouette and Davies-Bouldin index; noise left out, null with fewer than two clusters."""
+    x, d = vector_to_array(vector), len(SEGMENT_FEATURES)
+    wide = df.select(F.col(cluster), *[x[i].alias(f"_d{i}") for i in range(d)])
+    return {"silhouette": silhouette(df, cluster, vector), "davies_bouldin": davies_bouldin(wide, cluster, [f"_d{i}" for i in range(d)]).first()[0]}
+
+
+def segment_customers(snapshot: DataFrame, settings: Settings = DEFAULTS, secondary: str = "mixture", quality: bool = True):
     """Assignments, profiles and metrics of one segmentation run.
 
-    ``secondary``: function (vectors with column z) -> frame with ``secondary_cluster``; the default
-    is the Gaussian mixture.
+    ``secondary``: ``mixture`` or ``density``, the second clustering that the first one is compared with.
     """
     vectors, _scaler = prepare(snapshot)
     vectors = vectors.persist()
     try:
         model, curve = kmeans_search(vectors, settings)
         assigned = model.transform(vectors)
-        metrics = {"kmeans": curve, "k": model.getK()}
-        if secondary is None:
-            mixture, bics = mixture_search(vectors, settings)
-            metrics["mixture"] = bics
-            assigned = mixture.transform(assigned, name="secondary_cluster")
+        metrics: dict = {"kmeans": curve, "k": model.getK(), "secondary_algorithm": secondary}
+        if secondary == "density":
+            assigned, metrics["density"] = density_secondary(assigned)
         else:
-            assigned = secondary(assigned)
+            mixture, metrics["mixture"] = mixture_search(vectors, settings)
+            assigned = mixture.transform(assigned, name="secondary_cluster")
+        assigned = materialise(assigned, "segmented")
+        if quality:
+            metrics["kmeans_quality"], metrics["secondary_quality"] = (cluster_quality(assigned, c) for c in ("segment", "secondary_cluster"))
+            metrics["adjusted_rand"] = adjusted_rand(assigned, "segment", "secondary_cluster").first()[0]
         pca, assigned = principal_axes(assigned)
         metrics["explained_variance"] = [float(v) for v in pca.explainedVariance]
         names = label_segments(assigned, "segment")

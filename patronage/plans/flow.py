@@ -73,41 +73,48 @@ def snapshot(spark: SparkSession, paths: Paths, name: str) -> DataFrame:
 
 
 def stage_train(spark: SparkSession, paths: Paths, run_id: str, settings: Settings = DEFAULTS, **options: Any) -> S.FittedModels:
-    models, log = S.fit_all(snapshot(spark, paths, "train"), run_id, settings, **options)
+    train = snapshot(spark, paths, "train")
+    models, log = S.fit_all(train, run_id, settings, **options)
+    report = E.vif_report(train, settings)
+    sinks.replace_table(spark.createDataFrame(report, "feature string, vif double, status string").coalesce(1), paths.of("vif_report"))
     runlog.append(spark, paths.of("run_log"), log)
     S.save(models, paths.of("models"))
     return models
 
 
-def stage_segment(spark: SparkSession, paths: Paths, settings: Settings = DEFAULTS) -> dict[str, Any]:
-    assignments, profiles, metrics = G.segment_customers(snapshot(spark, paths, "scoring"), settings)
+def stage_segment(spark: SparkSession, paths: Paths, settings: Settings = DEFAULTS, run_id: str = "", secondary: str = "mixture") -> dict[str, Any]:
+    assignments, profiles, metrics = G.segment_customers(snapshot(spark, paths, "scoring"), settings, secondary)
+    told = {f"{n}_{k}": v for n in ("kmeans", "secondary") for k, v in metrics[f"{n}_quality"].items()}
+    runlog.append(spark, paths.of("run_log"), [runlog.record(run_id, "segmentation", secondary, "all", {**told, "k": metrics["k"], "adjusted_rand": metrics["adjusted_rand"]})])
     sinks.replace_table(assignments, paths.of("segments"))
     sinks.replace_table(profiles, paths.of("segment_profiles_base"))
     return metrics
 
 
 def stage_score(spark: SparkSession, paths: Paths, settings: Settings = DEFAULTS, models: S.FittedModels | None = None) -> dict[str, int]:
-    """Score the scoring snapshot, add churn to the segment profiles, publish the serving tables."""
+    """Score and explain the scoring snapshot, add churn to the segment profiles, publish the serving tables at once."""
     models = models or S.load(spark, paths.of("models"))
     scoring = snapshot(spark, paths, "scoring")
-    sinks.replace_table(S.score_snapshot(scoring, models, settings).drop(*settings.feature_columns), paths.of("scores"))
+    plain = materialise(S.score_snapshot(scoring, models, settings).drop(*settings.feature_columns), "plain-scores")
+    sinks.replace_table(S.explained(scoring, plain, models, settings), paths.of("scores"))
     scores = spark.read.parquet(paths.of("scores"))
     segments = spark.read.parquet(paths.of("segments"))
     profiles = G.add_churn_to_profile(
         spark.read.parquet(paths.of("segment_profiles_base")).withColumnRenamed("segment", "kmeans_segment"), segments,
         scores.select("customer_id", "churn_probability", "risk_tier"), "kmeans_segment")
     predictions = scores.select("customer_id", "churn_probability", "churn_predicted", "risk_tier", "predicted_clv_90d", "at_risk_value",
-                                "anomaly_score", "is_anomaly", "recommended_categories", "model_version", "scored_at")
+                                "anomaly_score", "is_anomaly", "recommended_categories", "shap_json", "top_reasons", "model_version", "scored_at")
     return sinks.replace_all({
-        "published/customers": sinks.publish_customers(scoring, settings.feature_columns),
-        "published/transactions": sinks.publish_lines(clean_lines(spark, paths), scoring),
-        "published/predictions": predictions,
-        "published/segments": segments,
-        "published/segment_profiles": profiles,
-    }, paths.root.rstrip("/"))
+        "customers": sinks.publish_customers(scoring, settings.feature_columns),
+        "transactions": sinks.publish_lines(clean_lines(spark, paths), scoring),
+        "predictions": predictions,
+        "segments": segments,
+        "segment_profiles": profiles,
+    }, paths.of("published"))
 
 
-def run(spark: SparkSession, frames: Sequence[DataFrame], root: str, run_id: str, settings: Settings = DEFAULTS, **options: Any) -> dict[str, Any]:
+def run(spark: SparkSession, frames: Sequence[DataFrame], root: str, run_id: str, settings: Settings = DEFAULTS, secondary: str = "mixture",
+        **options: Any) -> dict[str, Any]:
     """All stages in order. Each stage's intermediate tables go at its end."""
     paths = Paths(root)
     with Scratch():
@@ -119,7 +126,7 @@ def run(spark: SparkSession, frames: Sequence[DataFrame], root: str, run_id: str
         stage_train(spark, paths, run_id, settings, **options)
         models = S.load(spark, paths.of("models"))
     with Scratch():
-        segmentation = stage_segment(spark, paths, settings)
+        segmentation = stage_segment(spark, paths, settings, run_id, secondary)
         counts = stage_score(spark, paths, settings, models)
     return {"cleaning": report, "features": checks, "segmentation": segmentation, "published": counts}
 

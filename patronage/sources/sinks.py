@@ -1,6 +1,8 @@
 """Table sinks: partitioned Parquet, CSV export, reload, upsert, publish projections, parameterised reads."""
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -8,14 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PUBLISHED_LINE_COLUMNS = [
-    "invoice", "stock_code", "description", "category", "quantity", "invoice_date", "unit_price", "line_total",
-    "is_return", "customer_id", "country",
-]
-PUBLISHED_CUSTOMER_COLUMNS = [
-    "customer_id", "country", "first_purchase", "last_purchase", "recency_days", "frequency", "total_spend",
-    "historical_clv", "engagement_score",
-]
+from patronage.fixed_values import PUBLISHED_CUSTOMER_COLUMNS, PUBLISHED_LINE_COLUMNS
 
 
 # ---------------------------------------------------------------- cleaned lines and snapshots
@@ -65,9 +60,52 @@ def replace_table(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
-def replace_all(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
-    """Reload several tables, in the given order (parents first)."""
-    return {name: replace_table(df, f"{folder}/{name}") for name, df in tables.items()}
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def replace_all(tables: Mapping[str, DataFrame], folder: str, keep: int = 2) -> dict[str, int]:
+    """Reload several tables at once: all or none of them change for readers. Returns the row counts.
+
+    Tables go to a version folder of their own; a manifest that names it is written last, and moved into place in one
+    step. Readers take the newest manifest, so a failure in between leaves the old version whole. Of the versions
+    before, ``keep`` - 1 stay for readers that already hold their file lists.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fs, path = _files(spark, folder)
+    past = _manifests(spark, folder)
+    number, version = (past[-1][0] + 1 if past else 1), f"versions/{uuid.uuid4().hex}"
+    counts = {name: replace_table(df, f"{folder}/{version}/{name}") for name, df in tables.items()}
+    text = json.dumps({"version": version, "tables": counts})
+    draft, final = path(f"{folder}/manifests/.draft-{uuid.uuid4().hex}"), path(f"{folder}/manifests/{number:012d}.json")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, final):
+        raise FileExistsError(f"another reload published version {number} first")
+    for old_number, old in past[:len(past) + 1 - keep]:
+        fs.delete(path(f"{folder}/{old['version']}"), True)
+        fs.delete(path(f"{folder}/manifests/{old_number:012d}.json"), False)
+    return counts
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[tuple[int, dict[str, Any]]]:
+    """(number, manifest) of the published versions that are kept, oldest first."""
+    fs, path = _files(spark, folder)
+    where = path(f"{folder}/manifests")
+    if not fs.exists(where):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.getPath().getName().endswith(".json"))
+    texts = {r["name"].rsplit("/", 1)[1]: r["value"] for r in spark.read.text([f"{folder}/manifests/{n}" for n in names], wholetext=True)
+             .select(F.input_file_name().alias("name"), "value").collect()} if names else {}
+    return [(int(n[:-5]), json.loads(texts[n])) for n in names]
+
+
+def read_published(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    """Tables of the newest published version; all of them of the same one."""
+    version = _manifests(spark, folder)[-1][1]["version"]
+    return [spark.read.parquet(f"{folder}/{version}/{name}") for name in names]
 
 
 def replace_jdbc_table(df: DataFrame, url: str, name: str, partitions: int = 8,

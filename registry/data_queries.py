@@ -119,8 +119,8 @@ def _(ctx):
               "lines": sinks.publish_lines(ctx.clean, ctx.scoring)}
     for _again in range(2):  # reloading twice must not add rows
         sinks.replace_all(tables, path)
-    parts = [ctx.spark.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows")
-             for t in tables]
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows")
+             for t, df in zip(tables, sinks.read_published(ctx.spark, path, *tables))]
     return parts[0].unionByName(parts[1])
 
 

@@ -11,6 +11,8 @@ from patronage.functions import ordering as O
 from patronage.operators import clean as C
 from patronage.operators import encode as E
 from patronage.operators import evaluate as M
+from patronage.operators import explain as EX
+from patronage.operators import explain_models as XM
 from patronage.operators import features as X
 from patronage.operators.validate import split_records
 from patronage.plans import flow, reports
@@ -46,9 +48,9 @@ def test_flow_writes_whole_tables(spark, built):
     assert report["rows_in"] - report["rows_out"] > 0 and report["n_entry_errors"] > 0
     scoring = flow.snapshot(spark, paths, "scoring")
     n = scoring.count()
-    published = {k.split("/")[1]: v for k, v in result["published"].items()}
+    published = result["published"]
     assert published["customers"] == published["predictions"] == published["segments"] == n
-    read = lambda t: spark.read.parquet(paths.of(f"published/{t}"))
+    read = lambda t: sinks.read_published(spark, paths.of("published"), t)[0]
     p = read("predictions")
     assert p.select("customer_id").distinct().count() == n
     assert p.where("churn_probability < 0 OR churn_probability > 1 OR predicted_clv_90d < 0 OR risk_tier NOT IN ('High', 'Medium', 'Low')").isEmpty()
@@ -62,11 +64,61 @@ def test_flow_writes_whole_tables(spark, built):
     assert [r["rank"] for r in table] == [1, 2]
 
 
+def test_published_predictions_carry_reasons(spark, built):
+    """Contributions of every customer add up to the score less the mean score of the background rows walked from."""
+    paths, _ = built
+    p, = sinks.read_published(spark, paths.of("published"), "predictions")
+    models = S.load(spark, paths.of("models"))
+    d = len(models.encoder.columns)
+    got = p.select("customer_id", "churn_probability", "top_reasons", F.map_values(F.from_json("shap_json", "map<string,double>")).alias("c"))
+    rows = got.select("*", F.aggregate("c", F.lit(0.0), lambda a, b: a + b).alias("sum"), F.size("c").alias("n")).collect()
+    assert all(r["n"] == d and r["top_reasons"].endswith(".") for r in rows)
+    scoring = models.encoder.transform(flow.snapshot(spark, paths, "scoring"), ["customer_id"], QUICK)
+    plain = XM.permutation_shapley(scoring, models.background, models.churn, models.encoder.columns, seed=QUICK.seed).groupBy("customer_id").agg(F.sum("contribution").alias("s"))
+    want = {r["customer_id"]: r["s"] for r in plain.collect()}
+    assert all(r["sum"] == pytest.approx(want[r["customer_id"]], abs=2e-5 * d) for r in rows)
+    assert reports_top(spark, p)
+
+
+def reports_top(spark, predictions) -> bool:
+    top = EX.top_contributions(predictions, 3)
+    return top.groupBy("customer_id").count().where("count <> 3").isEmpty()
+
+
+def test_reports_of_the_run(spark, built):
+    paths, result = built
+    vif = spark.read.parquet(paths.of("vif_report")).collect()
+    assert {r["status"] for r in vif} <= {"kept", "dropped"} and all(r["vif"] <= 10 or r["feature"] in QUICK.vif_protected for r in vif if r["status"] == "kept")
+    log = runlog.read(spark, paths.of("run_log"), "run-1")
+    anomaly = log.where("task = 'anomaly'").select(*[runlog.metric(m).alias(m) for m in ("flag_rate_train", "flag_rate_val", "flag_rate_test", "spearman_vs_mahalanobis")]).first()
+    assert 0 < anomaly["flag_rate_train"] < 0.05 and -1 <= anomaly["spearman_vs_mahalanobis"] <= 1
+    seg = log.where("task = 'segmentation'").select(runlog.metric("kmeans_silhouette").alias("s"), runlog.metric("kmeans_davies_bouldin").alias("d"), runlog.metric("adjusted_rand").alias("a")).first()
+    assert -1 <= seg["s"] <= 1 and seg["d"] > 0 and -1 <= seg["a"] <= 1
+    assert result["segmentation"]["secondary_algorithm"] == "mixture"
+
+
+def test_a_failed_reload_leaves_the_old_version_whole(spark, tmp_path):
+    folder = str(tmp_path / "published")
+    one = {"a": spark.range(3), "b": spark.range(4)}
+    assert sinks.replace_all(one, folder) == {"a": 3, "b": 4}
+    broken = spark.range(5).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.replace_all({"a": spark.range(30), "b": broken}, folder)
+    assert [t.count() for t in sinks.read_published(spark, folder, "a", "b")] == [3, 4]
+    held = sinks.read_published(spark, folder, "a")[0]
+    for n in (10, 11, 12):
+        sinks.replace_all({"a": spark.range(n), "b": spark.range(n)}, folder)
+        assert [t.count() for t in sinks.read_published(spark, folder, "a", "b")] == [n, n]
+        if n == 10:
+            assert held.count() == 3  # a reader of the version before goes on
+    assert len(list((tmp_path / "published" / "manifests").glob("*.json"))) == 2
+
+
 def test_saved_models_score_the_same(spark, built):
     paths, _ = built
     scoring = flow.snapshot(spark, paths, "scoring")
     again = S.score(scoring, S.load(spark, paths.of("models")), QUICK).select("customer_id", F.round("churn_probability", 9).alias("p"))
-    stored = spark.read.parquet(paths.of("published/predictions")).select("customer_id", F.round("churn_probability", 9).alias("p"))
+    stored = sinks.read_published(spark, paths.of("published"), "predictions")[0].select("customer_id", F.round("churn_probability", 9).alias("p"))
     assert again.exceptAll(stored).isEmpty() and again.count() == stored.count()
 
 
