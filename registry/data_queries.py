@@ -150,6 +150,15 @@ def _(ctx):
     return sinks.publish_customers(ctx.scoring, ctx.settings.feature_columns)
 
 
+@query("s11_features_in_json", f"""
+  SELECT customer_id, country, {r(*[f'coalesce({c}, 0) AS {c}' for c in DEFAULTS.feature_columns])} FROM snap_sc""", "snap_sc")
+def _(ctx):
+    """The published JSON column, read back."""
+    published = sinks.publish_customers(ctx.scoring, ctx.settings.feature_columns)
+    found = F.from_json("features_json", "map<string,double>")
+    return rounded(published.select("customer_id", "country", *[F.coalesce(F.try_element_at(found, F.lit(c)), F.lit(0.0)).alias(c) for c in DEFAULTS.feature_columns]))
+
+
 @query("s12_parameterised_read", f"""
   SELECT country, {n('count(*) AS lines')}, {r('sum(line_total) AS revenue', digits=2)} FROM clean
   WHERE invoice_date >= TIMESTAMP '1999-01-01' AND quantity >= 10 GROUP BY country""", "clean")
@@ -336,14 +345,14 @@ def _(ctx):
 
 @query("v11_quarantine", f"""
   SELECT error, {n('count(*) AS n')} FROM (SELECT unnest(list_filter([
-    CASE WHEN f1 THEN 'recency_days: Input should be greater than or equal to 0' END,
-    CASE WHEN f2 THEN 'frequency: Input should be greater than or equal to 1' END,
-    CASE WHEN f3 THEN 'return_rate: Input should be less than or equal to 1' END,
-    CASE WHEN f5 THEN 'avg_spend: Field required' END,
-    CASE WHEN f6 THEN 'country: String should have at least 1 character' END,
-    CASE WHEN f8 THEN 'category_affinity: each share must be between 0 and 1' END,
+    CASE WHEN f1 THEN 'recency_days is below 0' END,
+    CASE WHEN f2 THEN 'frequency is below 1' END,
+    CASE WHEN f3 THEN 'return_rate is above 1' END,
+    CASE WHEN f5 THEN 'avg_spend is not given' END,
+    CASE WHEN f6 THEN 'country is blank' END,
+    CASE WHEN f8 THEN 'category_affinity holds a share outside 0 to 1' END,
     CASE WHEN f7 AND NOT f8 AND 0.9 + affinity_kitchen_dining + affinity_jewelry_accessories > 1.000001
-         THEN 'category_affinity: shares must sum to at most 1' END], lambda x: x IS NOT NULL)) AS error FROM {SPOIL}) GROUP BY 1""", "feats_tr")
+         THEN 'category_affinity adds up to more than 1' END], lambda x: x IS NOT NULL)) AS error FROM {SPOIL}) GROUP BY 1""", "feats_tr")
 def _(ctx):
     return V.error_summary(_spoiled(ctx))
 

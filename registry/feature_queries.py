@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patronage.config import DEFAULTS
+
 from patronage.fixed_values import BASE_FEATURES
 from patronage.operators import encode as E
 from patronage.operators import features as X
@@ -248,6 +250,21 @@ def _(ctx):
     return rounded(E.model_matrix(ctx.scoring, levels, ctx.settings).select("customer_id", *cols))
 
 
+E05_COLS = list(DEFAULTS.feature_columns)
+
+
+@query("e05_matrix_cells", " UNION ALL ".join(
+    [f"SELECT customer_id, '{c}' AS feature, {r(f'coalesce({c}, 0) AS value')} FROM snap_sc" for c in E05_COLS]
+    + [f"SELECT customer_id, 'country ' || {k} AS feature, {r(f'coalesce(rk = {k}, false)::INT AS value')} FROM snap_sc s LEFT JOIN levels l ON s.country = l.country" for k in range(2, 6)]
+    + [f"SELECT customer_id, 'country other' AS feature, {r('(rk IS NULL)::INT AS value')} FROM snap_sc s LEFT JOIN levels l ON s.country = l.country"]), "snap_sc", "levels")
+def _(ctx):
+    levels = E.country_levels(ctx.train, ctx.settings)
+    names = {c: c for c in E05_COLS} | {f"country_{c}": f"country {i}" for i, c in enumerate(levels[1:-1], 2)} | {"country_Other": "country other"}
+    matrix = E.model_matrix(ctx.scoring, levels, ctx.settings)
+    cells = F.array(*[F.struct(F.lit(shown).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c, shown in names.items()])
+    return rounded(matrix.select("customer_id", F.explode(cells).alias("c")).select("customer_id", "c.feature", "c.value"))
+
+
 VIF_COLS = ["recency_days", "frequency", "total_spend", "avg_basket_size", "return_rate"]
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from patronage.fixed_values import ANOMALY_FEATURES, SEGMENT_FEATURES, SEGMENT_LOG_FEATURES
@@ -21,7 +23,7 @@ from patronage.session import materialise, shared_folder
 from patronage.sources import runlog
 from patronage.streaming import jobs
 from registry.base import query, r, rounded
-from registry.sqlbase import block
+from registry.sqlbase import block, unit_hash
 
 def model_rows(ctx):
     if not hasattr(ctx, "_model_rows"):
@@ -42,6 +44,12 @@ def z_sql(columns, log=()):
     return r(*[f"({v(c)} - avg({v(c)}) OVER ()) / CASE WHEN stddev_pop({v(c)}) OVER () > 0 THEN stddev_pop({v(c)}) OVER () ELSE 1 END AS {c}" for c in columns])
 
 
+def z_plain(columns, log=None):
+    """SQL of standardised columns, unrounded; logarithms as the anomaly scores take them."""
+    v = lambda c: f"ln(1 + greatest({c}, 0))"
+    return [f"({v(c)} - avg({v(c)}) OVER ()) / CASE WHEN stddev_pop({v(c)}) OVER () > 0 THEN stddev_pop({v(c)}) OVER () ELSE 1 END AS {c}" for c in columns]
+
+
 @query("p01_standardised_features", f"SELECT customer_id, {z_sql(ANOMALY_FEATURES)} FROM feats_tr", "feats_tr")
 def _(ctx):
     scaler = G.Standardiser.fit(ctx.train, ANOMALY_FEATURES)
@@ -110,7 +118,8 @@ def _(ctx):
 # ------------------------------------------------------------------ anomalies
 @query("p11_reconstruction_score")
 def _(ctx):
-    return rounded(A.fit_reconstruction(ctx.train, ctx.settings).score(ctx.scoring).select("customer_id", "anomaly_score", "is_anomaly"))
+    train = ctx.train.join(model_rows(ctx)[0].where("split = 'train'").select("customer_id"), "customer_id", "left_semi")
+    return rounded(A.fit_reconstruction(train, ctx.settings).score(ctx.scoring).select("customer_id", "anomaly_score", "is_anomaly"))
 
 
 @query("p12_mahalanobis")
@@ -123,6 +132,12 @@ def _(ctx):
     return rounded(A.fit_isolation(ctx.train).score(ctx.scoring).select("customer_id", "isolation"))
 
 
+@query("p14_anomaly_report")
+def _(ctx):
+    report = next(x["metrics"] for x in fitted(ctx)[1] if x["task"] == "anomaly")
+    return rounded(ctx.spark.createDataFrame([(k, float(v)) for k, v in sorted(report.items())], "figure string, value double"))
+
+
 # ------------------------------------------------------------------ clusters
 @query("g02_g04_g07_g10_segmentation")
 def _(ctx):
@@ -161,6 +176,12 @@ def _(ctx):
     return rounded(N.nearest(v, v, 5, exclude_self=True).select("id", "neighbour", "distance"))
 
 
+@query("m12_approximate_neighbours")
+def _(ctx):
+    v = _vectors(ctx)
+    return rounded(N.approximate_nearest(v, v, 5, exclude_self=True, bucket=128, tables=16).select("id", "neighbour", "distance"))
+
+
 block("near", f"""SELECT a.vec_id AS id, b.label AS label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d
   {PAIRS} WHERE a.vec_id <> b.vec_id
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), b.vec_id) <= 15""")
@@ -173,11 +194,26 @@ def _(ctx):
     return rounded(N.vote(N.nearest(v, v, 15, exclude_self=True), v, "distance"))
 
 
-@query("m03_oversampling")
+block("z_tr", f"SELECT customer_id AS id, [{', '.join(z.rsplit(' AS ', 1)[0] for z in z_plain(ANOMALY_FEATURES))}] AS x, churn FROM feats_tr JOIN labels_tr USING (customer_id)", "feats_tr", "labels_tr")
+block("minor_tr", """
+  SELECT id, x, (SELECT max(n) - min(n) FROM (SELECT count(*) AS n FROM z_tr GROUP BY churn)) / count(*) OVER () AS need, least(5, count(*) OVER () - 1) AS width
+  FROM z_tr WHERE churn = (SELECT churn FROM z_tr GROUP BY churn ORDER BY count(*), churn LIMIT 1)""", "z_tr")
+
+
+@query("m03_oversampling", f"""
+  SELECT * FROM (WITH pairs AS (
+    SELECT a.id, b.x AS y, row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)), b.id) AS rank
+    FROM minor_tr a JOIN minor_tr b ON a.id <> b.id),
+  drawn AS (
+    SELECT id, x, width, unnest(range(1, (floor(need) + CASE WHEN {unit_hash('id', 'extra-42')} < need - floor(need) THEN 1 ELSE 0 END)::BIGINT + 1)) AS copy FROM minor_tr),
+  picked AS (SELECT *, floor({unit_hash("(id || '#' || copy)", 'pick-42')} * width) + 1 AS pick, {unit_hash("(id || '#' || copy)", 'gap-42')} AS gap FROM drawn)
+  SELECT d.id, d.copy::BIGINT AS copy, {r(*[f'd.x[{i}] + gap * (y[{i}] - d.x[{i}]) AS x{i}' for i in range(1, 1 + len(ANOMALY_FEATURES))], digits=3)}
+  FROM picked d JOIN pairs p ON d.id = p.id AND p.rank = d.pick)""", "minor_tr")
 def _(ctx):
     rows = A.fit_reconstruction(ctx.train, ctx.settings)
     x = F.array(*rows.scaler.values())
-    return N.oversample(ctx.train.select(F.col("customer_id").alias("id"), x.alias("x"), F.col("churn").alias("label")), ctx.settings)
+    made = N.oversample(ctx.train.select(F.col("customer_id").alias("id"), x.alias("x"), F.col("churn").alias("label")), ctx.settings)
+    return rounded(made.select("id", "copy", *[F.col("x")[i].alias(f"x{i + 1}") for i in range(len(ANOMALY_FEATURES))]), 3)
 
 
 @query("g05_density_clusters")
@@ -210,16 +246,56 @@ def _(ctx):
     return rounded(XM.local_surrogate(wanted, train_base, models.churn, encoder.columns, ctx.settings))
 
 
+def contributions(ctx):
+    """Contributions of every customer's features to the churn score."""
+    if not hasattr(ctx, "_contributions"):
+        models = fitted(ctx)[0]
+        rows = models.encoder.transform(ctx.scoring, ["customer_id"], ctx.settings)
+        ctx._contributions = materialise(XM.batch_contributions(rows, models.background, models.churn, models.encoder.columns, seed=ctx.settings.seed), "contributions")
+    return ctx._contributions
+
+
+@query("x01_contributions_of_all")
+def _(ctx):
+    return rounded(X.long_form(contributions(ctx)))
+
+
 @query("x05_partial_dependence")
 def _(ctx):
+    """Curves of the three features that matter most."""
     rows, encoder = model_rows(ctx)
+    strongest = X.global_importance(contributions(ctx)).orderBy(F.desc("mean_abs_contribution"), "feature").limit(3).collect()
     out = None
-    for feature in encoder.columns[:3]:
+    for feature in (r["feature"] for r in strongest):
         curve = XM.partial_dependence(rows, fitted(ctx)[0].churn, encoder.columns, feature).withColumn("feature", F.lit(feature))
         out = curve if out is None else out.unionByName(curve)
     return rounded(out)
 
 
+class LinearScore:
+    """A linear score of the feature vector, with the interface of a model."""
+
+    def __init__(self, weights):
+        self.weights = weights
+
+    def transform(self, df):
+        terms = [vector_to_array("features")[i] * F.lit(float(w)) for i, w in enumerate(self.weights)]
+        return df.withColumn("prediction", sum(terms[1:], terms[0]))
+
+
+LINEAR = {"recency_days": 0.5, "frequency": -2.0, "return_rate": 30.0}
+
+
+@query("x05_dependence_of_a_linear_score", f"""
+  SELECT * FROM (WITH ends AS (SELECT quantile_cont(recency_days, 0.05) AS lo, quantile_cont(recency_days, 0.95) AS hi FROM snap_tr),
+  rest AS (SELECT {' + '.join(f'avg({c}) * {w}' for c, w in LINEAR.items() if c != 'recency_days')} AS rest FROM snap_tr)
+  SELECT 'recency_days' AS feature, {r('lo + (hi - lo) * i / 19.0 AS grid_value', '(lo + (hi - lo) * i / 19.0) * 0.5 + rest AS mean_score')}
+  FROM ends, rest, range(20) t(i))""", "snap_tr")
+def _(ctx):
+    rows = VectorAssembler(inputCols=list(LINEAR), outputCol="features").transform(ctx.train.select(*[F.col(c).cast("double").alias(c) for c in LINEAR]))
+    return rounded(XM.partial_dependence(rows, LinearScore(list(LINEAR.values())), list(LINEAR), "recency_days"))
+
+
 # ------------------------------------------------------------------ streams over files written from the given tables
 def _scratch(ctx, name):
     return f"{shared_folder(ctx.spark).rstrip('/')}/patronage/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """Splits, metrics, segmentation and explanation operators with SQL checks."""
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS
@@ -178,6 +179,20 @@ def _(ctx):
     return rounded(G.davies_bouldin(ctx.scored, "segment_id", DIMS))
 
 
+block("groups_sc", "SELECT segment_id AS c, count(*)::DOUBLE AS n, " + ", ".join(f"sum({d}) AS s_{d}" for d in DIMS)
+      + ", sum(" + " + ".join(f"{d} ** 2" for d in DIMS) + ") AS q FROM scored_sc GROUP BY 1", "scored_sc")
+
+
+@query("g03_silhouette_of_labels", f"""
+  SELECT {r('avg(CASE WHEN greatest(own, other) > 0 THEN (other - own) / greatest(own, other) ELSE 0 END) AS silhouette')} FROM (
+    SELECT customer_id, max(away * n / greatest(n - 1, 1)) FILTER (c = segment_id) AS own, min(away) FILTER (c <> segment_id) AS other FROM (
+      SELECT s.customer_id, s.segment_id, g.c, g.n, {' + '.join(f's.{d} ** 2' for d in DIMS)} + g.q / g.n - 2 * ({' + '.join(f's.{d} * g.s_{d}' for d in DIMS)}) / g.n AS away
+      FROM scored_sc s, groups_sc g) GROUP BY customer_id)""", "groups_sc")
+def _(ctx):
+    rows = VectorAssembler(inputCols=DIMS, outputCol="z").transform(ctx.scored.select("segment_id", *[F.col(d).cast("double").alias(d) for d in DIMS]))
+    return rounded(ctx.spark.createDataFrame([(G.silhouette(rows, "segment_id"),)], "silhouette double"))
+
+
 block("cells", "SELECT segment_id AS a, (customer_id % 4)::INT AS b, count(*)::DOUBLE AS n FROM scored_sc GROUP BY ALL", "scored_sc")
 
 

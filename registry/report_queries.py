@@ -97,9 +97,11 @@ def _(ctx):
     return rounded(Q.drop_partial_last_month(Q.monthly_revenue(_usable(ctx), "country"), "country"), 2)
 
 
+block("monthly_customer", "SELECT customer_id, date_trunc('month', invoice_date)::TIMESTAMP AS month, sum(line_total) AS revenue, max(invoice_date) AS last_date FROM usable GROUP BY ALL", "usable")
 block("series", """
-  SELECT 'long ' || country AS series, month, revenue FROM whole_months UNION ALL
-  SELECT 'short ' || country, month, revenue FROM whole_months WHERE month < TIMESTAMP '1995-11-01'""", "whole_months")
+  SELECT 'country ' || country AS series, month, revenue FROM whole_months UNION ALL
+  SELECT 'customer ' || customer_id, month, revenue FROM monthly_customer c WHERE NOT (month = (SELECT max(month) FROM monthly_customer d WHERE d.customer_id = c.customer_id)
+    AND last_date::DATE < last_day(month) - 2)""", "whole_months", "monthly_customer")
 block("numbered", "SELECT *, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS x, count(*) OVER (PARTITION BY series) AS n FROM series", "series")
 block("fitted", """
   SELECT series, max(n) AS n, max(month) AS last, regr_slope(revenue, x) AS slope, regr_intercept(revenue, x) AS icpt, arg_max(revenue, month) AS latest,
@@ -112,11 +114,10 @@ block("fitted", """
   FROM fitted f CROSS JOIN range(14) t(i) LEFT JOIN numbered s ON s.series = f.series AND s.x = f.n - 12 + i % 12
 """, "fitted")
 def _(ctx):
-    m = Q.drop_partial_last_month(Q.monthly_revenue(_usable(ctx), "country"), "country")
-    name = lambda p: F.concat(F.lit(p), F.col("country")).alias("series")
-    long = m.select(name("long "), "month", "revenue")
-    short = m.where(F.col("month") < F.lit("1995-11-01").cast("timestamp_ntz")).select(name("short "), "month", "revenue")
-    return rounded(Q.forecast(long.unionByName(short), 14, "series"), 2)
+    def series(by: str):
+        whole = Q.drop_partial_last_month(Q.monthly_revenue(_usable(ctx), by), by)
+        return whole.select(F.concat_ws(" ", F.lit(by.removesuffix("_id")), by).alias("series"), "month", "revenue")
+    return rounded(Q.forecast(series("country").unionByName(series("customer_id")), 14, "series"), 2)
 
 
 @query("q11_flag_rates", f"SELECT {r(*[f'100 * avg({c}::INT) AS {c}' for c in Q.FLAGS])} FROM clean", "clean")

@@ -94,16 +94,16 @@ def test_description_vote_ties_go_to_the_alphabet(spark):
 def test_validation_fails_loudly(spark):
     good = raw(spark, [("1", "A", "X", 1, "2011-01-01", 1.0, 1, "UK")])
     assert V.validate_transactions(good)["rows"] == 1
-    with pytest.raises(V.ValidationError, match="missing columns"):
+    with pytest.raises(V.ValidationError, match="no column unit_price"):
         V.validate_transactions(good.drop("unit_price"))
-    with pytest.raises(V.ValidationError, match="date range"):
+    with pytest.raises(V.ValidationError, match="date_min is 1999"):
         V.validate_transactions(good.withColumn("invoice_date", F.lit("1999-01-01").cast("timestamp_ntz")))
-    with pytest.raises(V.ValidationError, match="null rate"):
+    with pytest.raises(V.ValidationError, match="null_rate_customer_id is 1 "):
         V.validate_transactions(good.withColumn("customer_id", F.lit(None).cast("long")))
-    with pytest.raises(V.ValidationError, match="empty"):
+    with pytest.raises(V.ValidationError, match="rows is 0"):
         V.validate_transactions(good.limit(0))
     both = good.withColumn("invoice_date", F.lit("x")).withColumn("unit_price", F.lit(0.0))
-    with pytest.raises(V.ValidationError, match="not a timestamp.*price rate"):
+    with pytest.raises(V.ValidationError, match="invoice_date is of kind date.*nonpositive_price_rate is 1"):
         V.validate_transactions(both.withColumn("invoice_date", F.lit("2011-01-01").cast("date")),
                                 DEFAULTS.with_(expected_date_min=day("2000-01-01").date(), expected_date_max=day("2020-01-01").date()))
 
