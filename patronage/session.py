@@ -54,6 +54,14 @@ class Scratch:
         self.outer, Scratch.current = Scratch.current, self
         return self
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table that stays when this piece of work ends."""
+        Scratch.current = self.outer
+        try:
+            return materialise(df, name)
+        finally:
+            Scratch.current = self
+
     def __exit__(self, *_: object) -> None:
         Scratch.current = self.outer
         for spark, path in self.paths:
