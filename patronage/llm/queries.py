@@ -1,17 +1,28 @@
 """Registered queries of the training-data operators and their SQL."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from patronage.llm import decontaminate, exact_dedup, html_text, language, manifest, mixing, packing, pii, search, secrets, simhash, substring_dedup, toxicity
+from patronage.session import Scratch
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with its result written and all its intermediate tables deleted; for results that are small against them."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        with Scratch() as scratch:
+            return scratch.keep(query(spark, folder), query.__name__)
+    return run
+
+
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -66,6 +77,7 @@ def op6_pack_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
 
+@tidy
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -83,6 +95,7 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(table(spark, folder, "pages"))
 
 
+@tidy
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -95,6 +108,7 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@tidy
 def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.audit(table(spark, folder, "documents"))
 
