@@ -4,11 +4,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.fixed_values import COLUMN_ALIASES
+from patronage.session import materialise
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
@@ -77,3 +78,20 @@ def land(df: DataFrame, path: str) -> None:
     """
     keys = ["invoice_date", "invoice", "stock_code"]
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+# ---------------------------------------------------------------- rows of files
+def with_file_rows(read: DataFrame, header: bool = True) -> DataFrame:
+    """Rows of a text format (CSV, JSON lines) with ``file_name`` and ``file_row``, the number of their line in the file.
+
+    Files are read in blocks by many tasks. Rows are numbered inside a task as they are written, and a block starts
+    after the rows of the blocks before it in its file; with a header the first row is number 2. Records that span
+    lines (``multiLine``) count as one.
+    """
+    at = [F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
+    placed = materialise(read.select("*", *at).withColumn("_at", F.monotonically_increasing_id()), "file-rows")
+    blocks = placed.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_rows")  # one row a block
+    shift = blocks.select(F.col("_path").alias("_k_path"), F.col("_block").alias("_k_block"), (before - F.col("_first") + (2 if header else 1)).alias("_shift"))
+    joined = placed.join(shift, (F.col("_path") == F.col("_k_path")) & (F.col("_block") == F.col("_k_block")))
+    return joined.select(*read.columns, "file_name", (F.col("_at") + F.col("_shift")).alias("file_row"))

@@ -9,7 +9,7 @@ from patronage.config import DEFAULTS
 from patronage.functions.expressions import category_of, hash_unit, tidy_text
 from patronage.operators import clean as C
 from patronage.operators import validate as V
-from patronage.session import shared_folder
+from patronage.session import materialise, shared_folder
 from patronage.sources import invoices, runlog, sinks
 from registry.base import n, query, r, rounded
 from registry.sqlbase import TIDY, category_case, unit_hash
@@ -363,3 +363,20 @@ def _(ctx):
        "feats_tr")
 def _(ctx):
     return V.batch_report(_spoiled(ctx))
+
+
+@query("v12_error_rows", f"""
+  SELECT file_row::BIGINT AS file_row, customer_id, n_errors::BIGINT AS n_errors FROM (
+    SELECT customer_id, row_number() OVER (ORDER BY customer_id) + 1 AS file_row,
+           f1::INT + f2::INT + f3::INT + f5::INT + f6::INT + (f8 OR (f7 AND NOT f8 AND 0.9 + rest > 1.000001))::INT AS n_errors
+    FROM (SELECT *, affinity_kitchen_dining + affinity_jewelry_accessories AS rest FROM {{SPOIL}}))
+  WHERE n_errors > 0""".replace("{SPOIL}", SPOIL), "feats_tr")
+def _(ctx):
+    """Lines of a customer file that are rejected, by their number in the file."""
+    path = scratch(ctx, "records")
+    plain = [f.name for f in _spoiled(ctx).schema if f.dataType.simpleString() in ("string", "double", "bigint", "int")]
+    _spoiled(ctx).select(*plain).coalesce(1).sortWithinPartitions("customer_id").write.option("header", True).csv(path)
+    read = ctx.spark.read.option("header", True).csv(path)
+    rows = materialise(invoices.with_file_rows(read), "numbered-records")
+    ids = rows.select(F.col("file_row").alias("_row"), F.col("customer_id").cast("long").alias("customer_id"))
+    return V.error_rows(rows).join(ids, F.col("file_row") == F.col("_row")).select("file_row", "customer_id", F.size("errors").cast("long").alias("n_errors"))

@@ -8,6 +8,7 @@ from patronage.config import DEFAULTS
 from patronage.functions.expressions import category_of, tidy_text
 from patronage.operators import clean as C
 from patronage.operators import validate as V
+from patronage.sources import invoices as I
 from patronage.sources import invoices
 
 FILLER = [(f"9{i}", "F", "FILLER ITEM", 1 + i % 5, "2011-02-01", 2.0, 100 + i, "UK") for i in range(80)]
@@ -122,3 +123,20 @@ def test_record_rules(spark):
     assert {r["customer_id"]: len(r["errors"]) for r in rejects.collect()} == {i: 1 for i in range(2, 11)}
     assert V.batch_report(df).first().asDict() == {"n_rows": 10, "n_scored": 1, "n_failed": 9}
     assert V.missing_record_columns(df.drop("country", "frequency")) == ["country", "frequency"]
+
+
+def test_rows_of_files_have_their_line_numbers(spark, tmp_path):
+    """Files read in many blocks: each row gets the number of its line, header counted."""
+    want = set()
+    for f in range(3):
+        lines = [f"{f}-{i},{'x' * (i % 37)}" for i in range(400 + 50 * f)]
+        (tmp_path / f"part{f}.csv").write_text("a,b\n" + "\n".join(lines) + "\n")
+        want |= {(f"part{f}.csv", i + 2, line.split(",")[0]) for i, line in enumerate(lines)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = I.with_file_rows(spark.read.option("header", True).csv(str(tmp_path)))
+        assert got.select("file_name", "file_row", "a").count() == len(want)
+        assert {tuple(r) for r in got.select("file_name", "file_row", "a").collect()} == want
+        assert spark.read.option("header", True).csv(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
