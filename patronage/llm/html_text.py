@@ -462,7 +462,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = ROUN
     rows = pages.select("page_id", "html").where(F.col("html").isNotNull())
     n = rows.count()
     share = min(1.0, sample_pages / n) if n else 0.0
-    mark = F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(1 << 40))
+    mark = F.pmod(F.xxhash64("page_id", "html", F.lit(seed)), F.lit(1 << 40))  # with the text: pages without id are drawn one by one
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Language, personal data, secrets, decontamination, packing and page text, against brute force, round trips and held-out accuracy."""
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import time
@@ -346,6 +347,41 @@ def test_packing_of_null_ids_repeats_and_nothing(spark):
 
 # --- page text
 
+def test_decoding_is_the_best_of_all_assignments():
+    """Wrapper, content or cut for every node: no allowed assignment scores higher than the decoded one."""
+    rng = random.Random(12)
+
+    def html(left: int) -> tuple[str, int]:
+        out, used = "", 0
+        while used < left and rng.random() < 0.75:
+            inner, n = html(left - used - 1)
+            tag = rng.choice(["div", "p", "section", "ul", "nav", "script"])
+            out += f"<{tag}>{rng.choice(['', 'some words', 'x'])}{inner}</{tag}>"
+            used += n + 1
+        return out, used
+
+    tried = 0
+    for _ in range(60):
+        page = html_text.parsed("<body>" + html(6)[0] + "text</body>")
+        n = len(page.tag)
+        if n > 9:
+            continue
+        tried += 1
+        p = np.array([rng.random() for _ in range(n)])
+        own = np.zeros(n)
+        for block, text in page.runs:
+            own[block] += len(text)
+        weight, clipped = 0.2 + np.log1p(own), np.clip(p, 1e-4, 1 - 1e-4)
+        score = lambda kept: sum(w * np.log(q if k else 1 - q) for w, q, k in zip(weight, clipped, kept))
+        best = -np.inf
+        for states in itertools.product((0, 1, 2), repeat=n):
+            fine = all((states[page.parent[i]], s) in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)) for i, s in enumerate(states) if i)
+            if fine and all(states[i] == 2 for i in range(1, n) if page.tag[i] in html_text.NEVER):
+                best = max(best, score([s == 1 for s in states]))
+        assert score(html_text.decoded(page, p)) == pytest.approx(best, abs=1e-9)
+    assert tried > 20
+
+
 def test_trees_are_read_back_exactly(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
