@@ -327,19 +327,19 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS, most_c
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     known = known.groupBy("_id").agg(F.min("toxic").alias("toxic"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    drawn = rows.join(known, F.col("doc_id") == F.col("_id")).select(
-        "text", "toxic", F.length("text").alias("_chars"), F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(DRAWS)).alias("_draw"))
+    marked = rows.withColumn("_draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(DRAWS)))
+    drawn = marked.select("doc_id", F.length("text").alias("_chars"), "_draw").join(known, F.col("doc_id") == F.col("_id"))  # texts stay where they are
     sizes = {r["toxic"]: r["n"] for r in drawn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked: list[int] = []
+    picked: dict[int, int] = {}
     for y, n in sizes.items():  # a label's rows in the order of their draws, as far as the budget goes
         few = drawn.where((F.col("toxic") == y) & (F.col("_draw") < int(DRAWS * min(1.0, 1.3 * docs_per_label / n)))).select("_draw", "_chars")
         left = most_chars // 2
         for r in few.orderBy("_draw").limit(docs_per_label).collect():
             if r["_chars"] <= left:
-                picked.append(r["_draw"])
+                picked[r["_draw"]] = y
                 left -= r["_chars"]
-    sample = drawn.where(F.col("_draw").isin(picked)).orderBy("_draw", "text").select("text", "toxic").collect() if picked else []
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample], seed=seed)
+    sample = marked.where(F.col("_draw").isin(list(picked))).select("text", "_draw").dropDuplicates().orderBy("_draw", "text").collect() if picked else []
+    return fit([r["text"] for r in sample], [picked[r["_draw"]] for r in sample], seed=seed)
 
 
 def scores_of(texts: list[str | None], model: ToxicityModel) -> list[float]:
