@@ -9,7 +9,7 @@ That order needs no sort of a source: hash buckets are summed, a running sum ove
 source finds the bucket in which the missing words end, and only that bucket is put in order.
 
 Defined results: null text has size 0; a null source is a source of its own, the last; sources without
-words get target 0; rows that repeat a doc_id are dealt with row by row; an empty table gives no rows;
+words get target 0; rows that repeat a doc_id share a draw, rows without one draw by their text; an empty table gives no rows;
 further columns stay as they are.
 """
 from __future__ import annotations
@@ -31,9 +31,10 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw_of(doc_id: Column, seed: str) -> Column:
-    """Whole number below 2^52 from the id and the seed."""
-    mark = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def draw_of(doc_id: Column, text: Column, seed: str) -> Column:
+    """Whole number below 2^52 from the id and the seed; rows without id draw by their text."""
+    named = F.when(doc_id.isNotNull(), doc_id.cast("string")).otherwise(F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    mark = F.md5(F.concat(F.lit(seed + ":"), named))
     return F.conv(F.substring(mark, 1, 13), 16, 10).cast("long")
 
 
@@ -97,7 +98,7 @@ def bucket_of(draw: Column) -> Column:
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       words_in(F.col("text")).alias("size"), draw_of(F.col("doc_id"), seed).alias("draw"))
+                       words_in(F.col("text")).alias("size"), draw_of(F.col("doc_id"), F.col("text"), seed).alias("draw"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -123,16 +124,17 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
     """The mix itself: every document as often as the plan takes it, all columns as given.
 
     Texts aren't shuffled: the plan has a row per source, and only documents of the bucket in which a
-    source's missing words end are looked up by id.
+    source's missing words end are looked up by their draw.
     """
     sizes = materialise(sized(docs, seed), "mix-sizes")
     plan = mixing_plan(sizes, weights, max_epochs)
     ends = _planned(sizes, plan).where(F.col("bucket") == F.col("end_bucket"))
-    ends = materialise(ends.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_s")).agg(F.max("extra").alias("_mix_more")), "mix-ends")
+    ends = materialise(ends.groupBy(F.col("draw").alias("_mix_draw"), F.col("source").alias("_mix_s")).agg(F.max("extra").alias("_mix_more")), "mix-ends")
     p = plan.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("end_bucket").alias("_mix_end"))
-    bucket = bucket_of(draw_of(F.col("doc_id"), seed))
+    draw = draw_of(F.col("doc_id").cast("long"), F.col("text"), seed)
+    bucket = bucket_of(draw)
     out = docs.join(p, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
-    out = out.join(ends, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left")
+    out = out.join(ends, (draw == F.col("_mix_draw")) & F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left")
     extra = F.when(bucket == F.col("_mix_end"), F.coalesce("_mix_more", F.lit(0))).otherwise((bucket < F.col("_mix_end")).cast("long"))
     copies = F.col("_mix_whole") + extra
     return out.where(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)

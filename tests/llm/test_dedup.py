@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from patronage.llm import exact_dedup, mixing, simhash, substring_dedup
 from patronage.llm.queries import OP5_SQL, OP7_SQL
@@ -355,6 +356,21 @@ def test_mixing_comes_near_its_targets(spark, sizes):
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in out if r["copies"]})
 
 
+def test_rows_without_ids_are_taken_one_by_one(spark):
+    rows = [(None if i % 2 else i, f"w{i} " * (i % 7 + 1), None, ("a", "b")[i % 3 == 0], *[None] * 9) for i in range(300)]
+    got = mixing.mixed(documents(spark, rows).repartition(4))
+    sql = Counter(tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken", "copies").collect())
+    assert sql == duck_over(rows, OP5_SQL)
+    target = {(r["target"], r["source_size"]) for r in got.collect()}
+    taken = {t: sum(r["taken"] for r in got.where(F.col("target") == t[0]).collect()) for t in target}
+    assert all(abs(v - t[0]) <= 7 for t, v in taken.items())
+    mix = mixing.mix_documents(documents(spark, rows).repartition(4))
+    copies = {"a": 0, "b": 0}
+    for r in mix.collect():
+        copies[r["source"]] += len(r["text"].split())
+    assert sorted(copies.values()) == sorted(taken.values())
+
+
 def test_mixing_of_nothing_and_of_awkward_columns(spark):
     assert mixing.mixed(empty(spark)).count() == 0
     assert mixing.mix_documents(empty(spark)).count() == 0
