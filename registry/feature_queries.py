@@ -1,6 +1,8 @@
 """Point-in-time features, labels, sequences, encoding and statistics."""
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS
@@ -268,7 +270,21 @@ def _(ctx):
 VIF_COLS = ["recency_days", "frequency", "total_spend", "avg_basket_size", "return_rate"]
 
 
-@query("e06_vif")
+block("vif_corr", "SELECT " + ", ".join(f"corr({a}, {b}) AS c_{i}_{j}" for i, a in enumerate(VIF_COLS) for j, b in enumerate(VIF_COLS)) + " FROM snap_tr", "snap_tr")
+
+
+def determinant(size: int, skip: int | None = None) -> str:
+    """SQL of the determinant of the correlations c_i_j, without one row and column: the sum over permutations."""
+    left = [i for i in range(size) if i != skip]
+    terms = []
+    for order in itertools.permutations(range(len(left))):
+        odd = sum(a > b for i, a in enumerate(order) for b in order[i + 1:]) % 2
+        terms.append(("-" if odd else "+") + " * ".join(f"c_{left[i]}_{left[j]}" for i, j in enumerate(order)))
+    return "(" + " ".join(terms) + ")"
+
+
+@query("e06_vif", " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'{determinant(len(VIF_COLS), i)} / {determinant(len(VIF_COLS))} AS vif')} FROM vif_corr"
+                                     for i, c in enumerate(VIF_COLS)), "vif_corr")
 def _(ctx):
     out = E.vif(ctx.train, VIF_COLS)
     return rounded(ctx.spark.createDataFrame([(c, float(v)) for c, v in out.items()], "feature string, vif double"))

@@ -122,9 +122,28 @@ def _(ctx):
     return rounded(A.fit_reconstruction(train, ctx.settings).score(ctx.scoring).select("customer_id", "anomaly_score", "is_anomaly"))
 
 
-@query("p12_mahalanobis")
+def mahalanobis_sql(columns, ridge=1e-6) -> str:
+    """Distance to the centre of the training rows by a Cholesky factor of their covariance, one step a subquery."""
+    d, v = len(columns), lambda c, t: f"ln(1 + greatest({t}{c}, 0))"
+    moments = ", ".join(f"avg({v(c, '')}) AS m_{i}, CASE WHEN stddev_pop({v(c, '')}) > 0 THEN stddev_pop({v(c, '')}) ELSE 1 END AS s_{i}" for i, c in enumerate(columns))
+    z = ", ".join(f"({v(c, 't.')} - m_{i}) / s_{i} AS z_{i}" for i, c in enumerate(columns))
+    cov = ", ".join(f"covar_samp(z_{i}, z_{j}){f' + {ridge}' if i == j else ''} AS c_{i}_{j}" for i in range(d) for j in range(i + 1))
+    factor = f"(SELECT {cov} FROM (SELECT {z} FROM snap_tr t, fit))"
+    less = lambda i, k: "".join(f" - l_{i}_{m} * l_{k}_{m}" for m in range(k))
+    for k in range(d):
+        factor = f"(SELECT *, sqrt(c_{k}_{k}{less(k, k)}) AS l_{k}_{k} FROM {factor})"
+        if k + 1 < d:
+            factor = f"(SELECT *, {', '.join(f'(c_{i}_{k}{less(i, k)}) / l_{k}_{k} AS l_{i}_{k}' for i in range(k + 1, d))} FROM {factor})"
+    rows = f"(SELECT t.customer_id, {z}, {', '.join(f'l_{i}_{j}' for i in range(d) for j in range(i + 1))} FROM snap_sc t, fit, factor)"
+    for k in range(d):
+        rows = f"(SELECT *, (z_{k}{''.join(f' - l_{k}_{m} * y_{m}' for m in range(k))}) / l_{k}_{k} AS y_{k} FROM {rows})"
+    square = " + ".join(f"y_{k} ** 2" for k in range(d))
+    return f"SELECT * FROM (WITH fit AS (SELECT {moments} FROM snap_tr), factor AS (SELECT * FROM {factor}) SELECT customer_id, {r(f'{square} AS mahalanobis', digits=3)} FROM {rows})"
+
+
+@query("p12_mahalanobis", mahalanobis_sql(ANOMALY_FEATURES), "snap_tr", "snap_sc")
 def _(ctx):
-    return rounded(A.fit_mahalanobis(ctx.train).score(ctx.scoring).select("customer_id", "mahalanobis"))
+    return rounded(A.fit_mahalanobis(ctx.train).score(ctx.scoring).select("customer_id", "mahalanobis"), 3)
 
 
 @query("p13_isolation")
@@ -216,7 +235,21 @@ def _(ctx):
     return rounded(made.select("id", "copy", *[F.col("x")[i].alias(f"x{i + 1}") for i in range(len(ANOMALY_FEATURES))]), 3)
 
 
-@query("g05_density_clusters")
+SEGMENT_Z = [f"(({v}) - avg({v}) OVER ()) / CASE WHEN stddev_pop({v}) OVER () > 0 THEN stddev_pop({v}) OVER () ELSE 1 END"
+             for v in (f"ln(1 + greatest({c}, 0))" if c in SEGMENT_LOG_FEATURES else c for c in SEGMENT_FEATURES)]
+block("z_sc", f"SELECT customer_id AS id, [{', '.join(SEGMENT_Z)}] AS x FROM snap_sc", "snap_sc")
+block("far_sc", "SELECT a.id, b.id AS other, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2))) AS d FROM z_sc a, z_sc b", "z_sc")
+block("reach_sc", f"SELECT quantile_cont(d, 0.9) AS eps FROM (SELECT id, d FROM far_sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) = {2 * len(SEGMENT_FEATURES)})", "far_sc")
+block("near_sc", "SELECT id, other FROM far_sc, reach_sc WHERE d <= eps", "far_sc", "reach_sc")
+block("core_sc", f"SELECT id FROM near_sc GROUP BY id HAVING count(*) >= {2 * len(SEGMENT_FEATURES)}", "near_sc")
+
+
+@query("g05_density_clusters", """
+  SELECT * FROM (WITH RECURSIVE links AS MATERIALIZED (SELECT id, other FROM near_sc WHERE id IN (FROM core_sc) AND other IN (FROM core_sc)),
+  walk AS (SELECT id, id AS root FROM core_sc UNION SELECT l.other, w.root FROM walk w JOIN links l ON l.id = w.id WHERE w.root < l.other),
+  named AS (SELECT id, min(root) AS cluster FROM walk GROUP BY id)
+  SELECT z.id, coalesce(n.cluster, (SELECT min(m.cluster) FROM near_sc e JOIN named m ON e.other = m.id WHERE e.id = z.id), -1)::BIGINT AS cluster
+  FROM z_sc z LEFT JOIN named n ON z.id = n.id)""", "z_sc", "near_sc", "core_sc")
 def _(ctx):
     scaler = G.Standardiser.fit(ctx.scoring, SEGMENT_FEATURES, SEGMENT_LOG_FEATURES)
     points = materialise(ctx.scoring.select(F.col("customer_id").alias("id"), F.array(*scaler.values()).alias("x")), "cluster-points")
