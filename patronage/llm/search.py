@@ -34,9 +34,10 @@ from patronage.session import materialise
 K = 10
 WIDTH = 2048
 ROWS = 2
-#: Characters of items that one broadcast takes, terms that one block of documents takes, cells of one look-up.
+#: Characters of items that one broadcast takes; terms and documents that one block of documents takes, at most; cells of one
+#: look-up, and of the bounds of a block.
 BLOCK_CHARS = 4_000_000
-BLOCK_TERMS = 400_000
+BLOCK_TERMS, BLOCK_DOCS = 400_000, 2048
 CELLS = 4_000_000
 STEP = 16
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -66,8 +67,8 @@ def postings(tokens: list[list[bytes]]) -> Postings:
     return Postings(key // max(1, len(names)), key % max(1, len(names)), tf.astype(np.int64), length, names)
 
 
-def blocks(batches: Iterator[dict[str, list]], most: int = BLOCK_TERMS) -> Iterator[tuple[list, Postings]]:
-    """(doc_ids, postings) of documents with terms, about ``most`` terms at a time."""
+def blocks(batches: Iterator[dict[str, list]], most: int = BLOCK_TERMS, most_docs: int = BLOCK_DOCS) -> Iterator[tuple[list, Postings]]:
+    """(doc_ids, postings) of documents with terms, about ``most`` terms and at most ``most_docs`` documents at a time."""
     ids, held, size = [], [], 0
     for batch in batches:
         for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -77,7 +78,7 @@ def blocks(batches: Iterator[dict[str, list]], most: int = BLOCK_TERMS) -> Itera
             ids.append(doc)
             held.append(found)
             size += len(found)
-            if size >= most:
+            if size >= most or len(ids) >= most_docs:
                 yield ids, postings(held)
                 ids, held, size = [], [], 0
     if held:
@@ -241,7 +242,7 @@ def best_of_block(docs: DataFrame, queries: Queries, k: int = K, width: int = WI
     def search(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         queries, weight, at = shared.value
         best = Best(len(queries.start), k)
-        for ids, found in blocks(batches):
+        for ids, found in blocks(batches, most_docs=max(1, min(BLOCK_DOCS, 2 * CELLS // len(queries.start)))):
             impact = impacts(found.tf, found.length[found.doc], total_docs, total_terms)
             bound = upper_bounds(sketches(found, impact, width), at, queries, weight)
             none = np.array([i is None for i in ids], dtype=np.int64)

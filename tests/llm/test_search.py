@@ -87,3 +87,10 @@ def test_ties_go_to_the_smaller_doc_id_over_blocks(spark):
     docs = documents(spark, [(100 - i, "same words here", *[None] * 11) for i in range(60)] + [(None, "same words here", *[None] * 11)])
     items = spark.createDataFrame([(1, "words", "", "")], ITEMS)
     assert [r["doc_id"] for r in search.ranked(docs.repartition(7), items).orderBy("rank").collect()] == list(range(41, 51))
+
+
+def test_blocks_hold_few_documents_however_short(monkeypatch):
+    texts = [f"w{i % 7}" for i in range(5000)]
+    found = list(search.blocks([{"doc_id": list(range(5000)), "text": texts}], most_docs=300))
+    assert max(len(ids) for ids, _ in found) == 300 and [i for ids, _ in found for i in ids] == list(range(5000))
+    assert all(len(p.length) == len(ids) for ids, p in found)
