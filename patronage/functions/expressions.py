@@ -4,9 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E_FOLD = 1024
-_ZERO_OFFSET = 1_000_000  # above |ln(smallest double)| * BUCKETS_PER_E_FOLD
-
 
 def micros_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end)
@@ -33,17 +30,6 @@ def hash_unit(key: Column, seed: int | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Coarse bucket of a number that keeps its order: v <= w implies bucket(v) <= bucket(w).
-
-    Buckets are about 0.1 % wide on the value itself, so their number depends on the span of the
-    values and not on the number of rows.
-    """
-    v = value.cast("double")
-    size = F.floor(F.ln(F.abs(v)) * BUCKETS_PER_E_FOLD).cast("long") + _ZERO_OFFSET
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
-
-
 def category_of(text: Column, words: dict[str, list[str]]) -> Column:
     """First category whose key words occur in the text as whole words, with an optional plural S."""
     upper = F.upper(text)

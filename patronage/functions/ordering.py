@@ -25,7 +25,7 @@ def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def _in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` written in ``order``, with ``_part`` (number of the range partition) and ``_at`` (place, rising with the order)."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "in-order")
@@ -47,7 +47,7 @@ def _with_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str]
         group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         return df.select(*df.columns, *[F.sum(s).over(group.orderBy(order).rowsBetween(*upto)).alias(f"{prefix}{s}") for s in sums],
                          *[F.sum(s).over(group).alias(f"_all_{s}") for s in sums])
-    placed = _in_ranges(df, [*by, order])
+    placed = in_ranges(df, [*by, order])
     per_part = placed.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     across = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row per range partition
     offsets = per_part.select(
@@ -128,7 +128,7 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name:
     window over rows at all, however many rows a group has.
     """
     by = list(by)
-    placed = _in_ranges(df, [*by, *order])
+    placed = in_ranges(df, [*by, *order])
     runs = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
     across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part")
     runs = runs.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_part"]], (F.sum("_rows").over(across) - F.col("_rows") - F.col("_first") + 1).alias("_shift"))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS, Settings
 from patronage.fixed_values import VALUE_TIERS
-from patronage.functions.expressions import magnitude_bucket
-from patronage.functions.ordering import exact_quantiles, global_row_number, share_at_or_below
+from patronage.functions.ordering import exact_quantiles, global_row_number, in_ranges, share_at_or_below
 from patronage.session import materialise
 
 ENGAGEMENT_METRICS = ["recency_days", "frequency", "total_spend"]
@@ -65,28 +64,32 @@ def with_ecdf(rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def ecdf_steps(reference: DataFrame) -> DataFrame:
-    """(metric, value, share) at every distinct value of the reference: fitted once, looked up later."""
-    return ecdf_table(reference, reference)
+    """(metric, value, share, part) at every distinct value of the reference: fitted once, looked up later.
+
+    ``part`` numbers range partitions of the steps, drawn from the values themselves, so each holds about as many.
+    """
+    table = ecdf_table(reference, reference)
+    return in_ranges(table, ["metric", "value"]).select("metric", "value", "share", F.col("_part").alias("part"))
 
 
 def step_lookup(asked: DataFrame, steps: DataFrame) -> DataFrame:
     """(metric, value, share) of asked values: the share of the largest step at or below, 0 below all.
 
-    Only steps of the buckets that are asked for are put in order; all others count by the largest
-    share of their bucket.
+    Only steps of the parts that are asked for are put in order, each part on its own; all others count by the largest
+    share of their part.
     """
-    bucketed = lambda d: d.withColumn("_bucket", magnitude_bucket(F.col("value")))
-    wanted, table = bucketed(asked), bucketed(steps)
-    spots = wanted.select("metric", "_bucket").distinct()
-    tops = table.groupBy("metric", "_bucket").agg(F.max("share").alias("_top")).unionByName(spots.withColumn("_top", F.lit(None).cast("double")))
-    across = Window.partitionBy("metric").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = (tops.groupBy("metric", "_bucket").agg(F.max("_top").alias("_top")).withColumn("_before", F.max("_top").over(across))
-              .join(spots, ["metric", "_bucket"], "left_semi").select("metric", "_bucket", "_before"))
-    points = wanted.withColumns({"share": F.lit(None).cast("double"), "_asked": F.lit(True)}).unionByName(
-        table.join(spots, ["metric", "_bucket"], "left_semi").withColumn("_asked", F.lit(False)).select("metric", "value", "_bucket", "share", "_asked"))
-    upto = Window.partitionBy("metric", "_bucket").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    inside = points.withColumn("_inside", F.max("share").over(upto)).where("_asked")
-    return inside.join(before, ["metric", "_bucket"]).select("metric", "value", F.coalesce("_inside", "_before", F.lit(0.0)).alias("share"))
+    heads = steps.groupBy("metric", "part").agg(F.min("value").alias("value"), F.max("share").alias("_top"))
+    ahead = Window.partitionBy("metric").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    before = heads.withColumn("_before", F.max("_top").over(ahead)).select("metric", "part", "_before")
+    upto = lambda *by: Window.partitionBy(*by).orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    marked = asked.select("metric", "value", F.lit(None).cast("long").alias("part"), F.lit(True).alias("_asked")).unionByName(
+        heads.select("metric", "value", F.col("part").cast("long").alias("part"), F.lit(False).alias("_asked")))
+    placed = marked.withColumn("part", F.max("part").over(upto("metric"))).where("_asked")  # the batch and one row a part
+    spots = placed.select("metric", "part").distinct()
+    points = placed.withColumn("share", F.lit(None).cast("double")).unionByName(
+        steps.join(spots, ["metric", "part"], "left_semi").select("metric", "value", F.col("part").cast("long").alias("part"), F.lit(False).alias("_asked"), "share"))
+    inside = points.withColumn("_inside", F.max("share").over(upto("metric", "part"))).where("_asked")
+    return inside.join(before, ["metric", "part"], "left").select("metric", "value", F.coalesce("_inside", "_before", F.lit(0.0)).alias("share"))
 
 
 def _with_shares(rows: DataFrame, table: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patronage.config import DEFAULTS
 from patronage.functions import ordering as O
+from patronage.operators import encode as E
 from patronage.operators import evaluate as M
 from patronage.plans import reports as Q
 
@@ -109,7 +110,7 @@ def test_close_values_spread_over_range_partitions(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         df = spark.range(1_000_000).select((F.lit(0.999) + F.col("id") / 1e9).alias("p"), (F.col("id") % 2).cast("int").alias("y"))
-        sizes = [r["count"] for r in O._in_ranges(df, ["p"]).groupBy("_part").count().collect()]
+        sizes = [r["count"] for r in O.in_ranges(df, ["p"]).groupBy("_part").count().collect()]
         assert len(sizes) >= 8 and max(sizes) < 3 * 1_000_000 / len(sizes)
         assert M.roc_auc(df, "y", "p").first()["roc_auc"] == pytest.approx(0.5, abs=1e-5)
         top = O.exact_quantiles(df, "p", {"q": 0.25}).first()["q"]
@@ -150,3 +151,22 @@ def test_forecast_cases(spark):
     assert min(r["revenue"] for r in Q.forecast(falling, 3).collect()) == 0.0
     partial = spark.createDataFrame(rows[:-1] + [(rows[-1][0], 5.0, rows[-1][0] + pd.Timedelta(days=5))], schema)
     assert Q.drop_partial_last_month(partial).count() == 24
+
+
+def test_step_lookup_over_parts_drawn_from_the_values(spark):
+    """Close values, values below and above all steps, and steps met exactly: as a plain search."""
+    rng = np.random.default_rng(8)
+    ref = {"recency_days": 0.999 + rng.random(4000) / 1e6, "frequency": rng.integers(1, 30, 4000).astype(float), "total_spend": rng.normal(0, 100, 4000)}
+    train = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(*ref.values())], "recency_days double, frequency double, total_spend double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few steps are one part
+    try:
+        steps = E.ecdf_steps(train.repartition(6)).persist()
+        steps.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert steps.select("part").distinct().count() > 3
+    asked = [(m, float(v)) for m, values in ref.items() for v in [*rng.choice(values, 40), values.min() - 1, values.max() + 1, *(rng.choice(values, 20) + 1e-7)]]
+    got = E.step_lookup(spark.createDataFrame(sorted(set((m, round(v, 6)) for m, v in asked)), "metric string, value double"), steps).collect()
+    assert len(got) == len(set((m, round(v, 6)) for m, v in asked))
+    for r in got:
+        assert r["share"] == pytest.approx((np.round(ref[r["metric"]], 6) <= r["value"] + 1e-12).mean(), abs=1e-12)
