@@ -39,6 +39,8 @@ DOCS, CHARS, DRAWS = 2500, 8_000_000, 1 << 40
 ROUNDS, STEPS, BATCH, RATE = 4, 120, 256, 0.004
 #: Embeddings shrink by this share of the rate in each step.
 FADE, FADING = 1.0, ("word", "gram")
+#: Weight of all windows of label 0 against those of label 1.
+CLEAN_WEIGHT = 6.0
 BLOCK_WORDS = 200_000
 #: Windows that go through the network together.
 TOGETHER = 1024
@@ -308,9 +310,9 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, steps:
         else:
             chosen = np.arange(len(block.size))
         weight = np.ones(len(chosen), np.float32)
-        for y in (0, 1):  # both labels weigh the same; shares come back with the prior
+        for y in (0, 1):  # a text has many windows, and one is enough to call it toxic: label 0 weighs more
             mine = label[chosen] == y
-            weight[mine] = 1 / max(1, mine.sum())
+            weight[mine] = (1 if y else CLEAN_WEIGHT) / max(1, mine.sum())
         rng.shuffle(chosen_order := np.arange(len(chosen)))
         for a in range(0, len(chosen), batch):
             some = chosen_order[a:a + batch]
