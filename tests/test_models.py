@@ -158,3 +158,24 @@ def test_reason_text(spark):
     assert text == ("This customer is flagged as HIGH churn risk: predicted churn probability 62%, at or above the 50% operating threshold. "
                     "Main drivers (relative to the average customer): share of spend on toys games = 0.10 (typical) lowers the risk; "
                     "days since last purchase = 1,234.50 (higher than typical) raises the risk; country (France) = 1.00 raises the risk.")
+
+
+def test_forests_remember_the_node_of_a_row():
+    """Without this a level sends all trees grown so far to every task."""
+    assert P.churn_estimator("random_forest", {"n_estimators": 2, "max_depth": 2, "min_samples_leaf": 1}, 10, 2).getCacheNodeIds()
+    assert P.churn_estimator("decision_tree", {"max_depth": 2, "min_samples_leaf": 1}, 10, 2).getCacheNodeIds()
+
+
+def test_a_saved_forest_is_read_once_for_all_its_cuts(spark, monkeypatch):
+    rows = spark.range(60).select(F.col("id").alias("customer_id"), (F.col("id") % 2).cast("int").alias("churn"), (F.col("id") % 2).cast("double").alias("label"),
+                                  F.lit(1.0).alias("weight"), (F.floor(F.col("id") / 2) % 2).cast("int").alias("fold"), F.lit("train").alias("split"),
+                                  (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"))
+    rows = materialise(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows), "few-rows")
+    settings = DEFAULTS.with_(cv_folds=2)
+    read, cut = [], []
+    saved, cuts = P.saved_nodes, P.cut_forest
+    monkeypatch.setattr(P, "saved_nodes", lambda *a: read.append(a) or saved(*a))
+    monkeypatch.setattr(P, "cut_forest", lambda *a: cut.append(a) or cuts(*a))
+    sets = [{"n_estimators": n, "max_depth": d, "min_samples_leaf": 2} for n in (2, 4) for d in (1, 3)]
+    P.nested_search(lambda p: P.churn_estimator("random_forest", p, 60, 2, settings), sets, rows, settings, P.fit_parts(rows, settings))
+    assert (len(read), len(cut)) == (2, 8)  # folds; folds x parameter sets
