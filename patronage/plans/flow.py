@@ -39,7 +39,7 @@ def stage_clean(spark: SparkSession, paths: Paths, settings: Settings = DEFAULTS
     """Validate, clean, write by month; returns the cleaning report (one row of counts)."""
     raw = spark.read.parquet(paths.of("lines_raw"))
     raw_stats = validate_transactions(raw, settings)
-    distinct = materialise(C.drop_exact_duplicates(C.drop_incomplete(raw)), "distinct-lines")
+    distinct = materialise(C.drop_exact_duplicates(C.drop_incomplete(raw)), "distinct-lines", compact=True)
     fences = C.tukey_fences(distinct, settings.iqr_multiplier)
     sinks.replace_table(fences.coalesce(1), paths.of("fences"))
     edges = spark.read.parquet(paths.of("fences")).first()

@@ -26,7 +26,7 @@ def _sub(ctx):
 def _customers(ctx):
     sub = _sub(ctx)
     names = materialise(X.country_names(sub), "countries")
-    return X.with_country(X.customers(X.order_days(X.orders(X.with_country_code(sub, names), ctx.settings), ctx.settings), ctx.settings), names)
+    return X.with_country(X.customers(X.order_days(X.orders(X.with_country_code(sub, names), ctx.settings, X.customers_fit(sub)), ctx.settings), ctx.settings), names)
 
 
 @query("flagship_churn_by_recency", f"""
@@ -117,8 +117,8 @@ def _(ctx):
        "rfm_tr", "discount_tr")
 def _(ctx):
     sub = _sub(ctx)
-    lines = X.discounted_spend(sub, X.median_prices(sub), ctx.settings)
-    return rounded(X.customers(X.order_days(X.orders(lines, ctx.settings), ctx.settings), ctx.settings).select("customer_id", "discount_sensitivity"))
+    lines = X.discounted_spend(sub, materialise(X.median_prices(sub), "median-prices"), ctx.settings)
+    return rounded(X.customers(X.order_days(X.orders(lines, ctx.settings, X.customers_fit(sub)), ctx.settings), ctx.settings).select("customer_id", "discount_sensitivity"))
 
 
 @query("f15_product_popularity", f"SELECT stock_code, {r('popularity', digits=6)} FROM pop_tr", "pop_tr")

@@ -140,3 +140,18 @@ def test_rows_of_files_have_their_line_numbers(spark, tmp_path):
         assert spark.read.option("header", True).csv(str(tmp_path)).rdd.getNumPartitions() > 5
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_lines_of_an_order_stay_side_by_side(spark):
+    rows = [(f"{i // 5}", f"P{i % 7}", "x", float(i % 5), "2011-01-01", 1.0, i // 50, "UK") for i in range(500)]
+    rows += [(None, f"P{i}", "x", 1.0, "2011-01-01", 1.0, None, "UK") for i in range(3)] * 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = C.drop_exact_duplicates(raw(spark, rows + rows[:40])).withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == len(set(rows))
+    spots = {}
+    for r in found:
+        spots.setdefault((r["invoice"], r["customer_id"]), set()).add(r["_task"])
+    assert len(set().union(*spots.values())) > 1 and all(len(v) == 1 for v in spots.values())

@@ -150,3 +150,17 @@ def test_value_tiers_small(spark, n):
     want = pd.qcut(pd.Series([float(i // 2) for i in range(n)]).rank(method="first"), 3, labels=["Low", "Medium", "High"]).astype(str)
     assert (n - 1) % 3 == 0 or got == dict(enumerate(want))
     assert len(got) == n
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_customers_are_folded_after_one_shuffle(spark, monkeypatch):
+    rows = [(f"{'C' if i % 9 == 0 else ''}{i // 3}", i % 11, f"2011-0{1 + i % 5}-1{i % 3}", f"S{i % 4}", 1 + i % 3 if i % 9 else -1, 1.0 + i % 7) for i in range(400)]
+    sub = X.point_in_time(prepared(spark, rows), [CUT])
+    fold = lambda together: X.customers(X.order_days(X.orders(sub, together=together)))
+    assert X.customers_fit(sub) and shuffles(fold(True)) == 1 < shuffles(fold(False))
+    assert differing_rows(fold(True), fold(False)).count() == 0
+    monkeypatch.setattr(X, "CUSTOMER_LINES", 5)
+    assert not X.customers_fit(sub)

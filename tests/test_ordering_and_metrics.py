@@ -170,3 +170,12 @@ def test_step_lookup_over_parts_drawn_from_the_values(spark):
     assert len(got) == len(set((m, round(v, 6)) for m, v in asked))
     for r in got:
         assert r["share"] == pytest.approx((np.round(ref[r["metric"]], 6) <= r["value"] + 1e-12).mean(), abs=1e-12)
+
+
+def test_quantiles_of_small_groups_take_one_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(f"g{i % 13}", float(i * 37 % 101) if i % 10 else None) for i in range(1500)], "g string, v double").withColumn("one", F.lit(1))
+    small = O.exact_quantiles(df, "v", {"q1": 0.25, "q2": 0.5}, ["one", "g"])
+    assert small._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r["g"]: (r["q1"], r["q2"]) for r in small.collect()}
+    monkeypatch.setattr(O, "ONE_TASK", 5)
+    assert got == {r["g"]: (r["q1"], r["q2"]) for r in O.exact_quantiles(df, "v", {"q1": 0.25, "q2": 0.5}, ["one", "g"]).collect()}
