@@ -129,8 +129,10 @@ def mean_category_shares(snapshot: DataFrame, columns: Sequence[str]) -> DataFra
 
 
 def differing_rows(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
-    """Rows in only one of two snapshots (doubles compared at some digits): empty when they agree."""
+    """Rows in only one of two snapshots (doubles compared at some digits), as often as they are there more often: empty when
+    they agree. One sum over both, so each snapshot is computed once."""
     shape = lambda d: d.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
-    x, y = shape(a), shape(b)
-    return (x.exceptAll(y).withColumn("side", F.lit("first"))
-            .unionByName(y.exceptAll(x).withColumn("side", F.lit("second"))))
+    both = shape(a).withColumn("_surplus", F.lit(1)).unionByName(shape(b).withColumn("_surplus", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_surplus").alias("_surplus")).where("_surplus <> 0")
+    side = F.when(F.col("_surplus") > 0, "first").otherwise("second")
+    return left.select(*a.columns, F.explode(F.array_repeat(side, F.abs("_surplus").cast("int"))).alias("side"))

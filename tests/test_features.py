@@ -164,3 +164,10 @@ def test_customers_are_folded_after_one_shuffle(spark, monkeypatch):
     assert differing_rows(fold(True), fold(False)).count() == 0
     monkeypatch.setattr(X, "CUSTOMER_LINES", 5)
     assert not X.customers_fit(sub)
+
+
+def test_differing_rows_computes_each_side_once(spark):
+    a, b = (spark.createDataFrame([(v, 1.0) for v in vs], "k long, x double") for vs in ([1, 1, 2, None], [1, 2, 3, 3, None]))
+    diff = differing_rows(a, b)
+    assert sorted((r["k"], r["side"]) for r in diff.collect()) == [(1, "first"), (3, "second"), (3, "second")]
+    assert diff._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
