@@ -18,10 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patronage.session import materialise
+
 FANIN = 16
 FILTER_BITS, FILTER_HASHES = 12, 6
 #: Keys that one filter row holds, about.
 BUCKET_KEYS = 50_000
+#: Keys that meet a filter at once, about.
+ASKED_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -35,10 +39,10 @@ class Segment:
         return self.last - self.first + 1
 
 
-def _places(key: pd.Series, bits: int) -> np.ndarray:
-    """FILTER_HASHES x keys: bit places of hexadecimal digests, from two halves of each."""
-    a = np.array([int(k[:16], 16) for k in key], dtype=np.uint64)
-    b = np.array([int(k[16:32], 16) | 1 for k in key], dtype=np.uint64)
+def _places(digest: pd.Series, bits: int) -> np.ndarray:
+    """FILTER_HASHES x keys: bit places of digests (16 bytes), from two halves of each."""
+    halves = np.frombuffer(b"".join(digest), ">u8").astype(np.uint64).reshape(-1, 2)
+    a, b = halves[:, 0], halves[:, 1] | np.uint64(1)
     return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(FILTER_HASHES)]).astype(np.int64)
 
 
@@ -69,7 +73,7 @@ class KeyStore:
 
     def _write(self, keys: DataFrame, segment: Segment) -> None:
         """Keys, then their filters: a segment counts once the filters are complete."""
-        keys.write.mode("overwrite").partitionBy("invoice_month").parquet(f"{segment.path}/keys")
+        keys.write.mode("overwrite").option("compression", "zstd").partitionBy("invoice_month").parquet(f"{segment.path}/keys")
         back = self._keys([segment])
         sizes = back.groupBy("invoice_month").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_KEYS)).cast("int").alias("buckets")).withColumnRenamed("invoice_month", "_month")
         dealt = back.join(sizes, F.col("invoice_month") == F.col("_month")).withColumn("bucket", F.pmod(F.xxhash64("_key"), F.col("buckets")).cast("int"))
@@ -77,11 +81,11 @@ class KeyStore:
         def filters(rows: pd.DataFrame) -> pd.DataFrame:
             bits = max(64, FILTER_BITS * len(rows))
             marks = np.zeros(bits, dtype=bool)
-            marks[_places(rows["_key"], bits).ravel()] = True
+            marks[_places(rows["digest"], bits).ravel()] = True
             return pd.DataFrame({"invoice_month": rows["invoice_month"].iloc[:1], "bucket": rows["bucket"].iloc[:1], "buckets": rows["buckets"].iloc[:1],
                                  "bits": [bits], "marks": [np.packbits(marks).tobytes()]})
 
-        made = dealt.select("invoice_month", "bucket", "buckets", "_key").groupBy("invoice_month", "bucket").applyInPandas(
+        made = dealt.select("invoice_month", "bucket", "buckets", F.unhex("_key").alias("digest")).groupBy("invoice_month", "bucket").applyInPandas(
             filters, "invoice_month string, bucket int, buckets int, bits long, marks binary")
         made.write.mode("overwrite").parquet(f"{segment.path}/filters")
 
@@ -103,19 +107,14 @@ class KeyStore:
         maybe = None
         for s in segments:
             filters = self.spark.read.parquet(f"{s.path}/filters").where(F.col("invoice_month").isin(months))
-            named = filters.select(F.col("invoice_month").alias("_month"), "bucket", "buckets", "bits", "marks")
-            counts = named.groupBy("_month").agg(F.max("buckets").alias("_n"))
-            asked = arrived.select("invoice_month", "_key").join(counts, F.col("invoice_month") == F.col("_month")).drop("_month")
-            asked = asked.withColumn("_b", F.pmod(F.xxhash64("_key"), F.col("_n")).cast("int"))
-            met = asked.join(named, (F.col("invoice_month") == F.col("_month")) & (F.col("_b") == F.col("bucket")))
-            hit = met.where(_may_hold(F.col("_key"), F.col("bits"), F.col("marks"))).select("invoice_month", "_key")
+            hit = _maybe_held(arrived.select("invoice_month", "_key"), filters)
             maybe = hit if maybe is None else maybe.unionByName(hit)
         maybe = maybe.distinct().persist()
         try:
             if maybe.isEmpty():
                 return arrived
             stored = self._keys(segments).where(F.col("invoice_month").isin(months))
-            known = stored.join(maybe, ["invoice_month", "_key"], "left_semi").select("invoice_month", "_key").distinct()
+            known = materialise(stored.join(maybe, ["invoice_month", "_key"], "left_semi").select("invoice_month", "_key").distinct(), "known-keys")
             return arrived.join(known, ["invoice_month", "_key"], "left_anti")
         finally:
             maybe.unpersist()
@@ -142,14 +141,43 @@ class KeyStore:
             size *= self.fanin
 
 
+def _marked(key: pd.Series, bits: int, marks: bytes) -> np.ndarray:
+    places, held = _places(key.map(bytes.fromhex), bits), np.frombuffer(marks, np.uint8)
+    return ((held[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(0)
+
+
 def _may_hold(key, bits, marks):
+    """Column form of the test, for a few keys: every row carries its filter."""
     @F.pandas_udf("boolean")
     def test(key: pd.Series, bits: pd.Series, marks: pd.Series) -> pd.Series:
         out = np.zeros(len(key), dtype=bool)
-        for held in marks.unique():  # a batch meets few different filters
+        for held in marks.unique():
             mine = (marks == held).to_numpy()
-            places = _places(key[mine], int(bits[mine].iloc[0]))
-            bytes_ = np.frombuffer(held, np.uint8)
-            out[mine] = ((bytes_[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(0)
+            out[mine] = _marked(key[mine], int(bits[mine].iloc[0]), held)
         return pd.Series(out)
     return test(key, bits, marks)
+
+
+def _maybe_held(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """(invoice_month, _key) of ``keys`` that the filters of one segment may hold.
+
+    Keys and their filter meet as a group, so a filter is sent once a group and not once a key. A bucket that very many keys ask
+    is dealt out in parts of about ASKED_KEYS keys, each with a copy of the filter.
+    """
+    place = ["invoice_month", "bucket"]
+    counts = filters.groupBy("invoice_month").agg(F.max("buckets").alias("_n"))
+    asked = keys.join(counts, "invoice_month").withColumn("bucket", F.pmod(F.xxhash64("_key"), F.col("_n")).cast("int")).drop("_n")
+    parts = asked.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED_KEYS)).cast("int").alias("parts"))
+    parts = materialise(parts, "asked-buckets")
+    dealt = asked.join(parts, place).withColumn("part", F.pmod(F.xxhash64("_key", F.lit("part")), F.col("parts")).cast("int"))
+    copies = filters.join(parts, place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def test(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(held):
+            return pd.DataFrame({"invoice_month": [], "_key": []}, dtype=object)
+        return asking.loc[_marked(asking["_key"], int(held["bits"].iloc[0]), held["marks"].iloc[0]), ["invoice_month", "_key"]]
+
+    group = [*place, "part"]
+    left = dealt.select(*group, "_key").groupBy(*group)
+    right = copies.select(*group, "bits", "marks").groupBy(*group)
+    return left.cogroup(right).applyInPandas(test, "invoice_month string, _key string")

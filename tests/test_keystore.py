@@ -51,3 +51,15 @@ def test_a_broken_merge_is_not_read(spark, tmp_path):
     half.mkdir(parents=True)  # keys without filters: a merge that did not end
     assert [(s.first, s.last) for s in store.segments()] == [(0, 0), (1, 1), (2, 2)]
     assert store.unseen(batch(spark, range(25, 35)), 3).count() == 5
+
+
+def test_filters_travel_once_a_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "ASKED_KEYS", 100)
+    store = S.KeyStore(spark, str(tmp_path / "keys"))
+    store.add(batch(spark, range(3000)), 0)
+    filters = spark.read.parquet(f"{store.segments()[0].path}/filters")
+    found = S._maybe_held(batch(spark, range(9000)).select("invoice_month", "_key"), filters)  # 30 parts a bucket
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    held = {r["_key"] for r in found.collect()}
+    stored = {r["_key"] for r in batch(spark, range(3000)).collect()}
+    assert held >= stored and len(held) < 3000 + 0.01 * 6000
