@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,47 @@ def test_a_bucket_of_equal_points_is_not_cut_short(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") < 1000, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(*[hash_unit(F.col("id"), s) for s in "ab"])).alias("x"))
     got = N.approximate_nearest(df.where("id < 20"), df, 3, bucket=64, block=100)
     assert {(r["id"], r["neighbour"], r["distance"]) for r in got.collect()} == {(i, j, 0.0) for i in range(20) for j in range(3)}
+
+
+def odd_points(width):
+    """Ties, far stragglers, numbers that single precision can't hold, rows without a distance."""
+    rng = np.random.default_rng(width)
+    x = np.concatenate([np.round(rng.normal(size=(500, width)), 1), rng.normal(size=(300, width)) * 1e-3 + 1e4, np.zeros((20, width))])
+    x[3], x[5, 0], x[6, 0] = x[3] * 1e12, np.nan, np.inf
+    return x
+
+
+@pytest.mark.parametrize("width", [1, 7, 64])
+def test_bounded_blocks_hold_the_distances_of_all_pairs(width):
+    x = odd_points(width)
+    ids = np.arange(len(x)) // 2
+    rows = pd.DataFrame({"id": ids, "x": list(x)})
+    with np.errstate(invalid="ignore"):
+        d = N._distances(x, x)
+    for reach in (0.0, 0.3, float(np.nanquantile(np.where(np.isfinite(d), d, np.nan), 0.2))):
+        assert (N._within(x, x, reach) == (d <= reach)).all()
+    d[ids[:, None] == ids[None, :]] = np.inf
+    got = N._top(4, True)(rows, rows)
+    want = [(ids[i], ids[j], d[i, j]) for i in range(len(x)) for j in np.lexsort((ids, d[i]))[:4] if np.isfinite(d[i, j])]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_blocks_get_a_distance_for_few_pairs(monkeypatch):
+    """A block of 2,000 queries and 4,000 points: distances are made for under 5 % of the pairs."""
+    made, of_pairs = [], N._of_pairs
+    monkeypatch.setattr(N, "_of_pairs", lambda a, b, i, j: made.append(len(i)) or of_pairs(a, b, i, j))
+    x = np.random.default_rng(1).normal(size=(4000, 64))
+    rows = pd.DataFrame({"id": np.arange(4000), "x": list(x)})
+    N._top(5, True)(rows[:2000], rows)
+    assert sum(made) < 0.05 * 2000 * 4000
+
+
+def test_where_boxes_exclude_little_rows_go_to_few_blocks(spark):
+    """64 dimensions: every cell is in reach. Blocks are an eighth of the points, not one a cell, and the result is exact."""
+    x = np.random.default_rng(2).normal(size=(1600, 64))
+    df = frame(spark, x)
+    tree = N.cell_tree(df, block=32)
+    assert N._cells_in_reach(df.withColumn("reach", F.lit(12.0)), tree) > N.MOST_CELLS and N._wide(df, 32) == 200
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in N.nearest(df, df, 3, exclude_self=True, block=32).collect()}
+    order = np.argsort(dist(x, x) + np.diag([np.inf] * len(x)), axis=1)[:, :3]
+    assert got == {(i, k + 1): order[i, k] for i in range(len(x)) for k in range(3)}
